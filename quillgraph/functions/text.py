@@ -32,8 +32,8 @@ def rstrip(x) -> Column:
 
 
 def collapse_ws(x) -> Column:
-    """Every whitespace run becomes one blank; lone blanks are skipped by the pattern."""
-    return strip(F.regexp_replace(_c(x), f"[{V.WS_NOT_BLANK}][{V.WS_CLASS}]*| [{V.WS_CLASS}]+", " "))
+    """Every whitespace run becomes one blank."""
+    return strip(F.regexp_replace(_c(x), V.WS_RUN, " "))
 
 
 def split_ws(x) -> Column:

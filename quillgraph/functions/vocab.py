@@ -5,12 +5,13 @@ Everything here is plain data.  Patterns are Java regular expressions.
 
 # --- fixed values: whitespace and line breaks as Python's str methods see them ---
 WS_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WS_NOT_BLANK = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
+# the look-ahead on one plain range lets the matcher skip printable ASCII cheaply
+LINE_BREAK = r"(?=[^ -~])(?:\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029])"
+WS_RUN = rf"(?=[^!-~])(?: (?=[^!-~])[{WS_CLASS}]+|(?! )[{WS_CLASS}]+)"
 
 # --- fixed values: categories and their keywords ---
 CATEGORIES = [

@@ -51,3 +51,54 @@ def position_in_group(df: DataFrame, keys: list[str], order: list[str | Column],
     joined = numbered.join(shifts, ["_pid", *keys], "left")
     return joined.withColumn(name, (F.col(name) + F.coalesce(F.col("_shift"), F.lit(0))).cast("bigint")).drop(
         "_pid", "_shift")
+
+
+def with_previous(df: DataFrame, keys: list[str], pos: str, n: int, fields: list[str], name: str,
+                  bucket: int = 4096) -> DataFrame:
+    """Add an array of the previous ``n`` rows (as structs, oldest first) of the same group.
+
+    ``pos`` is the dense position in the group.  Groups are cut into buckets of ``bucket``
+    positions, and the last ``n`` rows of a bucket are copied into the next one, so no task
+    ever sees more than one bucket of a group.
+    """
+    if n > bucket:
+        raise ValueError("n must not exceed the bucket size")
+    own = df.withColumn("_b", F.floor(F.col(pos) / bucket)).withColumn("_halo", F.lit(False))
+    copies = own.filter(F.col(pos) % bucket >= bucket - n).withColumn("_b", F.col("_b") + 1).withColumn(
+        "_halo", F.lit(True))
+    w = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(-n, -1)
+    both = own.unionByName(copies)
+    return both.withColumn(name, F.collect_list(F.struct(*fields)).over(w)).filter(~F.col("_halo")).drop(
+        "_b", "_halo")
+
+
+def last_marked_position(df: DataFrame, keys: list[str], pos: str, marked: Column, name: str,
+                         bucket: int = 4096) -> DataFrame:
+    """Add the position of the latest row at or before this one for which ``marked`` holds.
+
+    Running maximum inside buckets of positions, plus the maximum of the earlier buckets of the
+    group, which is taken from a table with one row per bucket.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(pos) / bucket)).withColumn("_m", F.when(marked, F.col(pos)))
+    upto = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, "_b").agg(F.max("_m").alias("_bm")).withColumn(
+        "_carry", F.max("_bm").over(before)).drop("_bm")
+    return rows.withColumn("_in", F.max("_m").over(upto)).join(carried, [*keys, "_b"]).withColumn(
+        name, F.coalesce("_in", "_carry")).drop("_b", "_m", "_in", "_carry")
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], hot_rows: int = 1_000_000) -> DataFrame:
+    """Inner join in which every group of ``big`` above ``hot_rows`` rows is salted.
+
+    Only hot groups are salted: their rows get one of ceil(rows / hot_rows) salts and their rows
+    of ``small`` are copied once per salt.  The list of hot groups has at most rows / hot_rows entries.
+    """
+    hot = big.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(
+        *keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
+    one = F.coalesce("_salts", F.lit(1))
+    spread = big.join(hot, keys, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*[c for c in big.columns if c not in keys]), one).cast("int")).drop("_salts")
+    copied = small.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    return spread.join(copied, [*keys, "_salt"]).drop("_salt")
