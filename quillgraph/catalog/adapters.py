@@ -14,16 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a table of fewer files than cores before heavy row-wise work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 # ---------------------------------------------------------------- documents
 def docs_flat(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return balanced(table(spark, sf_dir, "documents")).select(
         "doc_id", F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file"),
         F.lit("markdown").alias("source_type"), "text")
 
 
 def docs_md(spark, sf_dir) -> DataFrame:
     """Documents with headings, page markers, parameter tables and image lines around their text."""
-    d = table(spark, sf_dir, "documents")
+    d = balanced(table(spark, sf_dir, "documents"))
     doc = F.col("doc_id").cast("string")
     text = F.concat(
         F.lit("# "), F.col("source"), F.lit("\n\nOverview of "), F.col("source"), F.lit("\n\n## "), F.col("lang"),
@@ -82,7 +88,7 @@ def sql_category(x: str) -> str:
 # ---------------------------------------------------------------- chunk rows
 def chunks_t(spark, sf_dir) -> DataFrame:
     """One chunk per non-blank line: the first lines carry heading paths, later ones have none."""
-    d = table(spark, sf_dir, "documents")
+    d = balanced(table(spark, sf_dir, "documents"))
     lines = d.select("doc_id", "source", "lang", F.posexplode(T.split_lines("text")).alias("line_no", "line"))
     lines = lines.withColumn("content", T.strip("line")).filter(F.col("content") != "")
     n = F.col("line_no")
@@ -197,8 +203,9 @@ turns_t AS (
 
 
 # ---------------------------------------------------------------- media and runs
-def _seconds(ts) -> F.Column:
-    return (F.unix_micros(ts) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 1e6
+def _seconds(ts: F.Column) -> F.Column:
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", start, ts) / 1e6
 
 
 def segments_t(spark, sf_dir) -> DataFrame:

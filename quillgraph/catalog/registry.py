@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chunking"]
+MODULES = ["chunking", "store", "media", "graph"]
 
 
 def _collect(attr: str) -> dict:

@@ -13,6 +13,18 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_BUILT: dict = {}
+
+
+def built_once(key: tuple, build) -> Column:
+    """Column expression built once per session: large ones cost many calls into the JVM."""
+    from pyspark import SparkContext
+    full = (id(SparkContext._active_spark_context), *key)
+    if full not in _BUILT:
+        _BUILT[full] = build()
+    return _BUILT[full]
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it several times inside ``body``."""
     return F.transform(F.array(value), body)[0]

@@ -27,6 +27,10 @@ class ChunkParams:
     strict_max: bool = False
 
 
+def _sections() -> Column:
+    return T.built_once(("sections",), lambda: M.sections(F.col("text")))
+
+
 def explode_lines(documents: DataFrame) -> DataFrame:
     return documents.select(
         "doc_id", F.posexplode(T.split_lines("text")).alias("line_no", "line")
@@ -36,7 +40,7 @@ def explode_lines(documents: DataFrame) -> DataFrame:
 def assign_sections(documents: DataFrame) -> DataFrame:
     """One row per non-blank section with its page and heading path."""
     carried = [c for c in documents.columns if c != "text"]
-    return documents.select(*carried, F.posexplode(M.sections(F.col("text"))).alias("section_no", "s")).select(
+    return documents.select(*carried, F.posexplode(_sections()).alias("section_no", "s")).select(
         *carried, "section_no", "s.page", F.col("s.path").alias("heading_path"),
         F.col("s.first_line").alias("first_line"), F.col("s.text").alias("text"))
 
@@ -64,7 +68,7 @@ def segment_blocks(sections: DataFrame) -> DataFrame:
     title = F.coalesce(F.get("heading_path", F.size("heading_path") - 1), F.lit(""))
     return sections.withColumn("lines", F.split("text", "\n")).select(
         "doc_id", "section_no", "page", path.alias("heading_path"), title.alias("title"),
-        F.posexplode(M.blocks(F.col("lines"))).alias("block_no", "b"), "lines",
+        F.posexplode(T.built_once(("blocks",), lambda: M.blocks(F.col("lines")))).alias("block_no", "b"), "lines",
     ).select("doc_id", "section_no", "block_no", "page", "heading_path", "title", "b.kind", "b.line_index",
              "b.text", "lines")
 
@@ -116,21 +120,21 @@ def describe_text(blocks: DataFrame) -> DataFrame:
 
 
 def build_embedding_text(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("embedding_text", M.embedding_text(
-        F.col("content"), F.col("heading_path"), F.col("block_type"), F.col("title"), F.col("description")))
+    return chunks.withColumn("embedding_text", T.built_once(("embedding",), lambda: M.embedding_text(
+        F.col("content"), F.col("heading_path"), F.col("block_type"), F.col("title"), F.col("description"))))
 
 
 def document_items(documents: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
     """Documents with an ``items`` array (before any merging) and their heading depth."""
-    with_sections = documents.withColumn("_secs", M.sections(F.col("text")))
-    items = F.flatten(F.transform("_secs", lambda s: M.section_items(
-        s, params.max_chars, params.overlap_chars, params.image_context_lines, params.keep_heading_path)))
+    with_sections = documents.withColumn("_secs", _sections())
+    items = T.built_once(("items", params), lambda: F.flatten(F.transform("_secs", lambda s: M.section_items(
+        s, params.max_chars, params.overlap_chars, params.image_context_lines, params.keep_heading_path))))
     return with_sections.select(*documents.columns, M.max_depth(F.col("_secs")).alias("depth"),
                                 items.alias("items"))
 
 
 def document_depth(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", M.max_depth(M.sections(F.col("text"))).alias("depth"))
+    return documents.select("doc_id", M.max_depth(_sections()).alias("depth"))
 
 
 def collect_items(chunks: DataFrame) -> DataFrame:
@@ -143,21 +147,21 @@ def collect_items(chunks: DataFrame) -> DataFrame:
 
 
 def merge_preamble(docs: DataFrame, min_chars: int = V.MIN_SECTION_CHARS, keep_heading=False) -> DataFrame:
-    return docs.withColumn("items", M.merge_items(
-        F.col("items"), lambda its: M.preamble_spans(its, min_chars), keep_heading))
+    return docs.withColumn("items", T.built_once(("preamble", min_chars, keep_heading), lambda: M.merge_items(
+        F.col("items"), lambda its: M.preamble_spans(its, min_chars), keep_heading)))
 
 
 def merge_micro(docs: DataFrame, micro: int = V.MICRO_CHUNK_CHARS, max_chars: int = V.MAX_CHARS,
                 keep_heading=False) -> DataFrame:
-    return docs.withColumn("items", M.merge_items(
-        F.col("items"), lambda its: M.micro_spans(its, micro, max_chars), keep_heading))
+    return docs.withColumn("items", T.built_once(("micro", micro, max_chars, keep_heading), lambda: M.merge_items(
+        F.col("items"), lambda its: M.micro_spans(its, micro, max_chars), keep_heading)))
 
 
 def window_flat_documents(docs: DataFrame, max_chars: int = V.MAX_CHARS, overlap: int = V.OVERLAP_CHARS,
                           keep_heading=False, strict_max=False) -> DataFrame:
     """Windows for documents of heading depth 0 or 1; deeper ones stay as they are."""
-    flat = M.merge_items(F.col("items"), lambda its: M.window_spans(its, max_chars, overlap, strict_max),
-                         keep_heading)
+    flat = T.built_once(("windows", max_chars, overlap, keep_heading, strict_max), lambda: M.merge_items(
+        F.col("items"), lambda its: M.window_spans(its, max_chars, overlap, strict_max), keep_heading))
     return docs.withColumn("items", F.when(F.col("depth") <= 1, flat).otherwise(F.col("items")))
 
 
@@ -230,8 +234,8 @@ def chunk_documents(documents: DataFrame, params: ChunkParams = ChunkParams()) -
     docs = window_flat_documents(docs, params.max_chars, params.overlap_chars,
                                  params.keep_heading_on_merge, params.strict_max)
     docs = whole_text_fallback(docs)
-    docs = docs.withColumn("_ids", _ids_in_document(
-        F.col("items"), F.col("source_file"), F.col("source_type")))
+    docs = docs.withColumn("_ids", T.built_once(("ids",), lambda: _ids_in_document(
+        F.col("items"), F.col("source_file"), F.col("source_type"))))
     docs = docs.withColumn("items", F.arrays_zip(F.col("_ids").alias("id"), F.col("items").alias("item")))
     carried = [c for c in documents.columns if c != "text"]
     rows = docs.select(*carried, F.posexplode("items").alias("seq", "z")).select(
