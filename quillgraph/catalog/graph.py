@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.catalog import adapters as X
 from quillgraph.functions import vocab as V
 from quillgraph.operators import graph as G, traversal as TR
+from quillgraph.operators.ordering import cut_lineage
 
 EDGE = ["src", "dst", "relation", "source_file", "weight"]
 
@@ -38,6 +39,11 @@ def _components(s, d):
     return nodes, edges, TR.connected_components(nodes, edges)
 
 
+def _with_prior(s, d):
+    nodes = cut_lineage(_nodes(s, d))
+    return G.category_edges(nodes, cut_lineage(G.heading_edges(nodes)))
+
+
 def _cohesion(s, d):
     nodes = _nodes(s, d)
     by_source = nodes.select("id", F.concat_ws("/", "source_file", "category").alias("community_id"))
@@ -64,7 +70,7 @@ QUERIES = {
         "video_clip_id", F.concat(F.lit("c"), F.regexp_extract("video_clip_id", "[0-9]+", 0), F.lit("-0")))).select(*EDGE),
     "category_edges": lambda s, d: G.category_edges(_nodes(s, d)).select(*EDGE),
     "category_edges_incremental": lambda s, d: G.category_edges_incremental(_nodes(s, d)).select(*EDGE),
-    "category_edges_with_prior": lambda s, d: G.category_edges(_nodes(s, d), G.heading_edges(_nodes(s, d))).select(*EDGE),
+    "category_edges_with_prior": lambda s, d: _with_prior(s, d).select(*EDGE),
     "sequence_edges": lambda s, d: G.sequence_edges(_nodes(s, d)).select(*EDGE),
     "graph_edges_first": lambda s, d: _graph(s, d)[1].select(*EDGE),
     "graph_edges_last": lambda s, d: _graph(s, d, "last")[1].select(*EDGE),
@@ -102,7 +108,7 @@ def _und(a, b):
 HEADING = NODES + f""",
 firsts AS (SELECT heading_path, arg_min(id, node_seq) AS id FROM nodes WHERE heading_path <> '' GROUP BY 1),
 heading_e AS (
-  SELECT {_und('p.id', 'c.id')}, 'references' AS relation, '' AS source_file, 1.0 AS weight
+  SELECT {_und('p.id', 'c.id')}, 'references' AS relation, '' AS source_file, 1.0::DOUBLE AS weight
   FROM firsts c JOIN firsts p ON p.heading_path = array_to_string(string_split(c.heading_path, ' > ')[:-2], ' > ')
   WHERE contains(c.heading_path, ' > '))
 """
@@ -112,7 +118,7 @@ def _cat(nodes: str, name: str, cond: str) -> str:
     return f"""
 {name}_p AS (SELECT *, row_number() OVER (PARTITION BY category, source_file ORDER BY node_seq) - 1 AS p FROM {nodes}),
 {name} AS (
-  SELECT {_und('a.id', 'b.id')}, 'conceptually_related_to' AS relation, a.source_file, 0.5 AS weight
+  SELECT {_und('a.id', 'b.id')}, 'conceptually_related_to' AS relation, a.source_file, 0.5::DOUBLE AS weight
   FROM {name}_p a JOIN {name}_p b ON a.category = b.category AND a.source_file = b.source_file AND a.p < b.p
   WHERE {cond})"""
 
@@ -120,7 +126,7 @@ def _cat(nodes: str, name: str, cond: str) -> str:
 def _seq(nodes: str, name: str) -> str:
     return f"""
 {name} AS (
-  SELECT {_und('id', 'nxt')}, 'references' AS relation, source_file, 0.3 AS weight FROM (
+  SELECT {_und('id', 'nxt')}, 'references' AS relation, source_file, 0.3::DOUBLE AS weight FROM (
     SELECT id, source_file, lead(id) OVER (PARTITION BY source_file ORDER BY heading_path, node_seq) AS nxt FROM {nodes})
   WHERE nxt IS NOT NULL)"""
 
@@ -129,7 +135,7 @@ def _heads(nodes: str, name: str) -> str:
     return f"""
 {name}_f AS (SELECT heading_path, arg_min(id, node_seq) AS id FROM {nodes} WHERE heading_path <> '' GROUP BY 1),
 {name} AS (
-  SELECT {_und('p.id', 'c.id')}, 'references' AS relation, '' AS source_file, 1.0 AS weight
+  SELECT {_und('p.id', 'c.id')}, 'references' AS relation, '' AS source_file, 1.0::DOUBLE AS weight
   FROM {name}_f c JOIN {name}_f p ON p.heading_path = array_to_string(string_split(c.heading_path, ' > ')[:-2], ' > ')
   WHERE contains(c.heading_path, ' > '))"""
 
@@ -175,7 +181,7 @@ ORACLE = {
     "heading_edges": "WITH " + HEADING + "SELECT * FROM heading_e",
     "cross_modal_edges": "WITH " + NODES + "," + X.MEDIA_SQL + f""",
         b AS (SELECT pdf_anchor_id AS a, 'c' || regexp_extract(video_clip_id, '[0-9]+') || '-0' AS b FROM bindings_t)
-        SELECT DISTINCT {_und('a', 'b')}, 'shares_data_with' AS relation, '' AS source_file, 1.0 AS weight FROM b
+        SELECT DISTINCT {_und('a', 'b')}, 'shares_data_with' AS relation, '' AS source_file, 1.0::DOUBLE AS weight FROM b
         WHERE a IN (SELECT id FROM nodes) AND b IN (SELECT id FROM nodes) AND a <> b""",
     "category_edges": "WITH " + NODES + "," + _cat("nodes", "cat_e", "a.p < 5 OR b.p <= 10") + "SELECT * FROM cat_e",
     "category_edges_incremental": "WITH " + NODES + "," + _cat("nodes", "cat_e", "a.p < 5") + "SELECT * FROM cat_e",

@@ -69,12 +69,24 @@ QUERIES = {
         A.summarize_runs(X.runs_t(s, d)), A.summarize_runs(X.runs_t(s, d).filter("block_count < 50 and parser <> 'view'"))),
 }
 
-_SUM = """
-  SELECT parser, count(*) AS total, count(*) FILTER (ok) AS ok_count, round(count(*) FILTER (ok) * 100.0 / count(*), 3) AS success_rate,
-    round(avg(seconds), 3) AS avg_time, round(min(seconds), 3) AS min_time, round(max(seconds), 3) AS max_time,
-    round(avg(block_count), 3) AS avg_blocks, round(quantile_cont(seconds, 0.5), 3) AS p50_time,
-    round(quantile_cont(seconds, 0.95), 3) AS p95_time
-  FROM runs_t WHERE NOT is_warmup {} GROUP BY parser"""
+def _r3(x: str) -> str:
+    return f"CAST(format('{{:.3f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
+def _pct(p: float) -> str:
+    """Linear interpolation between the two neighbouring ranks."""
+    rank = f"((len(l) - 1) * {p}::DOUBLE)"
+    low = f"CAST(floor({rank}) AS BIGINT)"
+    return (f"(l[{low} + 1] * (1 - ({rank} - {low})) + l[least({low} + 2, len(l))] * ({rank} - {low}))")
+
+
+_SUM = f"""
+  SELECT parser, total, ok_count, {_r3('ok_count * 100.0::DOUBLE / total')} AS success_rate, {_r3('a')} AS avg_time,
+    {_r3('lo')} AS min_time, {_r3('hi')} AS max_time, {_r3('b')} AS avg_blocks, {_r3(_pct(0.5))} AS p50_time,
+    {_r3(_pct(0.95))} AS p95_time
+  FROM (SELECT parser, count(*) AS total, count(*) FILTER (ok) AS ok_count, avg(seconds) AS a, min(seconds) AS lo,
+      max(seconds) AS hi, avg(block_count) AS b, list(seconds ORDER BY seconds) AS l
+    FROM runs_t WHERE NOT is_warmup WHERE_MORE GROUP BY parser)"""
 _ANCH = X.CHUNKS_SQL + "," + X.MEDIA_SQL
 _PAIRS = """, pairs AS (SELECT 'n-' || doc_id AS id, 'clip-' || doc_id AS video_clip_id,
   'c' || doc_id || '-' || quality AS pdf_anchor_id FROM labels)"""
@@ -120,9 +132,9 @@ ORACLE = {
         max(end_sec) AS last_end FROM segments_t GROUP BY 1""",
     "segment_progress": "WITH " + X.SEGMENTS_SQL + """SELECT video_file, seq, round(least(end_sec / CASE WHEN d = 0 THEN 1 ELSE d END, 1.0), 6) AS progress
         FROM segments_t JOIN (SELECT 'video_' || user_id || '.mp4' AS video_file, max(value) * 1000 AS d FROM events GROUP BY 1) USING (video_file)""",
-    "run_summary": "WITH " + X.RUNS_SQL + _SUM.format(""),
-    "run_deltas": "WITH " + X.RUNS_SQL + ", cur AS (" + _SUM.format("") + "), prev AS ("
-        + _SUM.format("AND block_count < 50 AND parser <> 'view'") + ") SELECT c.parser, "
-        + ", ".join(f"c.{m}, round(c.{m} - p.{m}, 3) AS delta_{m}" for m in _MEASURES)
+    "run_summary": "WITH " + X.RUNS_SQL + _SUM.replace("WHERE_MORE", ""),
+    "run_deltas": "WITH " + X.RUNS_SQL + ", cur AS (" + _SUM.replace("WHERE_MORE", "") + "), prev AS ("
+        + _SUM.replace("WHERE_MORE", "AND block_count < 50 AND parser <> 'view'") + ") SELECT c.parser, "
+        + ", ".join(f"c.{m}, {_r3(f'c.{m} - p.{m}')} AS delta_{m}" for m in _MEASURES)
         + ", CASE WHEN p.parser IS NULL THEN 'new' ELSE 'compared' END AS status FROM cur c LEFT JOIN prev p ON p.parser = c.parser",
 }

@@ -76,9 +76,37 @@ def ascii_lower(x) -> Column:
     return F.translate(_c(x), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _scaled(x: Column, digits: int) -> Column:
+    """|x| * 10^digits as a whole number, rounded half-even on the exact binary value.
+
+    The product is split into its double and its rounding error, so a decimal that only
+    looks like a tie (167554.85) goes the way its stored value lies.
+    """
+    a, scale = F.abs(x), F.lit(float(10 ** digits))
+    p = a * scale
+    c = a * F.lit(134217729.0)
+    high = c - (c - a)
+    error = (high * scale - p) + (a - high) * scale
+    low = F.floor(p)
+    part = p - low
+    up = F.when(part > 0.5, True).when(part < 0.5, False).when(error > 0, True).when(error < 0, False).otherwise(
+        low % 2 == 1)
+    return F.when(up, low + 1).otherwise(low)
+
+
+def py_round(x, digits: int) -> Column:
+    """Rounding as Python's ``round`` does it."""
+    v = _c(x).cast("double")
+    return F.when(v < 0, -1.0).otherwise(1.0) * _scaled(v, digits) / float(10 ** digits)
+
+
 def fixed(x, digits: int) -> Column:
-    """A double with a fixed number of decimals (rounded half-even on its binary value)."""
-    return F.format_string(f"%.{digits}f", _c(x).cast("double"))
+    """A double with a fixed number of decimals, as ``%.nf`` prints it."""
+    v = _c(x).cast("double")
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    unit = 10 ** digits
+    return let(_scaled(v, digits), lambda n: F.concat(
+        sign, F.floor(n / unit).cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), digits, "0")))
 
 
 def time_range(start, end) -> Column:
@@ -254,7 +282,7 @@ def strip_legacy_prefix(x) -> Column:
 
 
 def asr_confidence(avg_logprob) -> Column:
-    return F.bround(_c(avg_logprob) + F.lit(1.0), 3)
+    return py_round(_c(avg_logprob) + F.lit(1.0), 3)
 
 
 def normalize_heading(x) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quillgraph.functions.text import py_round
 from quillgraph.operators.ordering import position_in_group
 
 
@@ -77,13 +78,13 @@ def summarize_runs(runs: DataFrame, tie: str = "run_id") -> DataFrame:
     rows = runs.filter(~F.col("is_warmup"))
     basic = rows.groupBy("parser").agg(
         F.count("*").alias("total"), F.count_if("ok").alias("ok_count"),
-        F.round(F.count_if("ok") * 100.0 / F.count("*"), 3).alias("success_rate"),
-        F.round(F.avg("seconds"), 3).alias("avg_time"),
-        F.round(F.min("seconds"), 3).alias("min_time"), F.round(F.max("seconds"), 3).alias("max_time"),
-        F.round(F.avg("block_count"), 3).alias("avg_blocks"))
+        py_round(F.count_if("ok") * 100.0 / F.count("*"), 3).alias("success_rate"),
+        py_round(F.avg("seconds"), 3).alias("avg_time"),
+        py_round(F.min("seconds"), 3).alias("min_time"), py_round(F.max("seconds"), 3).alias("max_time"),
+        py_round(F.avg("block_count"), 3).alias("avg_blocks"))
     pct = exact_percentiles(rows, ["parser"], "seconds", tie, {"p50_time": 0.5, "p95_time": 0.95})
-    return basic.join(pct, "parser").withColumn("p50_time", F.round("p50_time", 3)).withColumn(
-        "p95_time", F.round("p95_time", 3))
+    return basic.join(pct, "parser").withColumn("p50_time", py_round("p50_time", 3)).withColumn(
+        "p95_time", py_round("p95_time", 3))
 
 
 def compare_runs(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def compare_runs(current: DataFrame, previous: DataFrame) -> DataFrame:
     joined = current.join(prev, "parser", "left")
     return joined.select(
         "parser", *measures,
-        *[F.round(F.col(m) - F.col(f"prev_{m}"), 3).alias(f"delta_{m}") for m in measures],
+        *[py_round(F.col(m) - F.col(f"prev_{m}"), 3).alias(f"delta_{m}") for m in measures],
         F.when(F.col("_had").isNull(), F.lit("new")).otherwise(F.lit("compared")).alias("status"))
 
 

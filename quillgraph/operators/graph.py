@@ -120,61 +120,58 @@ def _prior_in_groups(nodes: DataFrame, existing: DataFrame) -> DataFrame:
         "category", "source_file", "src", "dst")
 
 
-def _category_edges_with_prior(nodes: DataFrame, prior: DataFrame) -> DataFrame:
+def _category_edges_with_prior(nodes: DataFrame, prior: DataFrame, spare: int = 16) -> DataFrame:
     """Greedy category links when some pairs of a group are already adjacent.
 
-    A node's choice depends on its earlier edges and on earlier nodes that chose it, so the greedy
-    result is the only fixpoint of "first five positions outside the excluded ones".  Nodes without
-    exclusions choose positions 0-4 (or the next one instead of themselves); all others are
-    recomputed until no choice changes.  Chains of dependent choices are short because only
-    nodes near the front of a group choose someone behind them.
+    A node's choice depends on its earlier edges and on earlier nodes that chose it.  Only a node
+    with fewer than five free places before it can choose forward; with edges of a
+    heading tree those are the first places and a handful of parents.  These few are folded in
+    order inside one row per group; every other node then chooses on its own.  Each node brings
+    its first ``5 + spare`` places free of earlier edges; if more than ``spare`` nodes chose one
+    node, the step is repeated with more places.
     """
     keys = ["category", "source_file"]
-    pos = cut_lineage(position_in_group(nodes.select(*keys, "id", "node_seq"), keys, ["node_seq"], "p"))
+    pos = cut_lineage(position_in_group(nodes.select(*keys, "id", "node_seq"), keys, ["node_seq"], "i"))
     size = pos.groupBy(*keys).agg(F.count("*").alias("n"))
-    at = lambda name, p: pos.select(*keys, F.col("id").alias(name), F.col("p").alias(p))
+    at = lambda name, p: pos.select(*keys, F.col("id").alias(name), F.col("i").alias(p))
     both = prior.join(at("src", "ps"), [*keys, "src"]).join(at("dst", "pd"), [*keys, "dst"])
-    prior_x = cut_lineage(both.select(*keys, F.col("ps").alias("i"), F.col("pd").alias("x")).unionByName(
-        both.select(*keys, F.col("pd").alias("i"), F.col("ps").alias("x"))))
-    all_i = pos.select(*keys, F.col("p").alias("i"))
-
-    def choose(excluded: DataFrame) -> DataFrame:
-        """First five free positions per node; ``excluded`` (keys, i, x) always holds x = i."""
-        odd = excluded.filter("x <> i").select(*keys, "i").distinct()
-        plain = all_i.join(odd, [*keys, "i"], "left_anti").join(size, keys).select(
-            *keys, "i", F.explode(F.slice(F.filter(
-                F.sequence(F.lit(0).cast("bigint"), F.lit(FANOUT).cast("bigint")),
-                lambda x: (x != F.col("i")) & (x < F.col("n"))), 1, FANOUT)).alias("j"))
-        mine = excluded.join(odd, [*keys, "i"], "left_semi").distinct()
-        ranked = position_in_group(mine, [*keys, "i"], ["x"], "r")
-        nxt = ranked.select(*keys, "i", (F.col("r") - 1).alias("r"), F.col("x").alias("nx"))
-        gaps = ranked.join(nxt, [*keys, "i", "r"], "left").join(size, keys).select(
-            *keys, "i", (F.col("x") + 1).alias("lo"), F.coalesce(F.col("nx"), F.col("n")).alias("hi"),
-            (F.col("x") - F.col("r")).alias("free"))
-        front = ranked.filter("r = 0 and x > 0").select(
-            *keys, "i", F.lit(0).cast("bigint").alias("lo"), F.col("x").alias("hi"),
-            F.lit(0).cast("bigint").alias("free"))
-        runs = gaps.unionByName(front).filter((F.col("lo") < F.col("hi")) & (F.col("free") < FANOUT))
-        return plain.unionByName(runs.select(*keys, "i", F.explode(F.sequence(
-            F.col("lo"), F.least(F.col("hi") - 1, F.col("lo") + (FANOUT - 1 - F.col("free"))))).alias("j")))
-
-    self_x = all_i.withColumn("x", F.col("i"))
-    # forward choices of the prior-free rule are the starting point
-    forward = cut_lineage(all_i.filter(F.col("i") < HEAD).join(size, keys).select(
-        *keys, F.col("i").alias("x"), F.explode(F.when(
-            F.col("i") < FANOUT, F.sequence(F.col("i") + 1, F.col("i") + FANOUT)).otherwise(
-            F.when(F.col("i") < HEAD - 1, F.sequence(F.col("i") + 1, F.lit(HEAD - 1).cast("bigint")))
-            )).alias("i"), "n").filter(F.col("i") < F.col("n")).select(*keys, "i", "x"))
-    while True:
-        excluded = self_x.unionByName(prior_x).unionByName(forward)
-        chosen = cut_lineage(choose(excluded))
-        new_forward = cut_lineage(chosen.filter("j > i").select(*keys, F.col("j").alias("i"), F.col("i").alias("x")))
-        changed = new_forward.join(forward, [*keys, "i", "x"], "left_anti").unionByName(
-            forward.join(new_forward, [*keys, "i", "x"], "left_anti"))
-        if changed.isEmpty():
-            break
-        forward = new_forward
-    ends = chosen.join(at("a", "i"), [*keys, "i"]).join(at("b", "j"), [*keys, "j"])
+    excluded = cut_lineage(both.select(*keys, F.explode(F.array(
+        F.struct(F.col("ps").alias("i"), F.col("pd").alias("x")), F.struct(F.col("pd").alias("i"), F.col("ps").alias("x")),
+        F.struct(F.col("ps").alias("i"), F.col("ps").alias("x")), F.struct(F.col("pd").alias("i"), F.col("pd").alias("x")),
+    )).alias("e")).select(*keys, "e.i", "e.x").distinct())
+    ranked = with_previous(position_in_group(excluded, [*keys, "i"], ["x"], "r"), [*keys, "i"], "r", 1, ["x"], "_p")
+    before = F.coalesce(F.get("_p", F.lit(0))["x"], F.lit(-1).cast("bigint"))
+    gaps = ranked.select(*keys, "i", (before + 1).alias("lo"), F.col("x").alias("hi"), (before + 1 - F.col("r")).alias("free"))
+    tails = excluded.groupBy(*keys, "i").agg(F.max("x").alias("x"), F.count("*").alias("c")).join(size, keys).select(
+        *keys, "i", (F.col("x") + 1).alias("lo"), F.col("n").alias("hi"), (F.col("x") + 1 - F.col("c")).alias("free"))
+    gaps = cut_lineage(gaps.unionByName(tails).filter("lo < hi"))
+    tied = pos.join(size, keys)
+    ends = None
+    while ends is None:
+        want = FANOUT + spare
+        places = gaps.filter(F.col("free") < want).select(*keys, "i", F.explode(F.sequence(
+            F.col("lo"), F.least(F.col("hi") - 1, F.col("lo") + (want - 1 - F.col("free"))))).alias("j")).groupBy(
+            *keys, "i").agg(F.sort_array(F.collect_list("j")).alias("_c"))
+        bound = excluded.select(*keys, "i").distinct().withColumn("_bound", F.lit(True))
+        plain = F.slice(F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(want).cast("bigint")),
+                                 lambda x: (x != F.col("i")) & (x < F.col("n"))), 1, want)
+        free = cut_lineage(tied.join(bound, [*keys, "i"], "left").join(places, [*keys, "i"], "left").select(
+            *keys, "i", "id", F.when(F.col("_bound").isNull(), plain).otherwise(
+                F.coalesce("_c", F.array().cast("array<bigint>"))).alias("free")))
+        early = free.filter(F.exists("free", lambda j: j > F.col("i")))
+        step = lambda acc, e: F.concat(acc, F.transform(
+            F.filter(F.slice(F.filter(e["free"], lambda j: ~F.exists(acc, lambda a: (a["i"] == j) & (a["x"] == e["i"]))
+                                      & ~F.exists(acc, lambda a: (a["x"] == j) & (a["i"] == e["i"]))), 1, FANOUT),
+                     lambda j: j > e["i"]),
+            lambda j: F.struct(e["i"].alias("x"), j.alias("i"))))
+        forward = cut_lineage(early.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "free"))).alias("_e")).select(
+            *keys, F.explode(F.aggregate("_e", F.array().cast("array<struct<x:bigint,i:bigint>>"), step)).alias("f")).select(
+            *keys, "f.i", "f.x").groupBy(*keys, "i").agg(F.collect_set("x").alias("_f")))
+        if forward.filter(F.size("_f") > spare).isEmpty():
+            chosen = free.join(forward, [*keys, "i"], "left").select(*keys, F.col("id").alias("a"), F.explode(F.slice(F.filter(
+                "free", lambda j: ~F.coalesce(F.array_contains("_f", j), F.lit(False))), 1, FANOUT)).alias("j"))
+            ends = chosen.join(at("b", "j"), [*keys, "j"])
+        spare *= 4
     return _edges(ends, "a", "b", "conceptually_related_to", 0.5, "source_file").dropDuplicates(["src", "dst"])
 
 
@@ -206,7 +203,7 @@ def resolve_precedence(ranked: DataFrame, precedence: str = "first") -> DataFram
 def build_graph(chunks: DataFrame, bindings: DataFrame | None = None, precedence: str = "first",
                 hot_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the whole chunk table."""
-    nodes = build_nodes(chunks, incremental=precedence == "last")
+    nodes = cut_lineage(build_nodes(chunks, incremental=precedence == "last"))
     heads = heading_edges(nodes)
     if precedence == "first":
         prior = heads

@@ -101,10 +101,10 @@ def _move_round(near, comm, strength, two_m: float, parity: int) -> DataFrame:
     return moved
 
 
-def modularity_communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 8, levels: int = 3) -> DataFrame:
+def modularity_communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 4, levels: int = 2) -> DataFrame:
     """Communities by local moving and contraction, both as joins and sums.
 
-    Half of the nodes (by hash) move in turn, and a round is kept only while modularity rises.
+    In a round half of the nodes (by hash) may move.  A level is kept only when it raises modularity.
     """
     result = cut_lineage(nodes.select("id", F.col("id").alias("community_id")))
     graph = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
@@ -114,29 +114,23 @@ def modularity_communities(nodes: DataFrame, edges: DataFrame, max_rounds: int =
     best_q = modularity(edges, result).first()[0]
     for _ in range(levels):
         loops = graph.filter("src = dst").select(F.col("src").alias("id"), (2 * F.col("weight")).alias("w"))
-        near = cut_lineage(both_ways(graph.filter("src <> dst")))
+        near = both_ways(graph.filter("src <> dst"))
         strength = cut_lineage(near.select(F.col("node").alias("id"), F.col("weight").alias("w")).unionByName(
             loops).groupBy("id").agg(F.sum("w").alias("k")))
-        comm = cut_lineage(strength.select("id", F.col("id").alias("community_id")))
-        level_q, improved = None, False
+        comm = strength.select("id", F.col("id").alias("community_id"))
         for r in range(max_rounds):
             moved = cut_lineage(_move_round(near, comm, strength, two_m, r % 2))
-            quiet = moved.filter("old <> community_id").isEmpty()
-            merged = result.join(moved.select(F.col("id").alias("community_id"), F.col("community_id").alias("to")),
-                                 "community_id", "left").select("id", F.coalesce("to", "community_id").alias("community_id"))
-            q = modularity(edges, merged).first()[0]
-            if q <= best_q + 1e-9:
-                if quiet and r % 2 == 0:
-                    continue
-                break
-            best_q, improved = q, True
             comm = moved.select("id", "community_id")
-            level_q = cut_lineage(merged)
-        if not improved:
+            if r % 2 == 1 and moved.filter("old <> community_id").isEmpty():
+                break
+        merged = cut_lineage(result.join(comm.select(
+            F.col("id").alias("community_id"), F.col("community_id").alias("to")), "community_id", "left").select(
+            "id", F.coalesce("to", "community_id").alias("community_id")))
+        q = modularity(edges, merged).first()[0]
+        if q <= best_q + 1e-9:
             break
-        result = level_q
-        to = comm.select(F.col("id"), F.col("community_id"))
-        graph = cut_lineage(graph.join(to.select(F.col("id").alias("src"), F.col("community_id").alias("a")), "src").join(
-            to.select(F.col("id").alias("dst"), F.col("community_id").alias("b")), "dst").groupBy(
+        best_q, result = q, merged
+        graph = cut_lineage(graph.join(comm.select(F.col("id").alias("src"), F.col("community_id").alias("a")), "src").join(
+            comm.select(F.col("id").alias("dst"), F.col("community_id").alias("b")), "dst").groupBy(
             F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight")))
     return result
