@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chunking", "store", "media", "graph"]
+MODULES = ["chunking", "store", "media", "graph", "search"]
 
 
 def _collect(attr: str) -> dict:

@@ -33,11 +33,13 @@ def optimization_requests(chunks: DataFrame, samples: DataFrame, batch_size: int
             F.substring(F.coalesce("content", F.lit("")), 1, 1500).alias("content"),
             F.coalesce("is_manual", F.lit(False)).alias("is_manual")).alias("c"))
     grouped = batched.groupBy("source_file", "batch_no").agg(F.sort_array(F.collect_list(entry)).alias("_c"))
-    qa = samples.agg(F.sort_array(F.collect_list(F.struct(
-        F.col("created_at"), F.struct("question", "retrieved_chunks", "answer", "verdict", "notes").alias("s"))), asc=False).alias("_q"))
-    both = grouped.withColumn("_k", F.lit(1)).join(qa.withColumn("_k", F.lit(1)), "_k")
-    return both.select("source_file", "batch_no", F.size("_c").alias("n_chunks"), F.to_json(F.struct(
-        F.lit("1.0").alias("task_version"), "source_file", F.transform("_q", lambda x: x["s"]).alias("qa_samples"),
+    # at most 20 samples, the same for every request
+    rows = F.collect_list(F.struct("created_at", F.struct(
+        "question", "retrieved_chunks", "answer", "verdict", "notes").alias("s")))
+    qa = samples.agg(F.to_json(F.transform(F.sort_array(rows, asc=False), lambda x: x["s"])).alias("j")).first()["j"]
+    shape = "array<struct<question:string,retrieved_chunks:array<string>,answer:string,verdict:string,notes:string>>"
+    return grouped.select("source_file", "batch_no", F.size("_c").alias("n_chunks"), F.to_json(F.struct(
+        F.lit("1.0").alias("task_version"), "source_file", F.from_json(F.lit(qa or "[]"), shape).alias("qa_samples"),
         F.transform("_c", lambda x: x["c"]).alias("chunks"))).alias("request"))
 
 

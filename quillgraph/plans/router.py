@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quillgraph.functions import text as T, vocab as V
 from quillgraph.functions.text import strip
 from quillgraph.operators import aggregates as A, scoring as S
-from quillgraph.operators.ordering import cut_lineage
+from quillgraph.operators.ordering import cut_lineage, position_in_group
 from quillgraph.plans.search import hits_by_headings
 
 
@@ -48,11 +48,10 @@ def prefilter_headings(queries: DataFrame, headings: DataFrame, keep: int = 30,
         F.sum("w").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "heading_path")
     top = scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= keep)
-    first = headings.select("heading_path").orderBy("heading_path").limit(default)
-    first = first.agg(F.array_sort(F.collect_list("heading_path")).alias("_p"))        # at most ``default`` paths
-    none = queries.select("query_id").join(top.select("query_id").distinct(), "query_id", "left_anti").withColumn("_k", F.lit(1))
-    offered = none.join(first.withColumn("_k", F.lit(1)), "_k").select(
-        "query_id", F.posexplode("_p").alias("position", "heading_path"))
+    none = queries.select("query_id").join(top.select("query_id").distinct(), "query_id", "left_anti")
+    first = [r["heading_path"] for r in headings.select("heading_path").orderBy("heading_path").limit(default).collect()]
+    offered = none.select("query_id", F.posexplode(
+        F.array(*[F.lit(p) for p in first]).cast("array<string>")).alias("position", "heading_path"))
     return top.select("query_id", "position", "heading_path").unionByName(
         offered.withColumn("position", F.col("position") + 1))
 
@@ -69,16 +68,25 @@ def _contained(words: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select("query_id", "id")
 
 
-def offered_headings(routed: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Numbered heading list per question: its category's paths, else the prefiltered ones of all."""
-    # a chunk's category decides the list, so a path may be listed under several categories
-    per_cat = chunks.filter(F.coalesce("heading_path", F.lit("")) != "").select("category", "heading_path").distinct()
-    order = Window.partitionBy("category").orderBy("heading_path")
-    numbered = per_cat.withColumn("position", F.row_number().over(order))
-    own = routed.select("query_id", "category").join(numbered, "category").select("query_id", "position", "heading_path")
-    empty = routed.join(per_cat.select("category").distinct(), "category", "left_anti")
-    wide = prefilter_headings(empty.select("query_id", F.col("standalone_query").alias("query")), A.list_headings(chunks))
-    return own.unionByName(wide)
+def numbered_headings(chunks: DataFrame) -> DataFrame:
+    """Heading paths of each category with their 1-based number in path order."""
+    paths = chunks.filter(F.coalesce("heading_path", F.lit("")) != "").select("category", "heading_path").distinct()
+    return position_in_group(paths, ["category"], ["heading_path"], "position").withColumn(
+        "position", (F.col("position") + 1).cast("int"))
+
+
+def chosen_headings(routed: DataFrame, chunks: DataFrame, picks: DataFrame) -> DataFrame:
+    """Paths behind the picked numbers: of the question's category, else of the prefiltered list.
+
+    Numbers meet the list by an equi-join, so the list is never written out per question.
+    """
+    numbered = numbered_headings(chunks)
+    with_list = routed.join(numbered.select("category").distinct(), "category", "left_semi")
+    own = picks.join(with_list.select("query_id", "category"), "query_id").join(numbered, ["category", "position"])
+    rest = routed.join(with_list.select("query_id"), "query_id", "left_anti")
+    wide = prefilter_headings(rest.select("query_id", F.col("standalone_query").alias("query")), A.list_headings(chunks))
+    cols = ["query_id", "sel_no", F.col("heading_path").alias("selected_path")]
+    return own.select(*cols).unionByName(picks.join(wide, ["query_id", "position"]).select(*cols))
 
 
 def locate(routed: DataFrame, chunks: DataFrame, decisions: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -91,9 +99,7 @@ def locate(routed: DataFrame, chunks: DataFrame, decisions: DataFrame, limit: in
     list_of = F.coalesce(F.when(F.size("d.selected_indices") > 0, F.col("d.selected_indices")), F.col("d.indices"))
     picks = parsed.select("query_id", F.posexplode(list_of).alias("sel_no", "v")).select(
         "query_id", "sel_no", F.col("v").try_cast("int").alias("position"))
-    offered = offered_headings(routed, chunks)
-    chosen = cut_lineage(picks.join(offered, ["query_id", "position"]).select(
-        "query_id", "sel_no", F.col("heading_path").alias("selected_path")))
+    chosen = cut_lineage(chosen_headings(routed, chunks, picks))
     hits = hits_by_headings(chosen.join(routed.select("query_id", F.col("category").alias("_want")), "query_id"), chunks)
     hits = hits.filter(F.col("category") == F.col("_want")).drop("_want")
     rest = routed.join(chosen.select("query_id").distinct(), "query_id", "left_anti")
