@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chunking", "store", "media", "graph", "search"]
+MODULES = ["chunking", "store", "media", "graph", "search", "review", "streams"]
 
 
 def _collect(attr: str) -> dict:

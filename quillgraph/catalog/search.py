@@ -108,7 +108,7 @@ QUERIES = {
     "find_nodes": lambda s, d: S.find_nodes(X.queries_t(s, d), G.build_nodes(X.chunks_t(s, d)), 10).select(
         "query_id", "rank", "id", F.round("score", 6).alias("score")),
     "score_nodes": lambda s, d: S.score_nodes(X.queries_t(s, d), G.build_nodes(X.chunks_t(s, d))).groupBy("query_id").agg(
-        F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"), F.round(F.max("score"), 6).alias("best")),
+        F.count("*").alias("n"), F.round(F.sum(F.col("score").cast("decimal(28,12)")).cast("double"), 6).alias("total"), F.round(F.max("score"), 6).alias("best")),
     "fuzzy_scores": lambda s, d: S.fuzzy_scores(X.queries_t(s, d), G.build_nodes(X.chunks_t(s, d))).groupBy("query_id").agg(
         F.count("*").alias("n"), F.round(F.max("similarity"), 6).alias("best")),
     "rank_nodes": lambda s, d: _ranked(s, d).select("query_id", "id", F.round("score", 6).alias("score")),
@@ -295,7 +295,7 @@ ORACLE = {
     "find_nodes": "WITH " + GC.NODES + "," + X.QUERIES_SQL + "," + scoring_sql("queries_t") + "," + TOP_NODES
         + "SELECT query_id, rank, id, round(score, 6) AS score FROM start10",
     "score_nodes": "WITH " + GC.NODES + "," + X.QUERIES_SQL + "," + scoring_sql("queries_t")
-        + "SELECT query_id, count(*) AS n, round(sum(score), 3) AS total, round(max(score), 6) AS best FROM scores JOIN ntext USING (tid) WHERE kind = 'q' GROUP BY 1",
+        + "SELECT query_id, count(*) AS n, round(sum(score::DECIMAL(28,12))::DOUBLE, 6) AS total, round(max(score), 6) AS best FROM scores JOIN ntext USING (tid) WHERE kind = 'q' GROUP BY 1",
     "rank_nodes": "WITH " + GC.LAST + "," + X.QUERIES_SQL + "," + scoring_sql("queries_t") + "," + FEATURES + """
         SELECT v.query_id, v.id, round(coalesce(s.score, 0.0::DOUBLE) * 2.0 + cohesion + bonus, 6) AS score
         FROM (SELECT 's-' || d.source || '-' || d.lang AS query_id, n.id FROM nodes n JOIN documents d USING (doc_id)) v

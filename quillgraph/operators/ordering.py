@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -22,6 +23,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints"))
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path next to the checkpoints, on the storage all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and keeps iterative plans short."""
     ensure_checkpoint_dir(df.sparkSession)
