@@ -281,6 +281,11 @@ def strip_legacy_prefix(x) -> Column:
     return F.when(s.startswith("Heading path: ") & s.contains("\n\n"), tail).otherwise(s)
 
 
+def iso_now() -> Column:
+    """Current time as ISO-8601 text in the session's zone."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
 def asr_confidence(avg_logprob) -> Column:
     return py_round(_c(avg_logprob) + F.lit(1.0), 3)
 

@@ -61,7 +61,7 @@ def heading_edges(nodes: DataFrame) -> DataFrame:
     child = first.withColumn("_parts", path_parts(F.col("heading_path"))).filter(
         (F.size("_parts") > 1) & (F.array_join("_parts", M.PATH_SEP) == F.col("heading_path")))
     child = child.select(F.col("id").alias("child"), F.array_join(
-        F.slice("_parts", 1, F.size("_parts") - 1), M.PATH_SEP).alias("heading_path"))
+        F.slice("_parts", 1, F.greatest(F.size("_parts") - 1, F.lit(0))), M.PATH_SEP).alias("heading_path"))
     joined = child.join(first.withColumnRenamed("id", "parent"), "heading_path")
     return _edges(joined, "parent", "child", "references", 1.0)
 

@@ -98,7 +98,7 @@ def parse_review_text(files: DataFrame) -> DataFrame:
                                  F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), F.length(r).alias("n")))).alias("out")),
                              lambda acc: acc["out"])
         return F.transform(starts, lambda s: F.struct(
-            F.regexp_extract(strip(F.get(lines, s["start"])), CHUNK_HEADER, 1).cast("bigint").alias("chunk_no"),
+            F.regexp_extract(strip(F.get(lines, s["start"])), CHUNK_HEADER, 1).try_cast("bigint").alias("chunk_no"),
             F.slice(lines, s["start"] + 2, s["n"] - 1).alias("lines")))
 
     rows = files.select(
@@ -114,7 +114,7 @@ def parse_review_text(files: DataFrame) -> DataFrame:
     key_of, val_of = lambda l: F.regexp_extract(l, META_LINE, 1), lambda l: strip(F.regexp_extract(l, META_LINE, 2))
     entries = F.transform(meta, lambda l: F.struct(key_of(l).alias("key"), val_of(l).alias("value")))
     rows = rows.withColumn("_m", entries)
-    last = lambda name: F.element_at(F.transform(F.filter("_m", lambda e: e["key"] == name), lambda e: e["value"]), -1)
+    last = lambda name: let(F.filter("_m", lambda e: e["key"] == name), lambda es: F.get(es, F.size(es) - 1)["value"])
     marker = F.regexp_extract(strip(F.get("lines", F.col("_f") - 1)), FENCE, 1)
     after = F.slice("lines", F.col("_f") + 1, F.greatest(F.size("lines"), F.lit(1)))
     rows = rows.withColumn("_after", F.when(F.col("_f") > 0, after).otherwise(F.array().cast("array<string>")))

@@ -53,7 +53,7 @@ def sync_chunks(l2: DataFrame, store: DataFrame, delete_missing: bool = False, n
 
     Returns (new_store, actions).  ``actions`` has one row per L2 row and per deleted id.
     """
-    now = F.current_timestamp() if now is None else now
+    now = T.iso_now() if now is None else now
     rows = l2.withColumn("_id", F.when(_s("chunk_id") != "", F.col("chunk_id")).otherwise(_s("anchor_id")))
     rows = rows.withColumn("_ok", (strip(_s("content")) != "") & (F.col("_id") != ""))
     edited = F.col("user_edited") if "user_edited" in l2.columns else F.lit(False)
@@ -82,7 +82,7 @@ def sync_chunks(l2: DataFrame, store: DataFrame, delete_missing: bool = False, n
         "version": F.when(upd, F.col("_o_version") + 1).otherwise(F.lit(1)).cast("int"),
         "seq": F.when(upd, F.col("_o_seq")).otherwise(F.col("seq")),
     }
-    changed = written.select(*[fresh[c].alias(c) if c in fresh else F.col(f"_o_{c}").alias(c)
+    changed = written.select(*[fresh[c].cast(store.schema[c].dataType).alias(c) if c in fresh else F.col(f"_o_{c}").alias(c)
                                for c in store.columns])
     kept = store.join(changed.select("id"), "id", "left_anti")
     actions = acted.select("source_file", F.col("_id").alias("id"), "action")
@@ -103,7 +103,7 @@ def sync_summary(l2: DataFrame, store: DataFrame, delete_missing: bool = False)
 
 def upsert_chunks(store: DataFrame, rows: DataFrame, now: Column | None = None) -> DataFrame:
     """Insert or replace: the last new row per id wins and starts at version 1."""
-    stamp = F.current_timestamp() if now is None else now
+    stamp = T.iso_now() if now is None else now
     fresh = last_per_id(rows).withColumn("version", F.lit(1)).withColumn("created_at", stamp)
     return store.join(fresh.select("id"), "id", "left_anti").unionByName(fresh.select(*store.columns))
 

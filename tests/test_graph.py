@@ -1,0 +1,180 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillgraph.operators import graph as G, ordering as O, scoring as S, traversal as TR
+from tests import models
+
+NODE = "id string, label string, source_file string, category string, heading_path string, node_seq bigint"
+EDGE = "src string, dst string, relation string, confidence string, confidence_score double, source_file string, weight double"
+
+
+def edges_of(spark, pairs):
+    return spark.createDataFrame([(min(p), max(p), "references", "EXTRACTED", 1.0, "", 1.0) for p in pairs], EDGE)
+
+
+def nodes_of(spark, ids, source="s"):
+    return spark.createDataFrame([(i, i, source, "general", "", n) for n, i in enumerate(ids)], NODE)
+
+
+def pairs(df):
+    return {frozenset((r["src"], r["dst"])) for r in df.collect()}
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 6, 11, 12, 30])
+def test_category_edges_closed_form(spark, n):
+    ids = [f"n{i:03d}" for i in range(n)]
+    df = G.category_edges(nodes_of(spark, ids), hot_rows=4)
+    assert pairs(df) == models.category_links(ids, []) and df.count() == len(pairs(df))
+
+
+def test_category_edges_with_prior_edges(spark):
+    """Random groups, trees with big parents and cliques, all in one job."""
+    rnd = random.Random(11)
+    rows, prior, want = [], [], set()
+    for g in range(14):
+        n = rnd.randrange(2, 45)
+        ids = [f"g{g:02d}-{i:03d}" for i in range(n)]
+        rows += [(x, x, f"src{g}", "general", "", i) for i, x in enumerate(ids)]
+        if g % 3 == 0:
+            mine = [(ids[rnd.randrange(0, max(i, 1))], ids[i]) for i in range(1, n) if rnd.random() < 0.7]
+        elif g % 3 == 1:
+            hub = rnd.randrange(n)
+            mine = [(ids[hub], ids[i]) for i in range(min(n, 30)) if i != hub]
+        else:
+            mine = [(ids[a], ids[b]) for a in range(min(n, 9)) for b in range(a) if rnd.random() < 0.8]
+        mine = [p for p in mine if p[0] != p[1]]
+        prior += mine
+        want |= models.category_links(ids, mine)
+    nodes = spark.createDataFrame(rows, NODE)
+    assert pairs(G.category_edges(nodes, edges_of(spark, prior))) == want
+
+
+def test_incremental_category_edges(spark):
+    ids = [f"n{i:02d}" for i in range(20)]
+    got = pairs(G.category_edges_incremental(nodes_of(spark, ids)))
+    assert got == {frozenset((ids[a], ids[b])) for a in range(5) for b in range(a + 1, 20)}
+
+
+def test_heading_and_sequence_edges(spark):
+    rows = [("a", "A"), ("b", "A > B"), ("c", "A > B > C"), ("d", "A>B"), ("e", "A > B"), ("f", "")]
+    nodes = spark.createDataFrame([(i, i, "g.pdf", "tech_manual", h, n) for n, (i, h) in enumerate(rows)], NODE)
+    assert pairs(G.heading_edges(nodes)) == {frozenset("ab"), frozenset("bc")}
+    assert pairs(G.sequence_edges(nodes)) == {frozenset("fa"), frozenset("ab"), frozenset("be"), frozenset("ec"), frozenset("cd")}
+
+
+def test_build_graph_from_two_chunks_and_precedence(spark):
+    chunks = spark.createDataFrame(
+        [("1", "x", "A > B", "tech_manual", "guide.pdf", 1), ("2", "y", "A > B > C", "tech_manual", "guide.pdf", 2),
+         ("3", "z", "", "odd", "guide.pdf", 3)],
+        "id string, content string, heading_path string, category string, payload_file string, seq bigint")
+    nodes, edges = G.build_graph(chunks)
+    assert nodes.count() == 2 and [(r["relation"], r["weight"]) for r in edges.collect()] == [("references", 1.0)]
+    _, last = G.build_graph(chunks, None, "last")
+    assert [(r["relation"], r["weight"]) for r in last.collect()] == [("references", 0.3)]
+
+
+def test_remove_source(spark):
+    nodes = spark.createDataFrame([("x1", "x1", "doc1.pdf", "general", "", 1), ("x2", "x2", "doc1.pdf", "general", "", 2),
+                                   ("y1", "y1", "doc2.pdf", "general", "", 3)], NODE)
+    kept, edges, removed = G.remove_source(nodes, edges_of(spark, [("x1", "x2"), ("x2", "y1")]),
+                                           spark.createDataFrame([("doc1.pdf",)], "source_file string"))
+    assert [r["id"] for r in kept.collect()] == ["y1"] and edges.count() == 0 and removed.first()["removed"] == 2
+
+
+def test_bfs_chain_and_cap(spark):
+    chain = [("a", "b"), ("b", "c"), ("c", "d")]
+    starts = spark.createDataFrame([("q", "a")], "query_id string, id string")
+    visited, walked = TR.bfs(edges_of(spark, chain), starts, 3)
+    assert visited.count() == 4 and walked.count() == 3
+    rnd = random.Random(4)
+    ids = [f"v{i}" for i in range(40)]
+    graph = {tuple(sorted(rnd.sample(ids, 2))) for _ in range(60)}
+    begin = {f"q{k}": rnd.sample(ids, 2) for k in range(8)}
+    starts = spark.createDataFrame([(q, i) for q, s in begin.items() for i in s], "query_id string, id string")
+    visited, walked = TR.bfs(edges_of(spark, graph), starts, 3, 12)
+    v, w = visited.collect(), walked.collect()
+    for q, s in begin.items():
+        seen, steps = models.bfs(graph, s, 3, 12)
+        assert {r["id"] for r in v if r["query_id"] == q} == seen
+        assert sorted((r["from_id"], r["to_id"]) for r in w if r["query_id"] == q) == sorted(steps)
+
+
+def test_components(spark):
+    ids = ["a1", "a2", "a3", "b1", "b2", "b3", "solo"]
+    comm = TR.connected_components(nodes_of(spark, ids), edges_of(spark, [("a1", "a2"), ("a2", "a3"), ("b1", "b2"), ("b2", "b3")]))
+    assert {r["id"]: r["community_id"] for r in comm.collect()} == {
+        "a1": "a1", "a2": "a1", "a3": "a1", "b1": "b1", "b2": "b1", "b3": "b1", "solo": "solo"}
+
+
+def test_modularity_communities_beat_singletons(spark):
+    cliques = [(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(5) for j in range(i)] + [("a0", "b0")]
+    edges = edges_of(spark, cliques)
+    nodes = nodes_of(spark, sorted({x for p in cliques for x in p}))
+    comm = TR.modularity_communities(nodes, edges)
+    alone = nodes.select("id", F.col("id").alias("community_id"))
+    assert TR.modularity(edges, comm).first()[0] > TR.modularity(edges, alone).first()[0] + 0.3
+    assert comm.count() == 10
+
+
+def test_scores_match_model(spark):
+    rnd = random.Random(9)
+    words = ["configuration", "network", "参数", "port", "guide", "api", "setup", "机器", "mtu", "x1"]
+    rows = []
+    for n in range(60):
+        path = " > ".join(rnd.sample(words, rnd.randrange(0, 3)))
+        rows.append((f"n{n}", (path or rnd.choice(words)) + " [general]", "s", "general", path, n))
+    nodes = spark.createDataFrame(rows, NODE)
+    asked = ["network guide", "configration", "zz qq", "参数 mtu", "general", "p", "port port api"]
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "query_id bigint, query string")
+    terms = {r["query_id"]: r["terms"] for r in S.with_match_terms(queries).collect()}
+    got = {(r["query_id"], r["id"]): r["score"] for r in S.score_nodes(queries, nodes).collect()}
+    want = {(q, r[0]): models.node_score(t, r[1].lower(), r[4].lower(), r[3]) for q, t in terms.items() for r in rows}
+    assert got == {k: v for k, v in want.items() if v > 0}
+    top = S.find_nodes(queries, nodes, 3).collect()
+    order = {r[0]: r[5] for r in rows}
+    for q in terms:
+        best = sorted((k for k in got if k[0] == q), key=lambda k: (-got[k], order[k[1]]))[:3]
+        assert [r["id"] for r in sorted((r for r in top if r["query_id"] == q), key=lambda r: r["rank"])] == [b[1] for b in best]
+    feats = S.lowered_fields(nodes).withColumn("degree", F.lit(0)).withColumn("cohesion", F.lit(0.0))
+    visited = queries.filter("query_id = 0").select("query_id").join(nodes.select("id"), how="inner", on=F.lit(True))
+    ranked = {r["id"]: r["score"] for r in S.rank_nodes(visited, queries, feats).collect()}
+    assert ranked == {r[0]: 2 * models.node_score(["network", "guide"], r[1].lower(), r[4].lower(), r[3]) for r in rows}
+
+
+def test_misspelled_question_finds_its_node(spark):
+    nodes = spark.createDataFrame([("n", "configuration settings", "s", "general", "", 1), ("m", "other", "s", "general", "", 2)], NODE)
+    q = spark.createDataFrame([(1, "configration")], "query_id bigint, query string")
+    assert S.find_nodes(q, nodes, 1).first()["id"] == "n"
+    fuzzy = S.fuzzy_scores(q, nodes).collect()
+    assert [(r["id"], round(r["similarity"], 6)) for r in fuzzy] == [("n", round(1 - 1 / 13, 6))]
+
+
+def test_query_blocks_cover_all_questions(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_ROWS", 3)
+    nodes = nodes_of(spark, [f"word{i}" for i in range(12)])
+    q = spark.createDataFrame([(i, f"word{i}") for i in range(12)], "query_id bigint, query string")
+    got = {r["query_id"]: r["id"] for r in S.find_nodes(q, nodes, 1).collect()}
+    assert got == {i: f"word{i}" if i > 1 else "word1" if i == 1 else "word0" for i in range(12)}
+
+
+def test_positions_of_a_hot_group(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+                                  (F.hash("id") % 1000).alias("o"), "id")
+    got = O.position_in_group(df, ["k"], ["o", "id"], "pos").toPandas().sort_values(["k", "o", "id"])
+    assert (got.groupby("k").cumcount() == got["pos"]).all() and len(got) == 5000
+    prev = O.with_previous(spark.createDataFrame(got), ["k"], "pos", 2, ["id"], "p", bucket=64).toPandas().sort_values(["k", "pos"])
+    for k, part in prev.groupby("k"):
+        ids = list(part["id"])
+        assert [[r["id"] for r in x] for x in part["p"]] == [ids[max(0, i - 2):i] for i in range(len(ids))]
+    marked = O.last_marked_position(spark.createDataFrame(got), ["k"], "pos", F.col("id") % 97 == 0, "m", bucket=64).toPandas()
+    for k, part in marked.sort_values(["k", "pos"]).groupby("k"):
+        want = part["pos"].where(part["id"] % 97 == 0).ffill()
+        assert want.fillna(-1).astype(int).tolist() == part["m"].fillna(-1).astype(int).tolist()
+
+
+def test_salted_join_of_hot_groups(spark):
+    big = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 20)).alias("k"), "id")
+    small = big.select("k").distinct().withColumn("v", F.length("k"))
+    assert O.join_hot(big, small, ["k"], hot_rows=50).count() == big.join(small, "k").count() == 1000
