@@ -45,25 +45,41 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 6) -> DataFr
     return bfs(edges, starts, max_depth, None)[0]
 
 
+def _jump(parent: DataFrame, times: int) -> DataFrame:
+    """Follow every pointer 2^times - 1 steps further."""
+    for _ in range(times):
+        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
+        parent = parent.join(up, "parent").select("node", F.col("up").alias("parent"))
+    return parent
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, community_id): smallest node id of the component.
 
-    Each round takes the smallest label around a node and then the label of that label, so
-    the number of rounds grows with the logarithm of the longest path.
+    Each round points every node at its smallest neighbour, follows the pointers to their ends
+    by doubling, and contracts the graph to those ends.  The graph that is left shrinks
+    fast, and only the label table keeps its size.
     """
-    near = cut_lineage(both_ways(edges).select("node", "neighbor").distinct())
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("label")))
+    labels = nodes.select("id", F.col("id").alias("label"))
+    live = edges.select("src", "dst").filter("src <> dst")
     while True:
-        around = near.join(labels.select(F.col("id").alias("neighbor"), "label"), "neighbor").groupBy("node").agg(
-            F.min("label").alias("near_label"))
-        lower = labels.join(around.withColumnRenamed("node", "id"), "id", "left").select(
-            "id", F.col("label").alias("old"), F.least("label", "near_label").alias("label"))
-        jumped = lower.join(lower.select(F.col("id").alias("label"), F.col("label").alias("up")), "label").select(
-            "id", "old", F.col("up").alias("label"))
-        step = cut_lineage(jumped)
-        labels = step.select("id", "label")
-        if step.filter("old <> label").isEmpty():
+        ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("near")),
+                                 F.struct(F.col("dst").alias("node"), F.col("src").alias("near"))))
+        if live.isEmpty():
             return labels.select("id", F.col("label").alias("community_id"))
+        parent = cut_lineage(live.select(ends.alias("e")).select("e.*").groupBy("node").agg(
+            F.min("near").alias("near")).select("node", F.least("node", "near").alias("parent")))
+        while True:
+            further = cut_lineage(_jump(parent, 2))
+            settled = further.join(parent.withColumnRenamed("parent", "old"), "node").filter("old <> parent").isEmpty()
+            parent = further
+            if settled:
+                break
+        labels = cut_lineage(labels.join(parent.withColumnRenamed("node", "label"), "label", "left").select(
+            "id", F.coalesce("parent", "label").alias("label")))
+        to = lambda end: parent.select(F.col("node").alias(end), F.col("parent").alias(f"{end}_to"))
+        live = cut_lineage(live.join(to("src"), "src").join(to("dst"), "dst").filter("src_to <> dst_to").select(
+            F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).distinct())
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
