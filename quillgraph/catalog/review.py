@@ -248,7 +248,17 @@ ORACLE = {
 
 
 def _fill() -> None:
-    from quillgraph.catalog import graph as GC
+    from quillgraph.catalog import graph as GC, media as MC, search as SC
+    ORACLE["summary_markdown"] = "WITH " + X.RUNS_SQL + ", r AS (" + MC._SUM.replace("WHERE_MORE", "") + """)
+        SELECT '| ' || parser || ' | ' || ok_count || '/' || total || ' (' || format('{:.1f}', success_rate) || '%) | ' || format('{:.3f}', avg_time)
+          || ' | ' || format('{:.3f}', p50_time) || ' | ' || format('{:.3f}', p95_time) || ' | ' || format('{:.3f}', avg_blocks) || ' |' AS line FROM r"""
+    answers = SC.ORACLE["retrieval_answers"].replace("'模型不可用' || chr(10) || chr(10) || ", "")
+    ORACLE["trace_rows"] = SC.ORACLE["prompts"].replace("SELECT query_id, n_hits, prompt FROM prompts", "") + (
+        ", ans AS (" + answers[answers.index("SELECT q.query_id, coalesce("):] + """)
+        SELECT q.query_id, length(p.prompt) AS prompt_chars, length(a.answer) AS answer_chars, coalesce(h.n, 0) AS n, h.contents
+        FROM queries_t q LEFT JOIN prompts p USING (query_id) LEFT JOIN ans a USING (query_id)
+        LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(substr(content, 1, 240), '¦' ORDER BY rank) AS contents FROM found
+          WHERE rank <= 5 GROUP BY 1) h USING (query_id)""")
     ORACLE["graph_files"] = "WITH " + GC.LAST + "SELECT * FROM g"
     base = CC.ORACLE["chunk_documents_md"]
     name = "regexp_extract(source_file, '([^/]*)$', 1)"

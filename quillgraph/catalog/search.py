@@ -82,6 +82,22 @@ def _located(s, d):
     return RT.locate(_routed(s, d), _chunks(s, d), _locate_raw(s, d))
 
 
+def _rounds(s, d):
+    """Locate and validate answers of three rounds for every question."""
+    q = X.queries_t(s, d).withColumn("round", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    n = F.length("query") + F.col("round")
+    pick = F.when(n % 3 == 0, F.concat(F.lit('{"indices": ['), (n % 40 + 1).cast("string"), F.lit("]}"))).otherwise(F.lit("no"))
+    judge = F.when(n % 4 == 0, F.lit('{"valid": true}')).when(n % 4 == 1, F.lit("odd")).otherwise(
+        F.lit('{"valid": false, "missing": "the"}'))
+    both = F.explode(F.array(F.struct(F.lit("locate").alias("phase"), pick.alias("raw")),
+                             F.struct(F.lit("validate").alias("phase"), judge.alias("raw"))))
+    return q.select("query_id", "round", both.alias("e")).select("query_id", "round", "e.phase", "e.raw")
+
+
+def _routed_search(s, d):
+    return RT.routed_search(cut_lineage(_routed(s, d)), _chunks(s, d), cut_lineage(_rounds(s, d)))
+
+
 def _tag_outputs(s, d):
     lab = X.table(s, d, "labels")
     return lab.select("doc_id", F.when(F.col("quality") == 1, F.lit(
@@ -144,6 +160,8 @@ QUERIES = {
         X.queries_t(s, d), cut_lineage(RT.A.list_headings(X.chunks_t(s, d)))),
     "router_locate": lambda s, d: _located(s, d)[0].select("query_id", "rank", "id", "via"),
     "router_locate_outcome": lambda s, d: _located(s, d)[1].withColumn("confidence", F.round("confidence", 6)),
+    "routed_search": lambda s, d: _routed_search(s, d)[0].select("query_id", "rank", "id", "via"),
+    "routed_search_outcome": lambda s, d: _routed_search(s, d)[1],
     "router_tags": lambda s, d: RT.parse_tags(_tag_outputs(s, d), X.table(s, d, "documents").select(
         "doc_id", F.col("text").alias("sample"))).select("doc_id", "category", F.array_join("tags", ",").alias("tags"), "description"),
 }
@@ -348,6 +366,15 @@ ORACLE = {
           || CASE WHEN length(content) > 900 THEN regexp_replace(substr(content, 1, 900), '[{X.SQL_WS}]+$', '') || '...' ELSE content END || chr(10), chr(10) ORDER BY rank),
           '[{X.SQL_WS}]+$', ''), '当前知识库中没有找到相关内容') AS answer
         FROM queries_t q LEFT JOIN (SELECT query_id, anchor_id, category, heading_path, content, rank FROM found WHERE rank <= 5) f ON f.query_id = q.query_id GROUP BY q.query_id""",
+    "preview_rows": "WITH " + SEARCH_TEXT + rf""",
+        hl AS (SELECT *, list_filter(list_concat([query], regexp_split_to_array(query, '[{X.SQL_WS},，。！？；:：/\\|()\[\]{{}}<>"''`]+')), lambda t: length(t) >= 2) AS t0
+          FROM found WHERE rank <= 5),
+        hs AS (SELECT *, list_sort(list_transform(t0, lambda t, i: (-length(t), i, t))) AS t1 FROM hl)
+        SELECT query_id, rank, CASE WHEN heading_path <> '' THEN substr(string_split(heading_path, ' > ')[-1], 1, 80)
+            ELSE substr({X.sql_strip("ltrim(content, '#')")}, 1, 80) END AS title,
+          'MARKDOWN  ·  ' || payload_file AS meta,
+          replace(replace(""" + _ESC2.format(r"""regexp_replace(content, '(?i)(' || array_to_string(list_transform(t1, lambda s: regexp_escape(s[3])), '|') || ')',
+            chr(57344) || '\1' || chr(57345), 'g')""") + """, chr(57344), '<mark>'), chr(57345), '</mark>') AS body FROM hs""",
     "hits_by_headings": "WITH " + X.CHUNKS_SQL + """, sel AS (SELECT DISTINCT lang AS query_id, source || ' > ' || lang AS p,
           CAST(regexp_extract(source, '[0-9]+') AS INT) AS sel_no FROM documents)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sel_no, heading_path, seq) AS rank, id

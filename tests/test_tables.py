@@ -182,3 +182,39 @@ def test_citations_and_preview(spark):
     q = spark.createDataFrame([("q", "api")], "query_id string, query string")
     first = H.preview_rows(hits, q).orderBy("rank").first()
     assert first["title"] == "Title" and first["meta"] == "PDF" and first["body"].endswith("<mark>api</mark>")
+
+
+def test_routed_search_rounds(spark):
+    from quillgraph.plans import router as RT
+    chunks = spark.createDataFrame(
+        [("p1", "proc one", "P", "process", 1), ("g1", "gen one", "G", "general", 2), ("g2", "gen two find me", "G > H", "general", 3)],
+        "id string, content string, heading_path string, category string, seq bigint")
+    routed = spark.createDataFrame(
+        [("ok", "process", "x"), ("widen", "process", "x"), ("extra", "general", "find me"), ("none", "parameter", "nothing here"),
+         ("text", "process", "gen one"), ("stub", "general", "proc one")],
+        "query_id string, category string, standalone_query string")
+    pick = '{"selected_indices": [1]}'
+    rows = [("ok", 1, "locate", pick), ("ok", 1, "validate", '{"valid": true}'),
+            ("widen", 1, "locate", pick), ("widen", 1, "validate", '{"valid": false}'), ("widen", 2, "locate", pick), ("widen", 2, "validate", "odd"),
+            ("extra", 1, "locate", '{"indices": [2, 9]}'), ("extra", 1, "validate", '{"valid": false, "missing": "one"}'),
+            ("text", 1, "validate", '{"valid": true}'), ("stub", 1, "locate", "{}")]
+    decisions = spark.createDataFrame(rows, "query_id string, round int, phase string, raw string")
+    hits, outcome = RT.routed_search(routed, chunks, decisions)
+    got = {r["query_id"]: (r["category"], r["attempts"], r["validated"]) for r in outcome.collect()}
+    assert got == {"ok": ("process", 1, True), "widen": ("general", 2, True), "extra": ("general", 1, False),
+                   "none": ("general", 2, False), "text": ("process", 1, True), "stub": ("general", 1, True)}
+    by = {}
+    for r in sorted(hits.collect(), key=lambda r: r["rank"]):
+        by.setdefault(r["query_id"], []).append((r["id"], r["via"]))
+    assert by == {"ok": [("p1", "heading")], "widen": [("g1", "heading"), ("g2", "heading")],
+                  "extra": [("g2", "heading"), ("g1", "supplement"), ("p1", "supplement")],
+                  "text": [("g1", "text")], "stub": [("p1", "text")]}
+
+
+def test_tags_and_routes(spark):
+    from quillgraph.plans import router as RT
+    q = spark.createDataFrame([("a", "x api", "x api"), ("b", "y", "y"), ("c", "z", "z")], "query_id string, query string, condensed string")
+    d = spark.createDataFrame([("a", "none"), ("b", 'k {"category": "nope", "standalone_query": " s "}'), ("c", '{"category": "process"}')],
+                              "query_id string, raw string")
+    got = {r["query_id"]: (r["category"], r["standalone_query"], r["router_source"]) for r in RT.apply_route_decisions(q, d).collect()}
+    assert got == {"a": ("tech_manual", "x api", "heuristic"), "b": ("general", "s", "llm"), "c": ("general", "z", "heuristic")}
