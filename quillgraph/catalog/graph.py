@@ -34,8 +34,8 @@ def _path_edges(s, d):
 
 
 def _components(s, d):
-    nodes = _nodes(s, d)
-    edges = G.heading_edges(nodes).unionByName(_path_edges(s, d))
+    nodes = cut_lineage(_nodes(s, d))
+    edges = cut_lineage(G.heading_edges(nodes).unionByName(_path_edges(s, d)))
     return nodes, edges, TR.connected_components(nodes, edges)
 
 
