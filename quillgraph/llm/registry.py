@@ -22,7 +22,20 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op3_exact_dedup, op8_quality)}
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from quillgraph.llm.byte_bpe import VOCABULARY, encode_digests
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from quillgraph.llm.token_counts import MODEL, token_counts
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op8_quality, op10_token_counts)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
