@@ -17,6 +17,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.warc import archive
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.quality import quality_rules
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -35,7 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op8_quality, op10_token_counts)}
+    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op4_warc_bundles, op8_quality, op10_token_counts)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -75,4 +80,10 @@ WITH n AS (SELECT doc_id, {_NORM} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM n""",
+    "op4_warc_bundles": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM q""",
 }
