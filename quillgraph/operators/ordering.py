@@ -8,19 +8,27 @@ has at most a row per partition.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from quillgraph.session import local_work_folder
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set a local one only when none is named."""
+    """Use the folder the cluster names in spark.checkpoint.dir.
+
+    Only a local session may do without: there the folder of ``local_work_folder`` is used.  A cluster that
+    names none is an error, since executors could not read each other's tables.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or local_work_folder())
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -34,11 +42,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Survives executor loss, keeps iterative plans short, fixes range boundaries and row order once,
     and gives the next plan true sizes, so that Spark itself decides which sides are small.
+    ``release`` removes the table once no later plan reads it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the tables of ``cut_lineage`` behind these frames."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def position_in_group(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "pos") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillgraph.operators.graph import both_ways
-from quillgraph.operators.ordering import cut_lineage
+from quillgraph.operators.ordering import cut_lineage, release
 
 
 def bfs(edges: DataFrame, starts: DataFrame, max_depth: int = 3,
@@ -45,41 +45,58 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 6) -> DataFr
     return bfs(edges, starts, max_depth, None)[0]
 
 
-def _jump(parent: DataFrame, times: int) -> DataFrame:
-    """Follow every pointer 2^times - 1 steps further."""
-    for _ in range(times):
-        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
-        parent = parent.join(up, "parent").select("node", F.col("up").alias("parent"))
-    return parent
+def _stars(links: DataFrame, small: bool) -> DataFrame:
+    """One star step over directed links (node, near), with near the smaller end.
 
+    Large: every node links its larger neighbours to the smallest node it knows, itself included.  Small: every node links its
+    smaller neighbours, and itself, to the smallest of them.  The smallest neighbour is a minimum per node, combined
+    before the shuffle, and has one row per node in the join behind it.
+    """
+    if small:
+        around = links
+    else:
+        around = links.select(F.explode(F.array(F.struct("node", "near"), F.struct(
+            F.col("near").alias("node"), F.col("node").alias("near")))).alias("e")).select("e.node", "e.near")
+    least = around.groupBy("node").agg(F.min("near").alias("least")).withColumn("least", F.least("node", "least"))
+    met = around.join(least, "node")
+    if small:
+        ends = F.array(F.struct(F.col("near").alias("node"), F.col("least").alias("near")),
+                       F.struct(F.col("node"), F.col("least").alias("near")))
+        met = met.select(F.explode(ends).alias("e")).select("e.node", "e.near")
+    else:
+        met = met.filter("near > node").select(F.col("near").alias("node"), F.col("least").alias("near"))
+    return met.filter("node <> near").distinct()
+
+
+def component_labels(edges: DataFrame) -> DataFrame:
+    """(node, label): smallest node of the component, for every node of ``edges`` (src, dst) with a neighbour.
+
+    Alternating large-star and small-star steps, until a pair of steps changes nothing; then every node links
+    straight to the smallest of its component.  A step is a minimum per node and a join on it; each one ends in a
+    written table, and the tables of earlier steps are removed.
+    """
+    spark = edges.sparkSession
+    links = cut_lineage(edges.filter("src <> dst").select(
+        F.greatest("src", "dst").alias("node"), F.least("src", "dst").alias("near")).distinct())
+    marks = [F.count("*"), F.sum(F.xxhash64("node", "near").cast("decimal(38,0)"))]
+    seen = tuple(links.agg(*marks).first())
+    while seen[0]:
+        large = cut_lineage(_stars(links, small=False))
+        after = cut_lineage(_stars(large, small=True))
+        now = tuple(after.agg(*marks).first())
+        release(links, large)
+        links, seen, before = after, now, seen
+        if now == before:
+            break
+    roots = links.select(F.col("near").alias("node"), F.col("near").alias("label")).distinct()
+    return links.select("node", F.col("near").alias("label")).unionByName(roots)
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, community_id): smallest node id of the component.
 
-    Each round points every node at its smallest neighbour, follows the pointers to their ends
-    by doubling, and contracts the graph to those ends.  The graph that is left shrinks
-    fast, and only the label table keeps its size.
-    """
-    labels = nodes.select("id", F.col("id").alias("label"))
-    live = edges.select("src", "dst").filter("src <> dst")
-    while True:
-        ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("near")),
-                                 F.struct(F.col("dst").alias("node"), F.col("src").alias("near"))))
-        if live.isEmpty():
-            return labels.select("id", F.col("label").alias("community_id"))
-        parent = cut_lineage(live.select(ends.alias("e")).select("e.*").groupBy("node").agg(
-            F.min("near").alias("near")).select("node", F.least("node", "near").alias("parent")))
-        while True:
-            further = cut_lineage(_jump(parent, 2))
-            settled = further.join(parent.withColumnRenamed("parent", "old"), "node").filter("old <> parent").isEmpty()
-            parent = further
-            if settled:
-                break
-        labels = cut_lineage(labels.join(parent.withColumnRenamed("node", "label"), "label", "left").select(
-            "id", F.coalesce("parent", "label").alias("label")))
-        to = lambda end: parent.select(F.col("node").alias(end), F.col("parent").alias(f"{end}_to"))
-        live = cut_lineage(live.join(to("src"), "src").join(to("dst"), "dst").filter("src_to <> dst_to").select(
-            F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).distinct())
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, community_id): smallest node id of the component; a node without edges is its own."""
+    labels = component_labels(edges.select("src", "dst"))
+    return nodes.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", F.coalesce("label", "id").alias("community_id"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:

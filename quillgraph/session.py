@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def local_work_folder() -> str:
+    """A fresh folder for written tables; only for sessions whose executors run on this machine."""
+    return os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
+
+
 def build_session(name: str = "quillgraph", cores: str | None = None) -> SparkSession:
     cores = cores or os.environ.get("BENCH_CPUS", "8")
     spark = (
