@@ -22,6 +22,11 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.url_filter import filter_urls, rule_table
+    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.quality import quality_rules
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -40,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op4_warc_bundles, op8_quality, op10_token_counts)}
+    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op4_warc_bundles, op7_url_filter, op8_quality, op10_token_counts)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -86,4 +91,25 @@ q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM q""",
+    # links with an absolute target, given by one canonical element in the usual order of attributes
+    "op7_url_filter": r"""
+WITH RECURSIVE rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+named AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<link rel="canonical" href="([^"]*)"', 1) AS target FROM pages),
+links AS (SELECT url AS a, target AS b FROM named WHERE target LIKE '%://%'
+          UNION SELECT target, url FROM named WHERE target LIKE '%://%'),
+walk AS (SELECT a, b FROM links UNION SELECT walk.a, links.b FROM walk JOIN links ON walk.b = links.a),
+urls AS (SELECT DISTINCT url FROM pages UNION SELECT b FROM walk),
+parts AS (
+  SELECT url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                        'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM urls),
+fits AS (
+  SELECT url, rules.host || rules.path AS rule, verdict,
+         row_number() OVER (PARTITION BY url ORDER BY length(rules.host || rules.path) DESC, rules.host || rules.path DESC) AS n
+  FROM parts JOIN rules ON (parts.host = rules.host OR parts.host LIKE '%.' || rules.host) AND starts_with(parts.path, rules.path)),
+alias AS (SELECT a AS url, min(verdict) AS verdict FROM walk JOIN fits ON fits.url = walk.b AND fits.n = 1 GROUP BY a)
+SELECT page_id, host, path, fits.rule, coalesce(fits.verdict, alias.verdict, 'allow') AS verdict
+FROM pages JOIN parts ON pages.url IS NOT DISTINCT FROM parts.url LEFT JOIN fits ON fits.url = pages.url AND fits.n = 1
+LEFT JOIN alias ON alias.url = pages.url""",
 }
