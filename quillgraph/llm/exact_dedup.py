@@ -8,15 +8,15 @@ digest *and* the whole text, so equality never rests on the digest.
    hot text are spread over ``salts`` tasks.
 3. The winners of the salts, at most ``salts`` rows per text, are combined into one row per text.
 
-Documents then look up their text's row.  That join has a unique key on one side, so a hot text can be split by
-adaptive execution.
+Documents then look up the row of their digest, so texts are shuffled for the two merges only.  Should a digest ever have two
+different texts, which the merges show, its documents look up digest and text instead.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillgraph.llm.common import ascii_lower
+from quillgraph.llm.common import ascii_lower, write_table
 
 #: Salted groups per text.  A text that makes up a third of n rows puts at most (tasks of the scan) / SALTS rows in a group.
 SALTS = 32
@@ -41,7 +41,14 @@ def mark_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     number; in a group of null ids only, keep_id is null and the rows are kept.  Repeated rows of
     the winning id are the same document and are all marked as kept.  An empty table gives an empty table.
     """
-    rows, groups = _keyed(docs), equal_groups(docs, salts)
-    return rows.join(groups, ["_digest", "_norm"]).select(
+    rows = _keyed(docs)
+    per_digest, _ = write_table(equal_groups(docs, salts).groupBy("_digest").agg(
+        F.count("*").alias("_texts"), F.max("_keep").alias("_keep"), F.max("_size").alias("_size")), "digests")
+    clashes = per_digest.filter("_texts > 1").select("_digest")
+    found = rows.select("doc_id", "_digest").join(per_digest.filter("_texts = 1"), "_digest")
+    if not clashes.isEmpty():
+        both = rows.join(clashes, "_digest", "left_semi").join(equal_groups(docs, salts), ["_digest", "_norm"])
+        found = found.select("doc_id", "_digest", "_keep", "_size").unionByName(both.select("doc_id", "_digest", "_keep", "_size"))
+    return found.select(
         "doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("_keep")).alias("kept"), F.col("_digest").alias("text_sha256"))
