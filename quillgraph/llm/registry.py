@@ -22,6 +22,11 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
 
 
+def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.near_dedup import components
+    return components(table(spark, sf_dir, "documents"), similarity=85)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.url_filter import filter_urls, rule_table
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark))
@@ -45,7 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op4_warc_bundles, op7_url_filter, op8_quality, op10_token_counts)}
+    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op4_warc_bundles, op6_minhash_components, op7_url_filter, op8_quality, op10_token_counts)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -112,4 +117,21 @@ alias AS (SELECT a AS url, min(verdict) AS verdict FROM walk JOIN fits ON fits.u
 SELECT page_id, host, path, fits.rule, coalesce(fits.verdict, alias.verdict, 'allow') AS verdict
 FROM pages JOIN parts ON pages.url IS NOT DISTINCT FROM parts.url LEFT JOIN fits ON fits.url = pages.url AND fits.n = 1
 LEFT JOIN alias ON alias.url = pages.url""",
+    # pairs of different sets that share a shingle are counted; equal sets are one node
+    "op6_minhash_components": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_NORM}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS items FROM w),
+sets AS (SELECT min(doc_id) AS node, items FROM s WHERE len(items) > 0 GROUP BY items),
+tokens AS (SELECT node, len(items) AS n, unnest(items) AS item FROM sets),
+pairs AS (
+  SELECT x.node AS a, y.node AS b FROM tokens x JOIN tokens y ON x.item = y.item AND x.node < y.node
+  GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+walk AS (SELECT node, node AS other FROM sets UNION SELECT walk.node, edges.b FROM walk JOIN edges ON walk.other = edges.a),
+named AS (SELECT node, min(other) AS component FROM walk GROUP BY node)
+SELECT doc_id, len(items)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id,
+       doc_id = coalesce(component, doc_id) AS kept
+FROM s LEFT JOIN sets USING (items) LEFT JOIN named USING (node)""",
 }
