@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillgraph.llm.common import table
 
@@ -22,6 +22,11 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.line_dedup import line_report
+    return line_report(table(spark, sf_dir, "documents")).withColumn("removed", F.array_join("removed", ","))
+
+
 def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.near_dedup import components
     return components(table(spark, sf_dir, "documents"), similarity=85)
@@ -50,7 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op4_warc_bundles, op6_minhash_components, op7_url_filter, op8_quality, op10_token_counts)}
+    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op4_warc_bundles, op5_line_dedup, op6_minhash_components, op7_url_filter, op8_quality, op10_token_counts)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -134,4 +139,28 @@ named AS (SELECT node, min(other) AS component FROM walk GROUP BY node)
 SELECT doc_id, len(items)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id,
        doc_id = coalesce(component, doc_id) AS kept
 FROM s LEFT JOIN sets USING (items) LEFT JOIN named USING (node)""",
+    # sets that share one of their rarest words are compared, rarity being the number of sets with the word
+    "op5_line_dedup": rf"""
+WITH split_text AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(lines)))::INT AS line, unnest(lines) AS text FROM split_text),
+sets AS (
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all({_NORM}, '[^\x20\x09-\x0D]+'))) AS items FROM lines),
+classes AS (SELECT row_number() OVER () AS c, items, len(items) AS n, min((doc_id, line)) AS first FROM sets WHERE len(items) > 0 GROUP BY items),
+words AS (SELECT c, n, unnest(items) AS word FROM classes WHERE n >= 4),
+df AS (SELECT word, count(*) AS f FROM words GROUP BY word),
+ranked AS (SELECT c, n, word, row_number() OVER (PARTITION BY c ORDER BY f, word) AS place FROM words JOIN df USING (word)),
+prefix AS (SELECT c, n, word FROM ranked WHERE place <= n - ceil(0.8::DOUBLE * n - 1e-9) + 1),
+pairs AS (
+  SELECT DISTINCT x.c AS a, y.c AS b FROM prefix x JOIN prefix y ON x.word = y.word AND x.c < y.c
+  WHERE 100 * x.n >= 80 * y.n AND 100 * y.n >= 80 * x.n),
+near AS (
+  SELECT a.c AS a, b.c AS b, a.first AS fa, b.first AS fb FROM pairs JOIN classes a ON pairs.a = a.c JOIN classes b ON pairs.b = b.c
+  WHERE 100 * len(list_intersect(a.items, b.items)) >= 80 * (a.n + b.n - len(list_intersect(a.items, b.items)))),
+late AS (SELECT DISTINCT CASE WHEN fa > fb THEN a ELSE b END AS c FROM near),
+marked AS (
+  SELECT sets.doc_id, sets.line, classes.c IS NOT NULL AND (late.c IS NOT NULL OR (sets.doc_id, sets.line) <> classes.first) AS gone
+  FROM sets LEFT JOIN classes USING (items) LEFT JOIN late USING (c))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (WHERE gone), '') AS removed
+FROM marked GROUP BY doc_id""",
 }
