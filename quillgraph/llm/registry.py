@@ -48,6 +48,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.licenses import scan_licenses
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return scan_licenses(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from quillgraph.llm.token_counts import MODEL, token_counts
@@ -55,8 +61,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op4_warc_bundles, op5_line_dedup, op6_minhash_components, op7_url_filter, op8_quality, op10_token_counts)}
+    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op4_warc_bundles, op5_line_dedup, op6_minhash_components, op7_url_filter, op8_quality, op9_license_scan, op10_token_counts)}
+
+
+def _template_values() -> str:
+    from quillgraph.llm.licenses import template_words
+    return ", ".join(f"({t}, '{name}', '{word}', {tf})" for t, name, word, tf in template_words())
 
+
+_ANCHOR = ("licen[sc]e|copyright|all rights reserved|spdx|creative commons|public domain|permission is hereby|"
+           "redistribution and use|cc[- ]by")
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
@@ -163,4 +177,47 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
        coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (WHERE gone), '') AS removed
 FROM marked GROUP BY doc_id""",
+    # no path names a licence file, so only documents that are a licence text as a whole hold for a directory
+    "op9_license_scan": rf"""
+WITH t(template, license, word, tf) AS (VALUES {_template_values()}),
+docs AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, coalesce(text, '') AS text, {_NORM} AS norm FROM documents),
+seen AS (
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(norm, '[\p{{L}}\p{{N}}]+(?:[.-][\p{{L}}\p{{N}}]+)*')) AS word FROM docs),
+df AS (SELECT word, count(*) AS f FROM seen WHERE word IN (SELECT word FROM t) GROUP BY word),
+n AS (SELECT count(*)::DOUBLE AS n FROM docs),
+idf AS (
+  SELECT DISTINCT t.word, ln((n.n + 1) / (coalesce(f, 0) + 1)) + 1 AS idf FROM t CROSS JOIN n LEFT JOIN df USING (word)),
+posts AS (
+  SELECT template, license, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS t FROM t JOIN idf USING (word)),
+marked AS (SELECT * FROM docs WHERE regexp_matches(norm, '{_ANCHOR}')),
+parts AS (
+  SELECT doc_id, path, trim(text, ' ') AS whole, unnest(list_concat(
+    string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n'), string_split(text, chr(10)),
+    string_split_regex(text, '\n\s*\n'), [text])) AS part FROM marked),
+found AS (
+  SELECT DISTINCT doc_id, path, trim(part, ' ') AS passage, trim(part, ' ') = whole AS whole FROM parts
+  WHERE regexp_matches(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ANCHOR}')),
+words AS (
+  SELECT passage, unnest(regexp_extract_all(translate(passage, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\p{{L}}\p{{N}}]+(?:[.-][\p{{L}}\p{{N}}]+)*')) AS word FROM (SELECT DISTINCT passage FROM found)),
+vectors AS (
+  SELECT passage, words.word, count(*) * coalesce(any_value(idf), any_value(ln(n.n + 1) + 1)) AS p
+  FROM words CROSS JOIN n LEFT JOIN idf ON idf.word = words.word GROUP BY passage, words.word),
+sizes AS (SELECT passage, sqrt(sum(p * p)) AS norm FROM vectors GROUP BY passage),
+near AS (
+  SELECT passage, license, round(sum(p * t) / any_value(norm), 6) AS cosine
+  FROM vectors JOIN posts USING (word) JOIN sizes USING (passage) GROUP BY passage, template, license),
+best AS (
+  SELECT doc_id, path, max((cosine, license, whole)) AS b FROM found JOIN near USING (passage) WHERE cosine >= 0.7 GROUP BY doc_id, path),
+own AS (SELECT doc_id, path, b[1] AS cosine, b[2] AS license, b[3] AS whole, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM best),
+dirs AS (SELECT dir, max((cosine, license)) AS b FROM own WHERE whole GROUP BY dir),
+climb AS (
+  SELECT d.dir AS dir, max((length(dirs.dir), dirs.dir, b[2], b[1])) AS near
+  FROM (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM docs) d
+  JOIN dirs ON d.dir = dirs.dir OR dirs.dir = '' OR starts_with(d.dir, dirs.dir || '/') GROUP BY d.dir)
+SELECT docs.doc_id, docs.path, coalesce(own.license, near[3]) AS license, coalesce(own.cosine, near[4]) AS cosine,
+       CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN own.license IS NULL THEN near[2] END AS license_dir
+FROM docs LEFT JOIN own ON docs.doc_id = own.doc_id AND docs.path = own.path
+LEFT JOIN climb ON climb.dir = regexp_extract(docs.path, '^(.*)/[^/]*$', 1)""",
 }
