@@ -109,30 +109,36 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, n_bytes, ids_sha256, decoded_sha256 for every row of ``docs`` (doc_id, text).
+def encode_digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, n_bytes, ids_sha256, decoded_sha256 for every row of ``docs`` (doc_id, text); ``with_ids`` adds the ids.
 
     Ids are hashed as little-endian unsigned 32-bit integers, decoded bytes as they are.  Null text counts as empty: no tokens,
     the digests of nothing.  Any id, null or repeated, is carried along; other columns are ignored.  Very
     long texts are encoded, decoded and hashed block by block; an empty table gives an empty table.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["n_tokens", "n_bytes", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         c = codec(path, pattern)
-        out: dict[str, list] = {"doc_id": batch["doc_id"], "n_tokens": [], "n_bytes": [], "ids_sha256": [], "decoded_sha256": []}
+        out: dict[str, list] = {"doc_id": batch["doc_id"], **{n: [] for n in names}}
         for text in batch["text"]:
-            ids, back, n, size = hashlib.sha256(), hashlib.sha256(), 0, 0
+            ids, back, n, size, held = hashlib.sha256(), hashlib.sha256(), 0, 0, []
             for block in c.blocks(text or ""):
-                raw = c.decode(np.frombuffer(block, "<u4").tolist())
+                part = np.frombuffer(block, "<u4")
+                raw = c.decode(part.tolist())
                 ids.update(block)
                 back.update(raw)
-                n, size = n + len(block) // 4, size + len(raw)
-            for name, value in zip(("n_tokens", "n_bytes", "ids_sha256", "decoded_sha256"), (n, size, ids.hexdigest(), back.hexdigest())):
+                n, size = n + len(part), size + len(raw)
+                if with_ids:
+                    held.append(part.astype(np.int32))
+            row = [n, size, ids.hexdigest(), back.hexdigest(), np.concatenate(held) if held else np.zeros(0, np.int32)]
+            for name, value in zip(names, row):
                 out[name].append(value)
         return out
 
-    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, n_tokens long, n_bytes long, ids_sha256 string, decoded_sha256 string", run)
+    schema = f"doc_id {kind}, n_tokens long, n_bytes long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_rows(docs, ["doc_id", "text"], schema, run)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
