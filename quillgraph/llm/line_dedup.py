@@ -126,9 +126,10 @@ def drop_repeated_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFr
     """
     gone = removed_lines(docs, similarity).filter(F.size("removed") > 0).select(
         F.col("doc_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), "removed")
-    row = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.withColumn("_row", row).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest)
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
+    joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row")), "left")
+    whole = F.col("_doc.text")
+    rest = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), whole).otherwise(rest)
     changed = {"text": text, **({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[changed.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])

@@ -64,9 +64,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def _ranked(docs: DataFrame, appeal: Column | None, seed: int) -> DataFrame:
-    """``docs`` with its size, appeal and uniform number."""
+    """The row as ``_doc``, and doc_id, source, _size, _appeal and the uniform number _u."""
     wish = F.lit(1.0) if appeal is None else F.greatest(F.coalesce(appeal.cast("double"), F.lit(0.0)), F.lit(0.0))
-    return docs.withColumns({"_size": word_count(F.col("text")), "_appeal": wish, "_u": uniform(F.col("doc_id"), seed)})
+    return docs.select(F.struct("*").alias("_doc"), "doc_id", "source", word_count(F.col("text")).alias("_size"),
+                       wish.alias("_appeal"), uniform(F.col("doc_id"), seed).alias("_u"))
 
 
 def _placed(rows: DataFrame, per_source: DataFrame, most_copies: int) -> DataFrame:
@@ -123,7 +124,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def with_copies(docs: DataFrame, plan: DataFrame, most_copies: int = MOST_COPIES, seed: int = 1,
                 appeal: Column | None = None, bins: int = BINS) -> DataFrame:
-    """``docs`` with size, source_size, target and copies, decided row by row from the plan (same options as the plan)."""
+    """_doc (the whole row), _size, _source_size, _target and _copies, decided row by row from the plan (same options)."""
     renamed = plan.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"),
                           F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "cut_bin", "cut_q",
                           "cut_id", "cut_size")
@@ -131,10 +132,13 @@ def with_copies(docs: DataFrame, plan: DataFrame, most_copies: int = MOST_COPIES
         "_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * bins))
     mine, last = F.struct("_q", "doc_id", "_size"), F.struct("cut_q", "cut_id", "cut_size")
     taken = F.coalesce((F.col("_bin") < F.col("cut_bin")) | ((F.col("_bin") == F.col("cut_bin")) & (mine <= last)), F.lit(False))
-    # the added names are put last and under a prefix, so that columns of docs keep their names
-    return rows.withColumns({"_copies": F.col("_sure") + taken.cast("long")}).select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.col("_size"), F.col("_source_size"),
-        F.coalesce("_target", F.lit(0.0)).alias("_target"), "_copies")
+    return rows.select("_doc", "_size", "_source_size", F.coalesce("_target", F.lit(0.0)).alias("_target"),
+                       (F.col("_sure") + taken.cast("long")).alias("_copies"))
+
+
+def _of_rows(options: dict) -> dict:
+    """The options that concern single rows."""
+    return {k: v for k, v in options.items() if k not in ("weights", "share")}
 
 
 def pareto_mix(docs: DataFrame, **options) -> DataFrame:
@@ -146,23 +150,14 @@ def pareto_mix(docs: DataFrame, **options) -> DataFrame:
 
     A null text has size 0, documents without words are never taken, a null source is a source of its own
     that comes last, a null id counts as an empty one.  Rows of equal rank are ordered by id and size; rows that also
-    share those are taken together.  An empty table gives an empty table.
+    share those are taken together.  An empty table gives an empty table.  Other columns are ignored.
     """
-    plan = mix_plan(docs, **options)
-    rest = {k: v for k, v in options.items() if k not in ("weights", "share")}
-    return with_copies(docs.select("doc_id", "text", "source", *_extra(docs)), plan, **rest).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+    return with_copies(docs, mix_plan(docs, **options), **_of_rows(options)).select(
+        F.col("_doc.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
-def _extra(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text", "source")]
-
-
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row for every copy that the mix takes: none, one or several.  Columns as before."""
-    plan = mix_plan(docs, **options)
-    rest = {k: v for k, v in options.items() if k not in ("weights", "share")}
-    return with_copies(docs, plan, **rest).withColumn(
-        "_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row for every copy that the mix takes: none, one or several.  All columns stay as they are."""
+    return with_copies(docs, mix_plan(docs, **options), **_of_rows(options)).select(
+        "_doc", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")

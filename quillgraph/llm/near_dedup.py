@@ -198,5 +198,6 @@ def components(docs: DataFrame, similarity: int = SIMILARITY, rows: int = ROWS,
 
 def keep_first(docs: DataFrame, similarity: int = SIMILARITY, **options) -> DataFrame:
     """The rows of ``docs`` that are the smallest document of their component, with their columns."""
-    marks = components(docs, similarity, **options).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    marks = components(docs, similarity, **options).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"))
+    return rows.join(marks, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("_doc.*")
