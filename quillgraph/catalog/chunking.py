@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quillgraph.catalog import adapters as X
 from quillgraph.functions import markdown as M, text as T, vocab as V
 from quillgraph.operators import chunking as C
+from quillgraph.operators.ordering import scratch_path
+from quillgraph.sources import files as FS
 
 JOIN = lambda c: F.array_join(c, " > ")
 
@@ -19,6 +21,15 @@ def _blocks(s, d):
     return C.segment_blocks(C.drop_toc_sections(C.normalize_headings(C.assign_sections(_md(s, d)))))
 
 
+def _from_files(s, d):
+    """Documents written as Markdown files, read back with the file reader, and chunked."""
+    path = scratch_path(s, "markdown")
+    FS.write_markdown(_md(s, d).withColumn("source_file", F.concat(F.lit("dir/doc"), F.col("doc_id").cast("string"), F.lit(".md"))), path)
+    chunks = C.chunk_documents(FS.read_markdown(s, path))
+    return chunks.select(F.regexp_extract("source_file", "doc([0-9]+)", 1).cast("bigint").alias("doc_id"), "seq", "page",
+                         "heading_path", "block_type", "content", "category", "embedding_text")
+
+
 QUERIES = {
     "chunk_lines": lambda s, d: C.explode_lines(_md(s, d)).select("doc_id", "line_no", "stripped"),
     "chunk_sections": lambda s, d: C.assign_sections(_md(s, d)).select(
@@ -43,6 +54,7 @@ QUERIES = {
     "chunk_documents_md": lambda s, d: C.chunk_documents(_md(s, d)).select(
         "doc_id", "seq", "id", "page", "heading_path", "block_type", "content", "description", "category",
         "embedding_text"),
+    "markdown_files_chunks": lambda s, d: _from_files(s, d),
     "chunk_documents_flat": lambda s, d: C.chunk_documents(X.docs_flat(s, d)).select(
         "doc_id", "seq", "id", "page", "heading_path", "block_type", "content", "category", "embedding_text"),
     "flat_windows_strict": lambda s, d: C.explode_items(C.window_flat_documents(
@@ -384,6 +396,9 @@ ORACLE = {
         src AS (SELECT m.*, d.source_file, d.source_type FROM micro m JOIN docs_md d USING (doc_id)),"""
         + _numbered("src") + """SELECT doc_id, seq, id, page, heading_path, block_type, content, description, category,
         embedding_text FROM final""",
+    "markdown_files_chunks": "WITH RECURSIVE " + MD_ITEMS + "," + MICRO + """,
+        src AS (SELECT m.*, 'doc' || d.doc_id || '.md' AS source_file, d.source_type FROM micro m JOIN docs_md d USING (doc_id)),"""
+        + _numbered("src") + """SELECT doc_id, seq, page, heading_path, block_type, content, category, embedding_text FROM final""",
     "micro_merge": "WITH RECURSIVE " + MD_ITEMS + "," + MICRO
         + "SELECT doc_id, seq, heading_path, block_type, content FROM micro",
     "preamble_merge": "WITH RECURSIVE " + PREAMBLE + "SELECT doc_id, seq, block_type, content FROM pre",

@@ -90,7 +90,13 @@ def _ingested(s, d):
 def _json_files(s, d):
     path = scratch_path(s, "json")
     J.write_chunk_json(_lines(s, d), path, AT)
-    return J.read_chunk_envelopes(s, path)
+    return J.read_chunk_json(s, path)
+
+
+def _review_files(s, d):
+    path = scratch_path(s, "review")
+    FS.write_review_markdown(R.render_review_markdown(_lines(s, d), AT, "export"), path)
+    return FS.read_review_markdown(s, path)
 
 
 def _graph_files(s, d):
@@ -118,6 +124,8 @@ QUERIES = {
     "review_markdown_edit": lambda s, d: R.render_review_markdown(_lines(s, d), AT, "edit"),
     "review_parsed": lambda s, d: R.parse_review_text(_files(s, d, "export")).select(
         "source_file", "source_type", "ordinal", "chunk_no", "chunk_id", "page", "stored", "block_type", "content"),
+    "review_files_roundtrip": lambda s, d: _review_files(s, d).select(
+        "source_file", "source_type", "ordinal", "chunk_no", "chunk_id", "page", "stored", "block_type", "content"),
     "merge_review": lambda s, d: R.merge_review_edits(*reversed(_review_rows(s, d))).select(
         "source_file", "ordinal", "chunk_id", "heading_path", "content", "embedding_text", "is_manual", "notes"),
     "roundtrip_check": lambda s, d: R.roundtrip_check(
@@ -210,6 +218,8 @@ ORACLE = {
     "review_markdown_edit": _render(True),
     "review_parsed": "WITH " + LINES + """SELECT source_file, source_type, n - 1 AS ordinal, n AS chunk_no, chunk_id, page, true AS stored,
         'text' AS block_type, content FROM lines_t""",
+    "review_files_roundtrip": "WITH " + LINES + """SELECT source_file, source_type, n - 1 AS ordinal, n AS chunk_no, chunk_id, page, true AS stored,
+        'text' AS block_type, content FROM lines_t""",
     "merge_review": "WITH " + LINES + """SELECT source_file, n - 1 AS ordinal, chunk_id,
         CASE WHEN page = 0 THEN 'New > Path' ELSE heading_path END AS heading_path,
         CASE WHEN lang = 'fr' THEN content || ' !' ELSE content END AS content,

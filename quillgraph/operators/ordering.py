@@ -62,29 +62,30 @@ def release(*frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the key columns come from ``left``."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def position_in_group(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "pos") -> DataFrame:
-    """Add the 0-based position of each row inside its group.
+    """Add the 0-based position of each row inside its group; a null key is a group like any other.
 
     ``keys`` + ``order`` should identify a row.  Rows are range-partitioned, numbered inside each
     partition, and shifted by the number of rows of the same group in earlier partitions.  Only
-    the first group of a partition can have such rows, so the shift table is tiny.
+    the first group of a partition can have such rows, so the shift table has a row per partition at most.
     """
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     tagged = cut_lineage(
         df.repartitionByRange(*[F.col(k) for k in keys], *order_cols).withColumn("_pid", F.spark_partition_id()))
     local = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
     numbered = tagged.withColumn(name, F.row_number().over(local) - 1)
-    sizes = tagged.groupBy("_pid", *keys).agg(F.count("*").alias("_n"))
-    # groups that touch more than one partition: at most two per partition
-    spread = sizes.groupBy(*keys).agg(F.count("*").alias("_parts"),
-                                      F.collect_list(F.struct("_pid", "_n")).alias("_list")).filter("_parts > 1")
-    shifts = spread.select(*keys, F.explode("_list").alias("_e"), "_list").select(
-        *keys, F.col("_e._pid").alias("_pid"),
-        F.aggregate("_list", F.lit(0).cast("bigint"), lambda acc, x: acc + F.when(
-            x["_pid"] < F.col("_e._pid"), x["_n"]).otherwise(F.lit(0))).alias("_shift"))
-    joined = numbered.join(shifts, ["_pid", *keys], "left")
-    return joined.withColumn(name, (F.col(name) + F.coalesce(F.col("_shift"), F.lit(0))).cast("bigint")).drop(
-        "_pid", "_shift")
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = tagged.groupBy("_pid", *keys).agg(F.count("*").alias("_n")).withColumn(
+        "_shift", F.sum("_n").over(before)).filter("_shift > 0").drop("_n")
+    return join_null_safe(numbered, shifts, ["_pid", *keys], "left").withColumn(
+        name, (F.col(name) + F.coalesce(F.col("_shift"), F.lit(0))).cast("bigint")).drop("_pid", "_shift")
 
 
 def with_previous(df: DataFrame, keys: list[str], pos: str, n: int, fields: list[str], name: str,
@@ -118,7 +119,7 @@ def last_marked_position(df: DataFrame, keys: list[str], pos: str, marked: Colum
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy(*keys, "_b").agg(F.max("_m").alias("_bm")).withColumn(
         "_carry", F.max("_bm").over(before)).drop("_bm")
-    return rows.withColumn("_in", F.max("_m").over(upto)).join(carried, [*keys, "_b"]).withColumn(
+    return join_null_safe(rows.withColumn("_in", F.max("_m").over(upto)), carried, [*keys, "_b"]).withColumn(
         name, F.coalesce("_in", "_carry")).drop("_b", "_m", "_in", "_carry")
 
 

@@ -54,7 +54,7 @@ def optimization_apply(chunks: DataFrame, responses: DataFrame) -> tuple[DataFra
     """(updated chunks, first ten distinct general suggestions per source)."""
     ok = parse_responses(responses)
     each = ok.select("source_file", "batch_no", F.posexplode("r.optimized_chunks").alias("k", "s"))
-    suggestions = each.select((F.col("batch_no") * 1_000_000 + F.col("k")).alias("pos"), "s.*")
+    suggestions = each.select(F.struct("batch_no", "k").alias("pos"), "s.*")
     general = ok.select("source_file", "batch_no", F.posexplode("r.global_suggestions").alias("k", "text")).withColumn(
-        "pos", F.col("batch_no") * 1_000_000 + F.col("k"))
+        "pos", F.struct("batch_no", "k"))
     return R.apply_suggestions(chunks, suggestions), A.distinct_suggestions(general, 10, ("source_file",))

@@ -128,9 +128,9 @@ def test_review_files_round_trip(spark):
     c = c.withColumn("block_type", F.lit("text")).withColumn("stored", F.lit(True)).withColumn("is_manual", F.lit(False))
     path = scratch_path(spark, "review")
     FS.write_review_markdown(R.render_review_markdown(c, "2024"), path)
-    text = "\n".join(r["value"] for r in spark.read.text(path + "/source_type=pdf/source=g").collect())
+    text = "\n".join(r["value"] for r in spark.read.text(path + "/pdf/g.md").collect())
     assert text.startswith("# PDF Chunk Export\n\n- Source file: g.md") and "````text" in text
-    parsed = R.parse_review_text(spark.createDataFrame([("f", text)], "file string, text string")).orderBy("ordinal").collect()
+    parsed = FS.read_review_markdown(spark, path).orderBy("ordinal").collect()
     assert [(r["chunk_id"], r["page"], r["heading_path"], r["content"], r["source_file"]) for r in parsed] == [
         ("c1", 2, "H > I", body, "g.md"), ("c2", 0, None, "plain", "g.md")]
 
