@@ -114,56 +114,78 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
         F.coalesce("w_in", F.lit(0.0)) / m - F.pow(F.col("w_tot") / (2 * m), 2)).alias("modularity"))
 
 
-def _move_round(near, comm, strength, two_m: float, parity: int) -> DataFrame:
-    """Best community per node of one half of the nodes; the others keep theirs."""
+def _move_half(near, comm, strength, two_m: float, sweep: int, half: int) -> DataFrame:
+    """Best community per node of one half of the nodes, drawn anew in each sweep; the others keep theirs."""
     totals = comm.join(strength, "id").groupBy("community_id").agg(F.sum("k").alias("tot"))
     links = near.join(comm.select(F.col("id").alias("neighbor"), "community_id"), "neighbor").groupBy(
         F.col("node").alias("id"), "community_id").agg(F.sum("weight").alias("w"))
     here = comm.select("id", F.col("community_id").alias("own"))
     options = links.join(here, "id").join(strength, "id").join(totals, "community_id")
-    own_tot = F.when(F.col("community_id") == F.col("own"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
-    gain = F.col("w") - F.col("k") * own_tot / F.lit(two_m)
+    is_own = F.col("community_id") == F.col("own")
+    gain = F.col("w") - F.col("k") * F.when(is_own, F.col("tot") - F.col("k")).otherwise(F.col("tot")) / F.lit(two_m)
     best = options.withColumn("gain", gain).groupBy("id").agg(
-        F.max_by("community_id", F.struct("gain", F.col("community_id"))).alias("best"),
-        F.max("gain").alias("best_gain"), F.max(F.when(F.col("community_id") == F.col("own"), F.col("gain"))).alias("own_gain"),
-        F.first("k").alias("k"))
-    mine = F.pmod(F.xxhash64("id"), F.lit(2)) == parity
-    moved = comm.join(best, "id", "left").select("id", F.when(
-        mine & F.col("best").isNotNull() & (F.col("best_gain") > F.coalesce("own_gain", F.lit(0.0)) + 1e-12),
-        F.col("best")).otherwise(F.col("community_id")).alias("community_id"), F.col("community_id").alias("old"))
-    return moved
+        F.max_by("community_id", F.struct("gain", "community_id")).alias("best"), F.max("gain").alias("best_gain"),
+        F.max(F.when(is_own, F.col("gain"))).alias("own_gain"), F.max("k").alias("k"))
+    # leaving a community without links inside it gains what its strength costs there
+    alone = comm.join(strength, "id").join(totals, "community_id").select(
+        "id", (-F.col("k") * (F.col("tot") - F.col("k")) / F.lit(two_m)).alias("unlinked"))
+    mine = F.pmod(F.xxhash64("id", F.lit(sweep)), F.lit(2)) == half
+    better = F.col("best_gain") > F.coalesce("own_gain", "unlinked") + 1e-12
+    return comm.join(best, "id", "left").join(alone, "id").select(
+        "id", F.when(mine & better, F.col("best")).otherwise(F.col("community_id")).alias("community_id"),
+        F.col("community_id").alias("old"))
+
+
+def _local_moves(graph: DataFrame, two_m: float, start: float) -> tuple[DataFrame, float]:
+    """Move nodes of ``graph`` until none wants to, or until two sweeps in a row raise modularity no more."""
+    loops = graph.filter("src = dst").select(F.col("src").alias("id"), (2 * F.col("weight")).alias("w"))
+    near = both_ways(graph.filter("src <> dst"))
+    strength = cut_lineage(near.select(F.col("node").alias("id"), F.col("weight").alias("w")).unionByName(
+        loops).groupBy("id").agg(F.sum("w").alias("k")))
+    comm = best = strength.select("id", F.col("id").alias("community_id"))
+    best_q, idle, sweep = start, 0, 0
+    while idle < 2:
+        moved = False
+        for half in (0, 1):
+            step = cut_lineage(_move_half(near, comm, strength, two_m, sweep, half))
+            moved = not step.filter("old <> community_id").isEmpty() or moved
+            comm = step.select("id", "community_id")
+        if not moved:
+            break
+        q = modularity(graph, comm).first()[0]
+        idle = 0 if q > best_q + 1e-9 else idle + 1
+        if not idle:
+            best, best_q = comm, q
+        sweep += 1
+    return best, best_q
 
 
-def modularity_communities(nodes: DataFrame, edges: DataFrame, max_rounds: int = 4, levels: int = 2) -> DataFrame:
-    """Communities by local moving and contraction, both as joins and sums.
+def modularity_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, community_id): communities by local moving and contraction, both as joins and sums, run to their end.
 
-    In a round half of the nodes (by hash) may move.  A level is kept only when it raises modularity.
+    In a half sweep half of the nodes move, each to the neighbouring community it gains most by.  Communities are then
+    contracted to nodes, and levels follow until one doesn't raise modularity.  Every step kept raises modularity, so the
+    search ends.  Communities that are not connected are split at last, which can only raise it further.
     """
     result = cut_lineage(nodes.select("id", F.col("id").alias("community_id")))
-    graph = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    two_m = 2.0 * (graph.agg(F.sum("weight")).first()[0] or 0.0)
+    own = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    two_m = 2.0 * (own.agg(F.sum("weight")).first()[0] or 0.0)
     if two_m == 0.0:
         return result
-    best_q = modularity(edges, result).first()[0]
-    for _ in range(levels):
-        loops = graph.filter("src = dst").select(F.col("src").alias("id"), (2 * F.col("weight")).alias("w"))
-        near = both_ways(graph.filter("src <> dst"))
-        strength = cut_lineage(near.select(F.col("node").alias("id"), F.col("weight").alias("w")).unionByName(
-            loops).groupBy("id").agg(F.sum("w").alias("k")))
-        comm = strength.select("id", F.col("id").alias("community_id"))
-        for r in range(max_rounds):
-            moved = cut_lineage(_move_round(near, comm, strength, two_m, r % 2))
-            comm = moved.select("id", "community_id")
-            if r % 2 == 1 and moved.filter("old <> community_id").isEmpty():
-                break
+    graph, best_q = own, modularity(own, result).first()[0]
+    while True:
+        comm, q = _local_moves(graph, two_m, best_q)
+        if q <= best_q + 1e-9:
+            break
+        best_q = q
         merged = cut_lineage(result.join(comm.select(
             F.col("id").alias("community_id"), F.col("community_id").alias("to")), "community_id", "left").select(
             "id", F.coalesce("to", "community_id").alias("community_id")))
-        q = modularity(edges, merged).first()[0]
-        if q <= best_q + 1e-9:
-            break
-        best_q, result = q, merged
-        graph = cut_lineage(graph.join(comm.select(F.col("id").alias("src"), F.col("community_id").alias("a")), "src").join(
+        smaller = cut_lineage(graph.join(comm.select(F.col("id").alias("src"), F.col("community_id").alias("a")), "src").join(
             comm.select(F.col("id").alias("dst"), F.col("community_id").alias("b")), "dst").groupBy(
             F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight")))
-    return result
+        release(result, *([graph] if graph is not own else []))
+        result, graph = merged, smaller
+    of = lambda end: result.select(F.col("id").alias(end), F.col("community_id").alias(f"_{end}"))
+    inner = own.join(of("src"), "src").join(of("dst"), "dst").filter("_src = _dst")
+    return connected_components(nodes, inner)

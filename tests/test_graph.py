@@ -118,6 +118,31 @@ def test_modularity_communities_beat_singletons(spark):
     assert comm.count() == 10
 
 
+def test_modularity_communities_run_to_the_end(spark):
+    path = edges_of(spark, [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(399)])
+    comm = TR.modularity_communities(nodes_of(spark, [f"n{i:03d}" for i in range(400)]), path)
+    assert TR.modularity(path, comm).first()[0] >= 0.88
+    found = {r["id"]: r["community_id"] for r in comm.collect()}
+    order = [found[f"n{i:03d}"] for i in range(400)]
+    assert len(order) == 400 and len(set(order)) == 1 + sum(a != b for a, b in zip(order, order[1:]))  # each is connected
+
+
+def test_ring_of_cliques(spark):
+    inner = [(f"q{k}_{i}", f"q{k}_{j}") for k in range(8) for j in range(6) for i in range(j)]
+    ring = inner + [tuple(sorted((f"q{k}_0", f"q{(k + 1) % 8}_1"))) for k in range(8)]
+    nodes = nodes_of(spark, sorted({x for p in ring for x in p}))
+    found = {r["id"]: r["community_id"] for r in TR.modularity_communities(nodes, edges_of(spark, ring)).collect()}
+    assert {x: found[f"{x[:2]}_0"] for x in found} == found and len(set(found.values())) == 8
+
+
+def test_components_of_chain_and_star(spark):
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(120)]
+    star = [("hub", f"leaf{i}") for i in range(400)]
+    got = {r["node"]: r["label"] for r in TR.component_labels(edges_of(spark, chain + star).select("src", "dst")).collect()}
+    assert {v for k, v in got.items() if k.startswith("c")} == {"c000"} and {v for k, v in got.items() if k[0] in "hl"} == {"hub"}
+    assert len(got) == 121 + 401
+
+
 def test_scores_match_model(spark):
     rnd = random.Random(9)
     words = ["configuration", "network", "参数", "port", "guide", "api", "setup", "机器", "mtu", "x1"]
