@@ -8,11 +8,17 @@ A document's set is its distinct 5-word shingles (64-bit hashes).  Equal sets ar
   Jaccard similarity, most precisely where it is high.  Candidates estimated ``SLACK`` below the threshold (over
   six standard deviations) are dropped, all others are tested on their full sets.
 
-Groups of thousands of near copies share all their bands, so pairs are not listed group by group.  In a first phase, repeated
-``PIVOT_ROUNDS`` times, every band names one pivot (another one in each band and round), and a node is tested against
-the pivot its sketch is closest to, if that is in another component.  Only then the pairs are listed that share a
-band and are still in different components, and all of them are tested.  What comes out are the exact components; the links inside a
-component that was already joined are never needed.
+Groups of thousands of near copies share their bands, most of them without being near enough to each other, so pairs
+are not listed group by group:
+
+* A shingle that no other candidate has can't be shared.  With u such shingles among n, a set shares n - u at most, which bounds its
+  similarity to any other set.  Pairs, and whole nodes, whose bound is too low are never compared.
+* In a first phase, repeated ``PIVOT_ROUNDS`` times, every band names one pivot: first the node with the fewest shingles of its own,
+  which is the hub of a group of copies, then another one.  A node is tested against the pivot its sketch is closest to, if that is
+  in another component.
+* Only then the pairs are listed that share a band and are still in different components, and all of them are tested.
+
+What comes out are the exact components; the links inside a component that was already joined are never needed.
 """
 
 from __future__ import annotations
@@ -93,21 +99,27 @@ def band_hashes(mins: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def set_key(items: np.ndarray) -> tuple[int, int]:
+    """128-bit digest of a set, as two signed integers."""
+    return tuple(np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), np.int64).tolist())
+
+
 def features(docs: DataFrame, bands: int, rows: int = ROWS, bits: int = BITS) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set), sketch and bands; the last two are null for an empty set."""
+    """doc_id, n_shingles, k1 and k2 (digest of the set), sketch and bands; the last two are null for an empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": batch["doc_id"], "n_shingles": [], "set_key": [], "sketch": [], "bands": []}
+        out: dict[str, list] = {"doc_id": batch["doc_id"], "n_shingles": [], "k1": [], "k2": [], "sketch": [], "bands": []}
         for items in _sets(batch["text"]):
             mins = min_hashes(items, bands * rows) if len(items) else None
             out["n_shingles"].append(len(items))
-            out["set_key"].append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
+            for name, half in zip(("k1", "k2"), set_key(items)):
+                out[name].append(half)
             out["sketch"].append(None if mins is None else odd_sketch(mins, bits))
             out["bands"].append(None if mins is None else band_hashes(mins, rows))
         return out
 
-    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, n_shingles long, set_key binary, sketch array<long>, bands array<long>", run)
+    return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, n_shingles long, k1 long, k2 long, sketch array<long>, bands array<long>", run)
 
 
 def _close(pairs: DataFrame, sketches: DataFrame, most: int, bits: int) -> DataFrame:
@@ -118,6 +130,26 @@ def _close(pairs: DataFrame, sketches: DataFrame, most: int, bits: int) -> DataF
         F.col("differ") <= most).drop("_a", "_b")
 
 
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """(k1, k2, u): shingles that no other set of the table has, for the sets that have any."""
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        sets = _sets(batch["text"])
+        keys = [set_key(s) for s in sets]
+        return {"k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "items": [s.view(np.int64) for s in sets]}
+
+    rows = map_rows(texts, ["text"], "k1 long, k2 long, items array<long>", run)
+    # rows with equal sets would hide each other's shingles, which only weakens the bound
+    return rows.select("k1", "k2", F.explode("items").alias("item")).groupBy("item").agg(
+        F.count("*").alias("_n"), F.min("k1").alias("k1"), F.min("k2").alias("k2")).filter("_n = 1").groupBy("k1", "k2").agg(
+        F.count("*").alias("u"))
+
+
+def _reachable(n: str, u: str, m: str, v: str, similarity: int):
+    """Whether sets of n and m shingles, u and v of them their own, can reach the similarity."""
+    most = F.least(F.col(n) - F.col(u), F.col(m) - F.col(v))
+    return most * 100 >= (F.col(n) + F.col(m) - most) * similarity
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the similarity."""
     side = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"_{end}"))
@@ -151,34 +183,43 @@ def components(docs: DataFrame, similarity: int = SIMILARITY, rows: int = ROWS,
     most = most_differing(similarity, bands * rows, bits)
     feats, _ = write_table(features(docs, bands, rows, bits), "features")
     full = feats.filter("n_shingles > 0")
-    sets = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    firsts = full.join(sets, "set_key").filter("doc_id = node")
+    sets = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
+    firsts = full.join(sets, ["k1", "k2"]).filter("doc_id = node")
 
-    # bands that at least two nodes share
-    spread = firsts.select("node", F.explode("bands").alias("band"))
+    # bands that at least two nodes share, and the nodes that can have a link at all
+    spread = firsts.select("node", "k1", "k2", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     busy = spread.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1")
-    shared, shared_path = write_table(spread.join(busy, "band").select("band", "node"), "shared")
+    met, met_path = write_table(spread.join(busy, "band"), "met")
+    texts, texts_path = write_table(docs.select(F.col("doc_id").alias("node"), "text").join(
+        met.select("node").distinct(), "node", "left_semi"), "texts")
+    shared, shared_path = write_table(met.join(_own_shingles(texts), ["k1", "k2"], "left").select(
+        "band", "node", "n", F.coalesce("u", F.lit(0)).alias("u")).filter((F.col("n") - F.col("u")) * 100 >= F.col("n") * similarity), "shared")
+    drop_table(spark, met_path)
     nodes = shared.select("node").distinct()
     sketches, sketches_path = write_table(firsts.join(nodes, "node", "left_semi").select("node", "sketch").dropDuplicates(["node"]), "sketches")
-    texts, texts_path = write_table(docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi"), "texts")
 
     labels = links = tested = None
     spent: list[str] = []
     for turn in range(pivot_rounds + 1):
         inside = shared.withColumn("comp", F.col("node")) if labels is None else shared.join(labels, "node", "left").select(
-            "band", "node", F.coalesce("label", "node").alias("comp"))
+            "band", "node", "n", "u", F.coalesce("label", "node").alias("comp"))
         inside, inside_path = write_table(inside.join(inside.groupBy("band").agg(
             F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("band"), "band"), "open")
         if turn < pivot_rounds:
-            drawn = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "comp")
-            pivots = inside.groupBy("band").agg(F.min(drawn).alias("_p"))
-            pairs = inside.join(pivots, "band").filter(F.col("comp") != F.col("_p.comp")).select(
-                F.col("node").alias("a"), F.col("_p.node").alias("b")).distinct()
+            drawn = F.struct((F.lit(0) if turn else F.col("u")).alias("own"), F.xxhash64("node", "band", F.lit(turn)).alias("h"),
+                             "node", "comp", "n", "u")
+            pivots = inside.groupBy("band").agg(F.min(drawn).alias("_p")).select(
+                "band", F.col("_p.node").alias("b"), F.col("_p.comp").alias("_cb"), F.col("_p.n").alias("m"), F.col("_p.u").alias("v"))
+            pairs = inside.join(pivots, "band").filter(
+                (F.col("comp") != F.col("_cb")) & _reachable("n", "u", "m", "v", similarity)).select(F.col("node").alias("a"), "b").distinct()
             pairs = _close(pairs, sketches, most, bits).groupBy("a").agg(
                 F.min(F.struct("differ", "b")).alias("_best")).select("a", F.col("_best.b").alias("b"))
         else:
-            left, right = inside.toDF("band", "a", "_ca"), inside.toDF("band", "b", "_cb")
-            pairs = _close(left.join(right, "band").filter("_ca < _cb").select("a", "b").distinct(), sketches, most, bits)
+            left = inside.select("band", F.col("node").alias("a"), "n", "u", F.col("comp").alias("_ca"))
+            right = inside.select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("_cb"))
+            apart = left.join(right.withColumnRenamed("band", "_band"), (F.col("band") == F.col("_band")) & (F.col("_ca") < F.col("_cb"))
+                              & _reachable("n", "u", "m", "v", similarity))
+            pairs = _close(apart.select("a", "b").distinct(), sketches, most, bits)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -189,10 +230,10 @@ def components(docs: DataFrame, similarity: int = SIMILARITY, rows: int = ROWS,
         labels, _ = write_table(component_labels(links), "labels")
         drop_table(spark, inside_path)
         spent += [pairs_path, new_path]
-    named, _ = write_table(sets.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id")), "named")
+    named, _ = write_table(sets.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id")), "named")
     drop_table(spark, shared_path, sketches_path, texts_path, *spent)
     alone = feats.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = full.select("doc_id", "n_shingles", "set_key").join(named, "set_key").select("doc_id", "n_shingles", "component_id")
+    found = full.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
