@@ -140,16 +140,28 @@ def _heads(nodes: str, name: str) -> str:
   WHERE contains(c.heading_path, ' > '))"""
 
 
+def _heads_per_file(nodes: str, name: str) -> str:
+    return f"""
+{name}f AS (SELECT source_file, heading_path, arg_min(id, node_seq) AS id FROM {nodes} WHERE heading_path <> '' GROUP BY 1, 2),
+{name} AS (
+  SELECT {_und('p.id', 'c.id')}, 'references' AS relation, '' AS source_file, 1.0::DOUBLE AS weight
+  FROM {name}f c JOIN {name}f p ON p.source_file = c.source_file
+    AND p.heading_path = regexp_replace(c.heading_path, ' > [^>]*$', '') AND p.heading_path <> c.heading_path
+  WHERE p.id <> c.id)"""
+
+
 def _last_graph(nodes: str, tag: str) -> str:
     """Later rules overwrite earlier ones."""
-    return (_heads(nodes, f"{tag}_h") + "," + _cat(nodes, f"{tag}_c", "a.p < 5") + "," + _seq(nodes, f"{tag}_s") + f""",
+    return (_heads_per_file(nodes, f"{tag}_h") + "," + _cat(nodes, f"{tag}_c", "a.p < 5") + "," + _seq(nodes, f"{tag}_s") + f""",
 {tag} AS (
   SELECT src, dst, relation, source_file, weight FROM (
     SELECT *, 0 AS prio FROM {tag}_h UNION ALL SELECT *, 1 FROM {tag}_c UNION ALL SELECT *, 2 FROM {tag}_s)
   QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY prio DESC) = 1)""")
 
 
-LAST = NODES + "," + _last_graph("nodes", "g")
+# added sources: nodes in file order, headings of one file
+ADDED = NODES.replace("nodes AS (", "all_nodes AS (", 1) + ", nodes AS (SELECT * REPLACE (seq AS node_seq) FROM all_nodes)"
+LAST = ADDED + "," + _last_graph("nodes", "g")
 _PATHS = NODES + f""",
 path_e AS (
   SELECT {_und('id', 'nxt')} FROM (SELECT id, lead(id) OVER (PARTITION BY doc_id ORDER BY node_seq) AS nxt FROM nodes) WHERE nxt IS NOT NULL),
@@ -170,7 +182,7 @@ _REMOVE = LAST + """,
 gone AS (SELECT DISTINCT source || '.md' AS source_file FROM documents WHERE lang = 'es' AND source LIKE 'src1%'),
 kept AS (SELECT id FROM nodes WHERE source_file NOT IN (SELECT source_file FROM gone))
 """
-_UPDATE = NODES + """,
+_UPDATE = ADDED + """,
 oldn AS (SELECT n.* FROM nodes n JOIN chunks_t c USING (id) WHERE c.lang <> 'de'),
 newn AS (SELECT * FROM nodes WHERE source_file LIKE 'src1%'),""" + _last_graph("oldn", "og") + "," + _last_graph("newn", "ng") + """,
 keepn AS (SELECT * FROM oldn WHERE source_file NOT LIKE 'src1%')

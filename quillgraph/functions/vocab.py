@@ -81,7 +81,5 @@ MICRO_CHUNK_CHARS = 100
 IMAGE_CONTEXT_LINES = 2
 
 # --- fixed values: review and answer texts ---
-VERDICTS = ["correct", "partial", "wrong", "unsupported", "retrieval_miss", "unreviewed"]
-QA_MODES = ["llm", "retrieval_only", "no_results", "llm_load_failed"]
 NO_SUMMARY = "已绑定视频片段"
 NOTE_PREFIX = "备注: "

@@ -29,15 +29,20 @@ def node_label(heading_path, content, category, fallback="chunk") -> Column:
 
 
 def build_nodes(chunks: DataFrame, incremental: bool = False) -> DataFrame:
-    known = known_category_nodes(chunks)
+    """Nodes in order: by category and row for a full build; by row, and of every category, when sources are added."""
     path = F.coalesce("heading_path", F.lit(""))
     source = strip(F.coalesce("payload_file", F.lit("")))
-    fallback = source if incremental else "chunk"
-    return known.select(
+    if incremental:
+        first = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
+        rows = chunks.filter("id <> ''").withColumn("_rn", first).filter("_rn <= 1")
+        order, fallback = F.col("seq").cast("bigint"), source
+    else:
+        rows, fallback = known_category_nodes(chunks), "chunk"
+        order = F.col("cat_rank") * F.lit(CATEGORY_ORDER_SHIFT) + F.col("seq")
+    return rows.select(
         "id", node_label(path, F.col("content"), F.col("category"), fallback).alias("label"),
         F.lit("document").alias("file_type"), source.alias("source_file"), path.alias("source_location"),
-        F.col("id").alias("chunk_id"), "category", path.alias("heading_path"),
-        (F.col("cat_rank") * F.lit(CATEGORY_ORDER_SHIFT) + F.col("seq")).alias("node_seq"))
+        F.col("id").alias("chunk_id"), "category", path.alias("heading_path"), order.alias("node_seq"))
 
 
 def _edges(df: DataFrame, a, b, relation: str, weight: float, source_file=None) -> DataFrame:
@@ -54,15 +59,15 @@ def path_parts(path: Column) -> Column:
     return F.filter(F.transform(F.split(path, ">"), strip), lambda p: p != "")
 
 
-def heading_edges(nodes: DataFrame) -> DataFrame:
-    """Parent path to child path, between the first chunk of each path."""
-    first = nodes.filter(F.col("heading_path") != "").groupBy("heading_path").agg(
-        F.min_by("id", "node_seq").alias("id"))
+def heading_edges(nodes: DataFrame, per_file: bool = False) -> DataFrame:
+    """Parent path to child path, between the first chunk of each path; ``per_file`` looks inside one source only."""
+    keys = ["source_file", "heading_path"] if per_file else ["heading_path"]
+    first = nodes.filter(F.col("heading_path") != "").groupBy(*keys).agg(F.min_by("id", "node_seq").alias("id"))
     child = first.withColumn("_parts", path_parts(F.col("heading_path"))).filter(
         (F.size("_parts") > 1) & (F.array_join("_parts", M.PATH_SEP) == F.col("heading_path")))
-    child = child.select(F.col("id").alias("child"), F.array_join(
+    child = child.select(F.col("id").alias("child"), *keys[:-1], F.array_join(
         F.slice("_parts", 1, F.greatest(F.size("_parts") - 1, F.lit(0))), M.PATH_SEP).alias("heading_path"))
-    joined = child.join(first.withColumnRenamed("id", "parent"), "heading_path")
+    joined = child.join(first.withColumnRenamed("id", "parent"), keys)
     return _edges(joined, "parent", "child", "references", 1.0)
 
 
@@ -204,7 +209,7 @@ def build_graph(chunks: DataFrame, bindings: DataFrame | None = None, precedence
                 hot_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the whole chunk table."""
     nodes = cut_lineage(build_nodes(chunks, incremental=precedence == "last"))
-    heads = heading_edges(nodes)
+    heads = heading_edges(nodes, per_file=precedence == "last")
     if precedence == "first":
         prior = heads
         steps = [heads]

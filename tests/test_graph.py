@@ -203,3 +203,22 @@ def test_salted_join_of_hot_groups(spark):
     big = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 20)).alias("k"), "id")
     small = big.select("k").distinct().withColumn("v", F.length("k"))
     assert O.join_hot(big, small, ["k"], hot_rows=50).count() == big.join(small, "k").count() == 1000
+
+
+def test_added_sources_follow_file_rules(spark):
+    """Headings link inside one file, equal headings keep file order, every category counts; batches don't matter."""
+    rows = [("r1", "f1.md", "Root", "general", 1), ("r2", "f2.md", "Root > Part", "general", 2), ("r3", "f2.md", "Root", "general", 3),
+            ("t1", "f3.md", "", "tech_manual", 4), ("t2", "f3.md", "", "general", 5), ("t3", "f3.md", "", "made up", 6)]
+    chunks = spark.createDataFrame(rows, "id string, payload_file string, heading_path string, category string, seq bigint").withColumn(
+        "content", F.lit("text"))
+    nodes, edges = G.build_graph(chunks, None, "last")
+    assert nodes.count() == 6
+    got = {(r["src"], r["dst"], r["weight"]) for r in edges.collect()}
+    assert ("r2", "r3", 0.3) in got and not any("r1" in e[:2] for e in got)  # order overwrites the heading link of the same pair
+    assert {e[:2] for e in got if e[0][0] == "t"} == {("t1", "t2"), ("t2", "t3")}
+    heads = {(r["src"], r["dst"]) for r in G.heading_edges(nodes, per_file=True).collect()}
+    assert heads == {("r2", "r3")}
+    empty_nodes, empty_edges = nodes.limit(0), edges.limit(0)
+    for name in ("f1.md", "f2.md", "f3.md"):
+        empty_nodes, empty_edges = G.update_graph(empty_nodes, empty_edges, chunks.filter(F.col("payload_file") == name))
+    assert {(r["src"], r["dst"], r["weight"]) for r in empty_edges.collect()} == got
