@@ -110,10 +110,10 @@ def own_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLA
 
     # equal passages are compared once
     found, _ = write_table(passages(docs), "passages")
-    texts = found.select("passage").distinct()
-    vectors, _ = write_table(texts.select("passage", F.explode(tokens(F.col("passage"))).alias("word")).groupBy("passage", "word").agg(
+    texts = found.select(F.sha2("passage", 256).alias("_key"), "passage").dropDuplicates(["_key"])
+    vectors, _ = write_table(texts.select("_key", F.explode(tokens(F.col("passage"))).alias("word")).groupBy("_key", "word").agg(
         F.count("*").alias("_tf")).join(idf, "word", "left").select(
-        F.sha2("passage", 256).alias("_key"), "word", (F.col("_tf") * F.coalesce("idf", F.lit(unseen))).alias("_p")), "vectors")
+        "_key", "word", (F.col("_tf") * F.coalesce("idf", F.lit(unseen))).alias("_p")), "vectors")
     size = vectors.groupBy("_key").agg(F.sqrt(F.sum(F.col("_p") * F.col("_p"))).alias("_norm"))
     dots = vectors.join(posts, "word").groupBy("_key", "template", "license").agg(F.sum(F.col("_p") * F.col("_t")).alias("_dot"))
     near = dots.join(size, "_key").withColumn("cosine", F.round(F.col("_dot") / F.col("_norm"), 6)).filter(F.col("cosine") >= threshold)
