@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ def to_arrow(schema: StructType) -> pa.Schema:
 def write_table(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     """Write to the shared work folder and read back: the frame, and its path for ``drop_table``."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -79,6 +80,12 @@ def drop_table(spark: SparkSession, *paths: str | None) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """0-based global position in ``order``, from range partitions and one count per partition."""
     parts, _ = write_table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")

@@ -1,18 +1,18 @@
 """Line dedup by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its words (A-Z in lower case).  A line goes when an earlier line, in the order of (doc_id, line number),
-has Jaccard similarity of ``similarity`` percent or more with it, equal sets included.  Whether that earlier line goes as
+A line is the set of its words.  A line goes when an earlier line, in the order of (doc_id, line number), has
+Jaccard similarity of ``similarity`` percent or more with it, equal sets included.  Whether that earlier line goes as
 well makes no difference.
 
-1. Equal sets become one class with its first line; copies are combined before they are shuffled.
-2. Words are ordered by rarity: words are counted over the classes in LEVELS hash buckets, and the logarithm of
+1. Equal lines are combined before they are shuffled, and different lines of equal sets become one class with its first line.
+2. Words are ordered by rarity: words are counted over the different lines in LEVELS hash buckets, and the logarithm of
    the bucket's count, then the word's hash, is its rank.  Any fixed order gives the same result; rarity makes it fast, and
    the table of levels has the same size for any input.
 3. Two sets of that similarity share a word among the rarest ``n - ceil(similarity * n) + 1`` of each (prefix filter).  Classes meet
    on those words.  Their sizes must be near enough (length filter), and from the places of the common word in both orders
-   enough words must be left behind it (positional filter).
-4. The pairs left over are compared word by word.  The classes are kept in a table bucketed by class, so fetching
-   their words moves only the pairs.
+   enough words must be left behind it (positional filter).  A parity bitmap of 128 bits for each set bounds how many words differ.
+4. The pairs left over are compared word by word.  The different lines are kept in a table bucketed by line, so fetching
+   their texts moves only the pairs.
 """
 
 from __future__ import annotations
@@ -21,24 +21,24 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillgraph.llm.common import WORD, ascii_lower, drop_table, write_table
+from quillgraph.llm.common import drop_table, free_shuffles, write_table
 
 SIMILARITY = 80
 #: Hash buckets in which words are counted.
-LEVELS = 1 << 20
+LEVELS = 1 << 18
 
 
 def _words(line: Column) -> Column:
-    """Distinct words in order, joined by spaces; empty for a line without words."""
-    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(ascii_lower(line), F.lit(WORD), F.lit(0)))), " ")
+    """The different words of a line; the usual line has only spaces between words."""
+    parts = F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
+    return F.array_remove(F.array_distinct(parts), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, _row (hash of the text, which tells rows of one id apart), _line, _set, and two hashes that name the set."""
-    lines = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"),
-                        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("_line", "_text"))
-    named = lines.select("doc_id", "_row", "_line", _words(F.col("_text")).alias("_set"))
-    return named.withColumns({"_id": F.xxhash64("_set"), "_check": F.xxhash64(F.lit(1), F.reverse("_set"))})
+    """doc_id, _row (hash of the text, which tells rows of one id apart), _line, _text, and two hashes that name the line."""
+    text = F.coalesce("text", F.lit(""))
+    lines = docs.select("doc_id", F.xxhash64(text).alias("_row"), F.posexplode(F.split(text, "\n")).alias("_line", "_text"))
+    return lines.withColumns({"_a": F.xxhash64("_text"), "_b": F.xxhash64(F.lit(1), F.length("_text"), "_text")})
 
 
 def _least_shared(n: Column, similarity: int) -> Column:
@@ -46,33 +46,56 @@ def _least_shared(n: Column, similarity: int) -> Column:
     return F.ceil((n * similarity) / F.lit(100.0)).cast("int")
 
 
-def _levels(classes: DataFrame) -> DataFrame:
-    """One row: twice the binary logarithm of the number of words, for each of LEVELS hash buckets."""
-    spark = classes.sparkSession
-    counts = classes.select(F.explode(F.split("_set", " ")).alias("_word")).groupBy(
-        F.pmod(F.xxhash64("_word"), F.lit(LEVELS)).alias("_bucket")).agg(F.count("*").alias("_n"))
-    dense = spark.range(LEVELS).withColumnRenamed("id", "_bucket").join(counts, "_bucket", "left").select(
-        "_bucket", F.floor(2 * F.log2(F.coalesce("_n", F.lit(1)))).cast("tinyint").alias("_level"))
-    return dense.agg(F.sort_array(F.collect_list(F.struct("_bucket", "_level"))).alias("_all")).select(
-        F.transform("_all", lambda x: x["_level"]).alias("_levels"))
+def _bucket(word_hash: str) -> Column:
+    return F.pmod(F.col(word_hash), F.lit(LEVELS))
 
 
-def _pairs(classes: DataFrame, levels: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of classes (x at least as large as y) that pass the prefix, length and positional filters."""
-    ranked = classes.withColumn("_levels", levels.scalar()).select("_id", "_check", F.sort_array(F.transform(
-        F.split("_set", " "), lambda w: F.shiftleft(
-            F.get(F.col("_levels"), F.pmod(F.xxhash64(w), F.lit(LEVELS)).cast("int")).cast("long"), 55).bitwiseOR(
-            F.shiftrightunsigned(F.xxhash64(w), 9)))).alias("_ranks")).withColumn("_n", F.size("_ranks"))
+def _hashed(lines: DataFrame) -> DataFrame:
+    """A row per line and word: _a, _b, _first and the word's hash _h."""
+    return lines.select("_a", "_b", "_first", F.explode(_words(F.col("_text"))).alias("_word")).select(
+        "_a", "_b", "_first", F.xxhash64("_word").alias("_h"))
+
+
+def _levels(lines: DataFrame) -> DataFrame:
+    """(_bucket, _level): twice the binary logarithm of the number of words, for LEVELS hash buckets at most."""
+    return _hashed(lines).groupBy(_bucket("_h").alias("_bucket")).agg(
+        F.floor(2 * F.log2(F.count("*"))).cast("long").alias("_level"))
+
+
+def _ranked(lines: DataFrame, levels: DataFrame, similarity: int) -> DataFrame:
+    """A row per line with words: its number of words, two hashes of the set, two parity bitmaps and its prefix.
+
+    Ranks are built row by row and word by word, and come together again in the partition the line is in.  A bitmap tells for
+    each of 64 places whether an odd number of words falls on it; a word in which two sets differ changes one place.
+    """
+    one = F.lit(1).cast("long")
+    bit = lambda shift: F.call_function("shiftleft", one, F.shiftrightunsigned("_h", shift).cast("int").bitwiseAND(F.lit(63)))
+    upper = F.shiftrightunsigned("_h", 63) == 1
+    words = _hashed(lines).withColumn("_bucket", _bucket("_h")).join(F.broadcast(levels), "_bucket")
+    sets = words.groupBy("_a", "_b").agg(
+        F.min("_first").alias("_first"), F.count("*").cast("int").alias("_n"),
+        F.bit_xor(F.when(upper, bit(57)).otherwise(F.lit(0).cast("long"))).alias("_p"),
+        F.bit_xor(F.when(upper, F.lit(0).cast("long")).otherwise(bit(57))).alias("_q"),
+        F.sort_array(F.collect_list(F.shiftleft("_level", 55).bitwiseOR(F.shiftrightunsigned("_h", 9)))).alias("_ranks"))
     prefix = F.slice("_ranks", F.lit(1), F.col("_n") - _least_shared(F.col("_n"), similarity) + 1)
-    rows = ranked.select("_id", "_check", "_n", F.posexplode(prefix).alias("_at", "_rank")).repartition(F.col("_rank"))
+    return sets.select("_a", "_b", "_first", "_n", "_p", "_q", F.xxhash64("_ranks").alias("_i"),
+                       F.xxhash64(F.lit(1), F.reverse("_ranks")).alias("_j"), prefix.alias("_prefix"))
+
+
+def _pairs(classes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of classes, x at least as large as y, that pass all filters on hashes."""
+    rows = classes.select("_a", "_b", "_n", "_p", "_q", F.posexplode("_prefix").alias("_at", "_rank")).select(
+        "_rank", "_a", "_b", F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.col("_at").cast("long")).alias("_size"), "_p", "_q").repartition(
+        F.col("_rank"))
     x, y = rows.alias("x"), rows.alias("y")
-    n, m = F.col("x._n"), F.col("y._n")
+    n, m = (F.shiftright(F.col(f"{r}._size"), 32).cast("int") for r in "xy")
+    i, j = (F.col(f"{r}._size").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for r in "xy")
     shared = F.ceil((n + m) * F.lit(float(similarity)) / F.lit(100.0 + similarity)).cast("int")
-    left = F.least(n - F.col("x._at"), m - F.col("y._at"))
+    apart = F.bit_count(F.col("x._p").bitwiseXOR(F.col("y._p"))) + F.bit_count(F.col("x._q").bitwiseXOR(F.col("y._q")))
     return x.join(y, (F.col("x._rank") == F.col("y._rank")) & (
-        (n > m) | ((n == m) & (F.struct("x._id", "x._check") > F.struct("y._id", "y._check")))) & (
-        m * 100 >= n * similarity) & (left >= shared)).select(
-        F.col("x._id").alias("_xi"), F.col("x._check").alias("_xc"), F.col("y._id").alias("_yi"), F.col("y._check").alias("_yc")).distinct()
+        (n > m) | ((n == m) & (shared < n) & (F.struct("x._a", "x._b") > F.struct("y._a", "y._b")))) & (
+        m * 100 >= n * similarity) & (F.least(n - i, m - j) >= shared) & (apart <= n + m - 2 * shared)).select(
+        F.col("x._a").alias("_xa"), F.col("x._b").alias("_xb"), F.col("y._a").alias("_ya"), F.col("y._b").alias("_yb")).distinct()
 
 
 def removed_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -83,34 +106,43 @@ def removed_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     Empty table: no rows.
     """
     spark = docs.sparkSession
-    name = f"line_classes_{uuid.uuid4().hex}"
+    names = {k: f"{k}_{uuid.uuid4().hex}" for k in ("lines", "ranked")}
     place = F.struct("doc_id", "_row", "_line")
-    classes = _lines(docs).filter("_set <> ''").groupBy("_id", "_check").agg(
-        F.min(place).alias("_first"), F.min("_set").alias("_set"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes.write.option("compression", "zstd").bucketBy(buckets, "_id", "_check").saveAsTable(name)
+
+    def bucketed(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").bucketBy(buckets, "_a", "_b").saveAsTable(names[name])
+        free_shuffles(spark)
+        return spark.table(names[name])
+
     try:
-        classes = spark.table(name)
-        # a set of fewer words has no near match but itself
-        wide = classes.filter(F.size(F.split("_set", " ")) >= F.lit(similarity / (100 - similarity)) if similarity < 100 else F.lit(False))
-        levels, levels_path = write_table(_levels(wide), "levels")
-        pairs, pairs_path = write_table(_pairs(wide, levels, similarity), "line-pairs")
-        side = lambda end: classes.select(F.col("_id").alias(f"_{end}i"), F.col("_check").alias(f"_{end}c"),
-                                          F.col("_first").alias(f"_{end}first"), F.split("_set", " ").alias(f"_{end}set"))
-        full = pairs.join(side("x"), ["_xi", "_xc"]).join(side("y"), ["_yi", "_yc"])
+        lines = bucketed(_lines(docs).groupBy("_a", "_b").agg(F.min(place).alias("_first"), F.min("_text").alias("_text")), "lines")
+        levels, levels_path = write_table(_levels(lines), "levels")
+        ranked = bucketed(_ranked(lines, levels, similarity), "ranked")
+        sets, sets_path = write_table(ranked.groupBy("_i", "_j").agg(F.min(F.struct("_first", "_a", "_b")).alias("_f")).select(
+            "_i", "_j", "_f.*"), "sets")
+        classes = ranked.join(sets.select("_a", "_b"), ["_a", "_b"])
+        pairs, pairs_path = write_table(_pairs(classes, similarity), "line-pairs")
+        free_shuffles(spark)
+        side = lambda end: lines.select(F.col("_a").alias(f"_{end}a"), F.col("_b").alias(f"_{end}b"),
+                                        F.col("_first").alias(f"_{end}first"), F.col("_text").alias(f"_{end}text"))
+        full = pairs.join(side("x"), ["_xa", "_xb"]).join(side("y"), ["_ya", "_yb"]).withColumns(
+            {"_xset": _words(F.col("_xtext")), "_yset": _words(F.col("_ytext"))})
         both, sizes = F.size(F.array_intersect("_xset", "_yset")), F.size("_xset") + F.size("_yset")
         near = full.filter(both * 100 >= (sizes - both) * similarity)
         later = F.col("_xfirst") > F.col("_yfirst")
-        late, _ = write_table(near.select(F.when(later, F.col("_xi")).otherwise(F.col("_yi")).alias("_id"),
-                                          F.when(later, F.col("_xc")).otherwise(F.col("_yc")).alias("_check")).distinct(), "late")
-        firsts, _ = write_table(classes.select("_id", "_check", "_first").join(
-            late.withColumn("_late", F.lit(True)), ["_id", "_check"], "left"), "firsts")
+        late, late_path = write_table(near.select(F.when(later, F.col("_xa")).otherwise(F.col("_ya")).alias("_a"),
+                                                  F.when(later, F.col("_xb")).otherwise(F.col("_yb")).alias("_b")).distinct(), "late")
+        judged = sets.join(late.withColumn("_late", F.lit(True)), ["_a", "_b"], "left").select("_i", "_j", "_first", "_late")
+        known, _ = write_table(ranked.select("_a", "_b", "_i", "_j").join(judged, ["_i", "_j"]).drop("_i", "_j"), "known")
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    drop_table(spark, levels_path, pairs_path)
+        for name in names.values():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    drop_table(spark, levels_path, sets_path, pairs_path, late_path)
+    free_shuffles(spark)
     stays = F.col("_first").isNull() | (F.col("_late").isNull() & (place == F.col("_first")))
-    lines = _lines(docs).drop("_set").join(firsts, ["_id", "_check"], "left")
-    marked = lines.select("doc_id", "_row", "_line", F.when(~stays, F.col("_line")).alias("_gone")).distinct()
+    marked = _lines(docs).drop("_text").join(known, ["_a", "_b"], "left").select(
+        "doc_id", "_row", "_line", F.when(~stays, F.col("_line")).alias("_gone")).distinct()
     return marked.groupBy("doc_id", "_row").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list("_gone")).alias("removed"))
 
 

@@ -158,7 +158,7 @@ FROM s LEFT JOIN sets USING (items) LEFT JOIN named USING (node)""",
 WITH split_text AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (SELECT doc_id, unnest(range(len(lines)))::INT AS line, unnest(lines) AS text FROM split_text),
 sets AS (
-  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all({_NORM}, '[^\x20\x09-\x0D]+'))) AS items FROM lines),
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS items FROM lines),
 classes AS (SELECT row_number() OVER () AS c, items, len(items) AS n, min((doc_id, line)) AS first FROM sets WHERE len(items) > 0 GROUP BY items),
 words AS (SELECT c, n, unnest(items) AS word FROM classes WHERE n >= 4),
 df AS (SELECT word, count(*) AS f FROM words GROUP BY word),

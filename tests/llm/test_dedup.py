@@ -64,7 +64,7 @@ def test_exact_dedup_empty(make):
 
 def lines_brute(rows, similarity=80):
     """(doc_id, removed) by comparing every line with every earlier one; ids must differ."""
-    lines = [(i, k, frozenset(WORD.findall(lower(x)))) for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    lines = [(i, k, frozenset(WORD.findall(x))) for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
              for k, x in enumerate((t or "").split("\n"))]
     gone = defaultdict(list)
     for at, (i, k, a) in enumerate(lines):
