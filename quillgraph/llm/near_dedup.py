@@ -16,7 +16,8 @@ are not listed group by group:
 * In a first phase, repeated ``PIVOT_ROUNDS`` times, every band names one pivot: first the node with the fewest shingles of its own,
   which is the hub of a group of copies, then another one.  A node is tested against the pivot its sketch is closest to, if that is
   in another component.
-* Only then the pairs are listed that share a band and are still in different components, and all of them are tested.
+* Only then the pairs are listed that share a band, are still in different components and have close sketches, each once, and all
+  of them are tested.
 
 What comes out are the exact components; the links inside a component that was already joined are never needed.
 """
@@ -122,12 +123,16 @@ def features(docs: DataFrame, bands: int, rows: int = ROWS, bits: int = BITS) ->
     return map_rows(docs, ["doc_id", "text"], f"doc_id {kind}, n_shingles long, k1 long, k2 long, sketch array<long>, bands array<long>", run)
 
 
-def _close(pairs: DataFrame, sketches: DataFrame, most: int, bits: int) -> DataFrame:
-    """Pairs (a, b) with the differing bits of their sketches, where there are at most ``most``."""
-    side = lambda end: sketches.select(F.col("node").alias(end), F.col("sketch").alias(f"_{end}"))
-    differ = reduce(add, [F.bit_count(F.col("_a")[i].bitwiseXOR(F.col("_b")[i])) for i in range(bits // 64)])
-    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differ", differ).filter(
-        F.col("differ") <= most).drop("_a", "_b")
+def _differ(a: str, b: str, bits: int):
+    """Bits in which two sketches differ."""
+    return reduce(add, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)])
+
+
+def _close(pairs: DataFrame, signs: DataFrame, most: int, bits: int) -> DataFrame:
+    """Pairs (a, b) with the differing bits of their sketches, where there are at most ``most`` or an id has several texts."""
+    side = lambda end: signs.select(F.col("node").alias(end), F.col("sketch").alias(f"_{end}"), F.col("several").alias(f"_s{end}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differ", _differ("_a", "_b", bits)).filter(
+        (F.col("differ") <= most) | F.col("_sa") | F.col("_sb")).select("a", "b", "differ")
 
 
 def _own_shingles(texts: DataFrame) -> DataFrame:
@@ -176,7 +181,8 @@ def components(docs: DataFrame, similarity: int = SIMILARITY, rows: int = ROWS,
 
     Null text and text without words have an empty set, link to nothing and are their own component.  Null ids never name
     a component that has numbers; without any number component_id is null and kept true.  Rows that repeat an id and a text are
-    one document and marked alike; an id with several texts is one node per text.  Empty table: no rows.  Other columns are ignored.
+    one document and marked alike; an id with several texts is one node, linked by any of them.  Empty table: no rows.  Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     bands = band_count(similarity, rows)
@@ -195,8 +201,9 @@ def components(docs: DataFrame, similarity: int = SIMILARITY, rows: int = ROWS,
     shared, shared_path = write_table(met.join(_own_shingles(texts), ["k1", "k2"], "left").select(
         "band", "node", "n", F.coalesce("u", F.lit(0)).alias("u")).filter((F.col("n") - F.col("u")) * 100 >= F.col("n") * similarity), "shared")
     drop_table(spark, met_path)
-    nodes = shared.select("node").distinct()
-    sketches, sketches_path = write_table(firsts.join(nodes, "node", "left_semi").select("node", "sketch").dropDuplicates(["node"]), "sketches")
+    signs, signs_path = write_table(firsts.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("sketch", "bands")).alias("_s"), (F.min(F.struct("k1", "k2")) != F.max(F.struct("k1", "k2"))).alias("several")).select(
+        "node", "_s.*", "several"), "signs")
 
     labels = links = tested = None
     spent: list[str] = []
@@ -212,14 +219,18 @@ def components(docs: DataFrame, similarity: int = SIMILARITY, rows: int = ROWS,
                 "band", F.col("_p.node").alias("b"), F.col("_p.comp").alias("_cb"), F.col("_p.n").alias("m"), F.col("_p.u").alias("v"))
             pairs = inside.join(pivots, "band").filter(
                 (F.col("comp") != F.col("_cb")) & _reachable("n", "u", "m", "v", similarity)).select(F.col("node").alias("a"), "b").distinct()
-            pairs = _close(pairs, sketches, most, bits).groupBy("a").agg(
+            pairs = _close(pairs, signs, most, bits).groupBy("a").agg(
                 F.min(F.struct("differ", "b")).alias("_best")).select("a", F.col("_best.b").alias("b"))
         else:
-            left = inside.select("band", F.col("node").alias("a"), "n", "u", F.col("comp").alias("_ca"))
-            right = inside.select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("_cb"))
-            apart = left.join(right.withColumnRenamed("band", "_band"), (F.col("band") == F.col("_band")) & (F.col("_ca") < F.col("_cb"))
-                              & _reachable("n", "u", "m", "v", similarity))
-            pairs = _close(apart.select("a", "b").distinct(), sketches, most, bits)
+            # a pair is made once, in the smallest band it shares, and only if its sketches are close
+            signed = inside.join(signs, "node")
+            left = signed.select("band", F.col("node").alias("a"), "n", "u", F.col("comp").alias("_ca"), F.col("sketch").alias("_a"),
+                               F.col("bands").alias("_ba"), F.col("several").alias("_sa"))
+            right = signed.select(F.col("band").alias("_band"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"),
+                                F.col("comp").alias("_cb"), F.col("sketch").alias("_b"), F.col("bands").alias("_bb"), F.col("several").alias("_sb"))
+            near = (_differ("_a", "_b", bits) <= most) & (F.col("band") == F.array_min(F.array_intersect("_ba", "_bb")))
+            pairs = left.join(right, (F.col("band") == F.col("_band")) & (F.col("_ca") < F.col("_cb")) & _reachable(
+                "n", "u", "m", "v", similarity) & (F.col("_sa") | F.col("_sb") | near)).select("a", "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -231,7 +242,7 @@ def components(docs: DataFrame, similarity: int = SIMILARITY, rows: int = ROWS,
         drop_table(spark, inside_path)
         spent += [pairs_path, new_path]
     named, _ = write_table(sets.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id")), "named")
-    drop_table(spark, shared_path, sketches_path, texts_path, *spent)
+    drop_table(spark, shared_path, signs_path, texts_path, *spent)
     alone = feats.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     found = full.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
