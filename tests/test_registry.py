@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 QUICK = ["chunk_sections", "segment_blocks", "chunk_documents_md", "chunk_documents_flat", "list_headings", "sync_actions", "diff_counts",
          "augment_with_clips", "transcript_at", "run_summary", "heading_edges", "category_edges", "sequence_edges", "search_text_topk",
          "find_nodes", "graph_search", "recent_turns", "condense_queries", "prompts", "review_parsed", "apply_suggestions",
-         "opt_requests", "qa_samples", "stream_asr", "stream_condense"]
+         "opt_requests", "qa_samples", "stream_asr", "stream_condense", "markdown_files_chunks", "review_files_roundtrip",
+         "chunk_json_roundtrip", "connected_components", "update_graph_edges"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else QUICK
 
 
