@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine of passages to licence templates, then inheritance along directories.
 
-Every sentence, line, paragraph and whole text that holds a licence word is compared with the templates (short
-statements, file headers and licence texts).  Weights are tf * idf, with idf = ln((1 + documents) / (1 + documents with the word)) + 1
+Every sentence, line, paragraph and whole text is compared with the templates (short statements, file headers and licence
+texts), except where it has none of the ``needed_words``: then its cosine to every template is below the threshold for certain.  Weights are tf * idf, with idf = ln((1 + documents) / (1 + documents with the word)) + 1
 counted over all documents; words of no template have the largest idf and only lengthen a passage.  The vectors stay sparse: passages meet
 templates on shared words.  A document's licence is that of its best passage, if its cosine reaches ``THRESHOLD``.
 
@@ -21,8 +21,6 @@ from quillgraph.llm.common import ascii_lower, ascii_lower_str, write_table
 
 THRESHOLD = 0.7
 TOKEN = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
-#: A passage without one of these is not looked at.
-ANCHOR = r"(?i)licen[sc]e|copyright|all rights reserved|spdx|creative commons|public domain|permission is hereby|redistribution and use|cc[- ]by"
 FILE_NAME = r"(?i)^(un)?licen[sc]e([._-].*)?$|^copying([._-].*)?$|^copyright([._-].*)?$"
 
 # Names of licences and the words by which texts are put under them.
@@ -85,14 +83,35 @@ def word_weights(docs: DataFrame, words: list[str]) -> DataFrame:
     return every.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("word"), (F.log(F.lit(float(n)) + 1) + 1).alias("idf")))
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """doc_id, path, passage, whole: the different sentences, lines, paragraphs and the text that hold a licence word."""
+def needed_words(rows: list[tuple[int, str, str, int]], idf: dict[str, float], threshold: float) -> list[str]:
+    """Words of which a passage has at least one if its cosine to a template reaches the threshold.
+
+    Per template the commonest words are left out as long as their part of its norm stays below the threshold: a passage that shares no
+    other word has a cosine of that part at most (Cauchy-Schwarz).  Cosines are rounded to six places, so the bound is a little lower.
+    """
+    vectors: dict[int, list[tuple[float, str, float]]] = {}
+    for i, _, word, tf in rows:
+        vectors.setdefault(i, []).append((idf[word], word, (tf * idf[word]) ** 2))
+    needed = set()
+    for vector in vectors.values():
+        room = max(threshold - 1e-5, 0) ** 2 * sum(part for _, _, part in vector)
+        for _, word, part in sorted(vector):
+            room -= part
+            if room <= 0:
+                needed.add(word)
+    return sorted(needed)
+
+
+def passages(docs: DataFrame, needed: list[str]) -> DataFrame:
+    """doc_id, path, passage, whole: the different sentences, lines, paragraphs and the text that hold one of the words."""
+    words = F.array(*map(F.lit, needed)).cast("array<string>")
+    holds = lambda x: F.arrays_overlap(tokens(x), words)
     text = F.coalesce("text", F.lit(""))
     cut = lambda x, pattern: F.split(x, pattern)
     parts = F.array_distinct(F.transform(F.concat(
         cut(F.col("_text"), r"\n|(?<=[.!?])\s+"), cut(F.col("_text"), r"\n"), cut(F.col("_text"), r"\n\s*\n"), F.array("_text")), F.trim))
-    marked = docs.select("doc_id", "path", text.alias("_text")).filter(F.col("_text").rlike(ANCHOR))
-    return marked.select("doc_id", "path", F.explode(F.filter(parts, lambda p: p.rlike(ANCHOR))).alias("passage"), F.trim("_text").alias("_whole")).select(
+    marked = docs.select("doc_id", "path", text.alias("_text")).filter(holds(F.col("_text")))
+    return marked.select("doc_id", "path", F.explode(F.filter(parts, holds)).alias("passage"), F.trim("_text").alias("_whole")).select(
         "doc_id", "path", "passage", (F.col("passage") == F.col("_whole")).alias("whole"))
 
 
@@ -109,7 +128,8 @@ def own_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLA
     posts, _ = write_table(posts.join(norms, "template").select("template", "license", "word", (F.col("_t") / F.col("_norm")).alias("_t")), "templates")
 
     # equal passages are compared once
-    found, _ = write_table(passages(docs), "passages")
+    needed = needed_words(rows, {r["word"]: r["idf"] for r in idf.collect()}, threshold)
+    found, _ = write_table(passages(docs, needed), "passages")
     texts = found.select(F.sha2("passage", 256).alias("_key"), "passage").dropDuplicates(["_key"])
     vectors, _ = write_table(texts.select("_key", F.explode(tokens(F.col("passage"))).alias("word")).groupBy("_key", "word").agg(
         F.count("*").alias("_tf")).join(idf, "word", "left").select(

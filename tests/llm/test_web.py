@@ -162,3 +162,32 @@ def test_cosine_against_brute_force(spark, name):
     best = max(sum(x * vector(p).get(w, 0) for w, x in vector(t).items()) / length(vector(t)) / length(vector(p))
                for _, t in licenses.TEMPLATES for p in parts[2:] + parts[:1])
     assert own[1]["cosine"] == pytest.approx(best, abs=2e-6)
+
+
+def test_statements_without_usual_words(spark):
+    rnd = random.Random(3)
+    filler = [(100 + i, f"f/{i}", " ".join(f"w{rnd.randrange(500)}" for _ in range(30)) + " under the license of this work") for i in range(300)]
+    rows = [(1, "a/x", "Released under MIT"), (2, "b/x", "This work is under the GNU General Public, version 3"),
+            (3, "c/LICENSE", "This is free and unencumbered software"), (4, "c/d/x", "nothing"), (5, "e/x", "Released by somebody")]
+    got = scan(spark, rows + filler)
+    assert {i: (r["license"], r["origin"]) for i, r in got.items() if i < 100} == {
+        1: ("MIT", "own"), 2: ("GPL-3.0", "own"), 3: ("Unlicense", "own"), 4: ("Unlicense", "inherited"), 5: (None, None)}
+
+
+def test_templates_of_the_caller_need_no_usual_words(spark):
+    own = (("Beer", "Buy the author a beer in return"), ("Ask", "Ask first"))
+    got = scan(spark, [(1, "a/x", "w1 w2\nBuy the author a beer\nw3"), (2, "b/x", "ask first"), (3, "c/x", "the author in a")], templates=own)
+    assert {i: r["license"] for i, r in got.items()} == {1: "Beer", 2: "Ask", 3: None}
+
+
+def test_needed_words_lose_no_passage():
+    rnd = random.Random(9)
+    for threshold in (0.05, 0.5, 0.7, 0.95):
+        words = [f"w{i}" for i in range(12)]
+        idf = {w: 1 + rnd.random() * 6 for w in words}
+        vector = {w: rnd.randrange(1, 3) for w in rnd.sample(words, 8)}
+        needed = set(licenses.needed_words([(0, "x", w, tf) for w, tf in vector.items()], idf, threshold))
+        # the best passage without a needed word is the template cut down to its other words
+        norm = sum((tf * idf[w]) ** 2 for w, tf in vector.items())
+        rest = sum((tf * idf[w]) ** 2 for w, tf in vector.items() if w not in needed)
+        assert (rest / norm) ** 0.5 < threshold
