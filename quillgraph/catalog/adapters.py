@@ -154,6 +154,33 @@ store_t AS (
 """
 
 
+def l2_all(spark, sf_dir) -> DataFrame:
+    """L2 rows of all documents."""
+    return chunks_t(spark, sf_dir).select(
+        F.col("id").alias("chunk_id"), "anchor_id", F.col("payload_file").alias("source_file"), "source_type",
+        "content", F.col("content").alias("display_content"), F.col("content").alias("embedding_text"),
+        "heading_path", "is_manual", F.lit(False).alias("user_edited"), "seq")
+
+
+def store_all(spark, sf_dir) -> DataFrame:
+    """Chunks of all documents; French content is an older wording."""
+    old = F.when(F.col("lang") == "fr", F.concat("content", F.lit(" (old)"))).otherwise(F.col("content"))
+    return chunks_t(spark, sf_dir).withColumn("content", old).select(
+        "id", "content", "source_type", "anchor_id", "heading_path", "payload_file", "category", "is_manual",
+        "created_at", "version", "seq")
+
+
+ALL_SQL = CHUNKS_SQL + """,
+l2_all AS (
+  SELECT id AS chunk_id, anchor_id, payload_file AS source_file, source_type, content, heading_path, is_manual, seq
+  FROM chunks_t),
+store_all AS (
+  SELECT id, CASE WHEN lang = 'fr' THEN content || ' (old)' ELSE content END AS content, source_type, anchor_id,
+         heading_path, payload_file, category, is_manual, created_at, version, seq
+  FROM chunks_t)
+"""
+
+
 # ---------------------------------------------------------------- questions and turns
 def queries_t(spark, sf_dir) -> DataFrame:
     """Every sentence of every benchmark item, and every source with its language."""

@@ -120,6 +120,8 @@ QUERIES = {
         "source_file", "chunk_id", "page", "heading_path", "content", "embedding_text", "stored"),
     "export_store_rows": lambda s, d: J.export_store_rows(X.store_t(s, d), "dir/src3.md").select(
         "source_file", "chunk_id", "stored", "heading_path", "content"),
+    "export_store_rows_all": lambda s, d: J.export_store_rows(X.store_all(s, d), "dir/src3.md").select(
+        "source_file", "chunk_id", "stored", "heading_path", "content"),
     "review_markdown": lambda s, d: R.render_review_markdown(_lines(s, d), AT, "export"),
     "review_markdown_edit": lambda s, d: R.render_review_markdown(_lines(s, d), AT, "edit"),
     "review_parsed": lambda s, d: R.parse_review_text(_files(s, d, "export")).select(
@@ -151,7 +153,7 @@ QUERIES = {
     "summary_markdown": lambda s, d: FS.summary_markdown(A.summarize_runs(X.runs_t(s, d))).select("line"),
     "ingest_store": lambda s, d: _ingested(s, d).store.select("id", "content", "category", "heading_path", "payload_file", "version"),
     "ingest_actions": lambda s, d: A.sync_counts(_ingested(s, d).actions),
-    "rebuild_edges": lambda s, d: I.rebuild(X.l2_t(s, d), X.store_t(s, d), X.bindings_t(s, d), F.lit(AT)).edges.groupBy(
+    "rebuild_edges": lambda s, d: I.rebuild(X.l2_all(s, d), X.store_all(s, d), X.bindings_t(s, d), F.lit(AT)).edges.groupBy(
         "relation").agg(F.count("*").alias("n")),
 }
 
@@ -214,6 +216,8 @@ ORACLE = {
     "chunk_json_roundtrip": "WITH " + LINES + "SELECT source_file, chunk_id, page, heading_path, content, embedding_text, true AS stored FROM lines_t",
     "export_store_rows": "WITH " + X.L2_SQL + """SELECT 'src3.md' AS source_file, id AS chunk_id, true AS stored, heading_path, content
         FROM store_t WHERE payload_file = 'src3.md'""",
+    "export_store_rows_all": "WITH " + X.ALL_SQL + """SELECT 'src3.md' AS source_file, id AS chunk_id, true AS stored, heading_path, content
+        FROM store_all WHERE payload_file = 'src3.md'""",
     "review_markdown": _render(False),
     "review_markdown_edit": _render(True),
     "review_parsed": "WITH " + LINES + """SELECT source_file, source_type, n - 1 AS ordinal, n AS chunk_no, chunk_id, page, true AS stored,

@@ -16,6 +16,11 @@ def _now():
     return F.lit("2024-06-01T00:00:00")
 
 
+def _ascii(name):
+    """Other characters as a question mark each: the SQL counts bytes."""
+    return F.regexp_replace(name, r"[^\x00-\x7F]", "?")
+
+
 def _labels_ids(s, d):
     """Ids of the first line of labelled toxic documents: the ids edited since the last search."""
     return X.table(s, d, "labels").filter("toxic = 1").select(
@@ -73,6 +78,13 @@ QUERIES = {
     "edit_chunks_l2": lambda s, d: U.edit_chunks_l2(
         X.l2_t(s, d), _edits(s, d).withColumnRenamed("id", "chunk_id").select("chunk_id", "content")).select(
         "chunk_id", "content", "display_content", "is_manual"),
+    "upsert_chunks_all": lambda s, d: U.upsert_chunks(
+        X.store_all(s, d), X.chunks_t(s, d).filter(F.col("lang") == "fr").select(*X.store_all(s, d).columns), _now()).select(*STORE_COLS),
+    "update_chunks_all": lambda s, d: U.update_chunks(X.store_all(s, d), _edits(s, d)).select(*STORE_COLS),
+    "delete_chunks_all": lambda s, d: U.delete_chunks(X.store_all(s, d), _labels_ids(s, d)).select("id"),
+    "edit_chunks_l2_all": lambda s, d: U.edit_chunks_l2(
+        X.l2_all(s, d), _edits(s, d).withColumnRenamed("id", "chunk_id").select("chunk_id", "content")).select(
+        "chunk_id", "content", "display_content", "is_manual"),
     "read_with_evolution": lambda s, d: J.read_with_evolution(
         X.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"),
                                           F.col("source").alias("source_type"), F.col("n_chars").alias("embedding")))
@@ -96,6 +108,8 @@ QUERIES = {
         X.table(s, d, "nation").alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey")).select(
         F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"),
         F.levenshtein(F.col("a.n_name"), F.col("b.n_name")).alias("dist")),
+    "levenshtein_turns": lambda s, d: X.turns_t(s, d).select(
+        "conv_id", "turn", F.levenshtein(_ascii("query"), _ascii("answer")).alias("dist")),
     "is_followup": lambda s, d: X.turns_t(s, d).select("conv_id", "turn", T.is_followup("query").alias("followup")),
     "rich_content": lambda s, d: X.docs_md(s, d).select("doc_id", T.has_rich_content("text").alias("rich")),
     "page_rich_content": lambda s, d: X.table(s, d, "pages").select("page_id", T.has_rich_content("html").alias("rich")),
@@ -186,6 +200,16 @@ ORACLE = {
     "edit_chunks_l2": "WITH " + X.L2_SQL + _EDIT_CTE + """SELECT chunk_id, coalesce(e.content, l.content) AS content,
         coalesce(e.content, l.content) AS display_content, e.id IS NOT NULL OR is_manual AS is_manual
         FROM l2_t l LEFT JOIN edits e ON l.chunk_id = e.id""",
+    "upsert_chunks_all": "WITH " + X.ALL_SQL + """SELECT id, content, category, heading_path, is_manual, version FROM chunks_t WHERE lang = 'fr'
+        UNION ALL SELECT id, content, category, heading_path, is_manual, version FROM store_all
+        WHERE id NOT IN (SELECT id FROM chunks_t WHERE lang = 'fr')""",
+    "update_chunks_all": "WITH " + X.ALL_SQL + _EDIT_CTE + """SELECT s.id, coalesce(e.content, s.content) AS content,
+        coalesce(nullif(e.category, ''), s.category) AS category, heading_path, e.id IS NOT NULL OR is_manual AS is_manual,
+        version + CASE WHEN e.id IS NULL THEN 0 ELSE 1 END AS version FROM store_all s LEFT JOIN edits e ON s.id = e.id""",
+    "delete_chunks_all": "WITH " + X.ALL_SQL + _LAB + "SELECT id FROM store_all WHERE id NOT IN (SELECT id FROM gone)",
+    "edit_chunks_l2_all": "WITH " + X.ALL_SQL + _EDIT_CTE + """SELECT chunk_id, coalesce(e.content, l.content) AS content,
+        coalesce(e.content, l.content) AS display_content, e.id IS NOT NULL OR is_manual AS is_manual
+        FROM l2_all l LEFT JOIN edits e ON l.chunk_id = e.id""",
     "read_with_evolution": _EVOLVED,
     "heuristic_category": f"SELECT doc_id, {X.sql_category('text')} AS category FROM documents",
     "collapse_and_preview": f"""SELECT doc_id, f AS flat, CASE WHEN length(f) > 90 THEN substr(f, 1, 90) || '...' ELSE f END AS preview,
@@ -203,6 +227,8 @@ ORACLE = {
     "char_bigrams": "WITH " + X.QUERIES_SQL + f"SELECT query_id, array_to_string({_GRAMS}, '¦') AS grams FROM (SELECT query_id, {_QT} AS terms FROM queries_t)",
     "levenshtein_pairs": """SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS dist
         FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey""",
+    "levenshtein_turns": "WITH " + X.TURNS_SQL + r"""SELECT conv_id, turn, levenshtein(
+        regexp_replace(query, '[^\x00-\x7F]', '?', 'g'), regexp_replace(answer, '[^\x00-\x7F]', '?', 'g')) AS dist FROM turns_t""",
     "is_followup": "WITH " + X.TURNS_SQL + f"SELECT conv_id, turn, regexp_matches(query, '{'|'.join(V.FOLLOWUP_MARKERS)}') AS followup FROM turns_t",
     "rich_content": "WITH " + X.DOCS_MD_SQL + rf"""SELECT doc_id, regexp_matches(text, '{V.RICH_TAG}')
         OR regexp_matches(text, '\[[^\]]+\]\([^)\s]+(\s+"[^"]*")?\)') OR regexp_matches(text, '!\[[^\]]*\]\([^)\s]+(\s+"[^"]*")?\)') AS rich FROM docs_md""",
