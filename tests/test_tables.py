@@ -218,3 +218,22 @@ def test_tags_and_routes(spark):
                               "query_id string, raw string")
     got = {r["query_id"]: (r["category"], r["standalone_query"], r["router_source"]) for r in RT.apply_route_decisions(q, d).collect()}
     assert got == {"a": ("tech_manual", "x api", "heuristic"), "b": ("general", "s", "llm"), "c": ("general", "z", "heuristic")}
+
+
+def test_export_takes_fields_from_the_payload(spark):
+    payload = {"file": "g.md", "page": 3, "coords": [1.0, 2.0], "heading_path": "From > Payload", "block_type": "table",
+               "display_content": "shown", "embedding_text": "embedded", "metadata": {"title": "t"}}
+    rows = [("a", "x", "", "", json.dumps(payload)), ("b", "y", "Own", "g.md", json.dumps(payload)), ("c", "z", "", "g.md", "broken"),
+            ("d", "w", "", "other.md", json.dumps(payload))]
+    raw = spark.createDataFrame([(i, c, "markdown", i, h, f, "general", False, "t0", 1, n, p)
+                                 for n, (i, c, h, f, p) in enumerate(rows)], STORE + ", pdf_payload string")
+    decoded = J.read_chunk_store(raw.withColumn("video_payload", F.lit(None).cast("string"))).drop("video_payload", "document")
+    for store in (raw, decoded):
+        lines = [r["line"] for r in J.export_store_to_json(store, "dir/g.md", "now").orderBy("pos").collect()]
+        got = {c["chunk_id"]: c for c in json.loads("\n".join(lines))["chunks"]}
+        assert sorted(got) == ["a", "b", "c"]
+        assert [got[i]["heading_path"] for i in "abc"] == ["From > Payload", "Own", ""]
+        a, c = got["a"], got["c"]
+        assert (a["page"], a["coords"], a["block_type"], a["display_content"], a["embedding_text"], a["metadata"]["title"]) == (
+            3, [1.0, 2.0], "table", "shown", "embedded", "t")
+        assert (c["page"], c["coords"], c["block_type"], c["display_content"], c["embedding_text"]) == (0, [], "text", "z", "z")
