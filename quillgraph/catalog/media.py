@@ -30,6 +30,12 @@ def _hits(s, d):
                     (F.col("seq") % 100000 + 1).alias("rank"))
 
 
+def _all_hits(s, d):
+    """All lines of every document as its hits."""
+    return X.chunks_t(s, d).select(F.col("doc_id").alias("query_id"), "id", "anchor_id", "source_type", "content",
+                                   (F.col("seq") % 100000 + 1).alias("rank"))
+
+
 def _pairs(s, d):
     """Labels as wanted bindings of clips and chunks."""
     return X.table(s, d, "labels").select(
@@ -50,6 +56,8 @@ QUERIES = {
         "id", "status", "anchor_source", "anchor_preview"),
     "augment_with_clips": lambda s, d: M.augment_with_clips(_hits(s, d), X.bindings_t(s, d), X.clips_t(s, d)).select(
         "query_id", "rank", "id", "anchor_id", "source_type", "content", "video_file"),
+    "augment_with_clips_all": lambda s, d: M.augment_with_clips(_all_hits(s, d), X.bindings_t(s, d), X.clips_t(s, d)).select(
+        "query_id", "rank", "id", "anchor_id", "source_type", "content", "video_file"),
     "transcript_at": lambda s, d: M.transcript_at(_points(s, d), X.segments_t(s, d), 21600.0).select(
         "point_id", "video_file", "start_sec", "text"),
     "bind": lambda s, d: M.bind(X.bindings_t(s, d), _pairs(s, d)).select("id", "video_clip_id", "pdf_anchor_id"),
@@ -138,3 +146,5 @@ ORACLE = {
         + ", ".join(f"c.{m}, {_r3(f'c.{m} - p.{m}')} AS delta_{m}" for m in _MEASURES)
         + ", CASE WHEN p.parser IS NULL THEN 'new' ELSE 'compared' END AS status FROM cur c LEFT JOIN prev p ON p.parser = c.parser",
 }
+
+ORACLE["augment_with_clips_all"] = ORACLE["augment_with_clips"].replace("FROM chunks_t WHERE heading_path <> ''),", "FROM chunks_t),")

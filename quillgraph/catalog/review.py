@@ -56,10 +56,10 @@ def _suggestions(s, d):
         F.lit("r").alias("reason"))
 
 
-def _qa_log(s, d):
+def _qa_log(s, d, whole=False):
     """The QA log with some rows reviewed."""
     n = F.length("query")
-    return _qa_rows(s, d).withColumn("human_review", F.struct(
+    return _qa_rows(s, d, whole).withColumn("human_review", F.struct(
         F.lit("").alias("expected_answer"), F.when(n % 2 == 0, "correct").otherwise("unreviewed").alias("verdict"),
         F.lit(None).cast("double").alias("accuracy_score"), F.lit(None).cast("double").alias("retrieval_score"),
         F.lit("n").alias("notes"), F.lit("").alias("chunking_action"))).withColumn(
@@ -145,6 +145,11 @@ QUERIES = {
         "question", "answer", "verdict", F.array_join("retrieved_chunks", "¦").alias("chunks")),
     "filter_reviewed": lambda s, d: _qa_log(s, d).transform(_reviewed).select("query"),
     "qa_review_text": lambda s, d: P.render_qa_review(_qa_rows(s, d)).select(F.expr("substr(markdown, instr(markdown, '### Question'))").alias("text")),
+    "qa_samples_all": lambda s, d: O.recent_reviewed(_qa_log(s, d, True)).select(
+        "question", "answer", "verdict", F.array_join("retrieved_chunks", "¦").alias("chunks")),
+    "filter_reviewed_all": lambda s, d: _qa_log(s, d, True).transform(_reviewed).select(
+        "query", F.size("retrieved_context").alias("n"), F.array_join(F.transform("retrieved_context", lambda h: h["document"]), "¦").alias("hits")),
+    "qa_review_text_all": lambda s, d: P.render_qa_review(_qa_rows(s, d, True)).select(F.col("markdown").alias("text")),
     "trace_rows": lambda s, d: _trace(s, d),
     "graph_files": lambda s, d: _graph_files(s, d)[0],
     "benchmark_csv": lambda s, d: _csv_files(s, d).select(
@@ -254,6 +259,9 @@ ORACLE = {
           || chr(10) || '- anchor_id: ' || id || chr(10) || '- source_type: markdown' || chr(10) || '- distance: None' || chr(10) || chr(10) || '```text' || chr(10) || doc
           || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY rank) FROM hd WHERE hd.doc_id = log.conv_id), '')
         || '### Human Review' || chr(10) || chr(10) || '- Expected answer: ' || chr(10) || '- Notes: ' || chr(10) AS text FROM log""",
+    "qa_samples_all": None,
+    "filter_reviewed_all": None,
+    "qa_review_text_all": None,
     "graph_files": None,
     "benchmark_csv": "WITH " + X.RUNS_SQL + "SELECT run_id AS run_index, parser, seconds, is_warmup FROM runs_t",
     "ingest_store": None,
@@ -273,6 +281,18 @@ def _fill() -> None:
         FROM queries_t q LEFT JOIN prompts p USING (query_id) LEFT JOIN ans a USING (query_id)
         LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(substr(content, 1, 240), '¦' ORDER BY rank) AS contents FROM found
           WHERE rank <= 5 GROUP BY 1) h USING (query_id)""")
+    # all lines are hits, of 1200 characters at most
+    whole = lambda sql: sql.replace("content) > 160", "content) > 1200").replace("content, 1, 160)", "content, 1, 1200)").replace(
+        "AS doc FROM chunks_t WHERE heading_path <> '')", "AS doc FROM chunks_t)")
+    ORACLE["qa_samples_all"] = whole(ORACLE["qa_samples"])
+    ORACLE["filter_reviewed_all"] = "WITH " + whole(_QA) + """, ha AS (
+        SELECT doc_id, count(*) AS n, string_agg(doc, '¦' ORDER BY rank) AS hits FROM hd GROUP BY doc_id)
+        SELECT query, coalesce(n, 0) AS n, coalesce(hits, '') AS hits FROM log LEFT JOIN ha ON doc_id = conv_id WHERE verdict <> 'unreviewed'"""
+    # ahead of the question: the entry's id and time, mode and blank marks
+    ident = "sha256(conv_id || '-' || turn || '|2024-01-01T00:00:00')"
+    ORACLE["qa_review_text_all"] = whole(ORACLE["qa_review_text"]).replace("SELECT '### Question'", f"""SELECT chr(10) || '## QA 2024-01-01T00:00:00  `' || {ident}
+        || '`' || chr(10) || chr(10) || '- Mode: ' || mode || chr(10) || '- Verdict: unreviewed' || chr(10) || '- Accuracy score: ' || chr(10)
+        || '- Retrieval score: ' || chr(10) || '- Chunking action: ' || chr(10) || chr(10) || '### Question'""", 1)
     ORACLE["graph_files"] = "WITH " + GC.LAST + "SELECT * FROM g"
     base = CC.ORACLE["chunk_documents_md"]
     name = "regexp_extract(source_file, '([^/]*)$', 1)"

@@ -69,19 +69,21 @@ def _stream_condense(s, d):
     return _run_to_end(s, SC.conversation_state(stream))
 
 
-def _qa_rows(s, d):
+def _qa_rows(s, d, whole=False):
+    """Log rows; ``whole`` takes every line of a document as a hit, up to the operator's own length."""
     t = X.turns_t(s, d).select(
         F.concat_ws("-", "conv_id", "turn").alias("query_id"), "query", "answer", F.when(
             F.col("answer") == "", "no_results").otherwise("llm").alias("mode"), "conv_id")
-    first = X.chunks_t(s, d).filter(F.col("heading_path") != "").select(
+    lines = X.chunks_t(s, d)
+    first = (lines if whole else lines.filter(F.col("heading_path") != "")).select(
         "doc_id", "id", "anchor_id", "source_type", "content", (F.col("seq") % 100000 + 1).alias("rank"))
     hits = first.join(t.select("query_id", "conv_id"), first.doc_id == F.col("conv_id")).drop("doc_id", "conv_id")
-    return P.qa_log_rows(t.drop("conv_id"), hits, F.lit("2024-01-01T00:00:00"), 160)
+    return P.qa_log_rows(t.drop("conv_id"), hits, F.lit("2024-01-01T00:00:00"), *([] if whole else [160]))
 
 
-def _stream_qa_log(s, d):
+def _stream_qa_log(s, d, whole=False):
     src, out = scratch_path(s, "qa"), scratch_path(s, "log")
-    rows = _qa_rows(s, d)
+    rows = _qa_rows(s, d, whole)
     rows.write.parquet(src)
     SI.qa_log_stream(s.readStream.schema(rows.schema).parquet(src), out, scratch_path(s, "ck")).awaitTermination()
     return FS.read_qa_log(s, out)
@@ -96,7 +98,14 @@ def _stream_ingest(s, d):
     return SI.snapshot(s, root)
 
 
+def _log_columns(log):
+    return log.select(
+        "mode", "query", "answer", F.col("human_review.verdict").alias("verdict"), F.array_join(F.transform(
+            "retrieved_context", lambda h: F.concat(h["rank"].cast("string"), F.lit(":"), h["document"])), "¦").alias("hits"))
+
+
 QUERIES = {
+    "stream_qa_log_all": lambda s, d: _log_columns(_stream_qa_log(s, d, True)),
     "stream_asr": lambda s, d: _stream_asr(s, d),
     "stream_dedup": lambda s, d: _stream_dedup(s, d),
     "stream_progress": lambda s, d: _stream_progress(s, d).withColumn("progress", F.round("progress", 6)),
@@ -110,6 +119,12 @@ QUERIES = {
 }
 
 ORACLE = {
+    "stream_qa_log_all": "WITH " + X.TURNS_SQL + "," + X.CHUNKS_SQL + f""",
+        h AS (SELECT doc_id, string_agg((seq % 100000 + 1) || ':' || CASE WHEN length(content) > 1200
+            THEN regexp_replace(substr(content, 1, 1200), '[{X.SQL_WS}]+$', '') || '...' ELSE content END, '¦' ORDER BY seq) AS hits
+          FROM chunks_t GROUP BY 1)
+        SELECT CASE WHEN answer = '' THEN 'no_results' ELSE 'llm' END AS mode, query, answer, 'unreviewed' AS verdict, coalesce(hits, '') AS hits
+        FROM turns_t LEFT JOIN h ON h.doc_id = conv_id""",
     "stream_asr": "WITH " + X.SEGMENTS_SQL + """SELECT video_file, start_sec, end_sec, text, 0.5 AS confidence FROM segments_t
         UNION ALL SELECT video_file, start_sec, end_sec, text, 0.5 FROM segments_t WHERE is_clip""".replace("0.5", "0.5::DOUBLE"),
     "stream_dedup": "WITH " + X.SEGMENTS_SQL + "SELECT DISTINCT video_file, start_sec, end_sec, text, 0.5::DOUBLE AS confidence FROM segments_t",

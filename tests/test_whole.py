@@ -43,3 +43,10 @@ def test_rebuild_has_edges_of_all_documents(spark):
     edges = G.build_graph(X.chunks_t(spark, SF), X.bindings_t(spark, SF))[1]
     want = {r["relation"]: r["count"] for r in edges.groupBy("relation").count().collect()}
     assert {r["relation"]: r["n"] for r in entry.queries()["rebuild_edges"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["stream_qa_log_all", "qa_review_text_all", "qa_samples_all", "filter_reviewed_all", "augment_with_clips_all"])
+def test_every_line_is_a_hit(spark, db, name):
+    assert matches(spark, db, name) > 0
+    sql = entry.oracle_sql()[name]
+    assert "WHERE heading_path <> ''" not in sql and "160)" not in sql and "> 160" not in sql
