@@ -60,8 +60,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.ranked_search import ranked_search
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillgraph.llm.hash_ring import shard_documents
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op4_warc_bundles, op5_line_dedup, op6_minhash_components, op7_url_filter, op8_quality, op9_license_scan, op10_token_counts)}
+    op1_pareto_mix, op2_byte_bpe, op3_exact_dedup, op4_warc_bundles, op5_line_dedup, op6_minhash_components, op7_url_filter, op8_quality,
+    op9_license_scan, op10_token_counts, op11_ranked_search, op12_collocations, op13_hash_ring)}
 
 
 def _template_values() -> str:
@@ -73,6 +89,81 @@ _ANCHOR = ("licen[sc]e|copyright|all rights reserved|spdx|creative commons|publi
            "redistribution and use|cc[- ]by")
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _hash52(text: str, first: int) -> str:
+    return f"('0x' || substr(md5({text}), {first}, 13))::BIGINT"
+
+
+def _xor_bits(value: str, images: str, n: int) -> str:
+    """The exclusive or of images[j + 1] over the bits j of a value."""
+    out = "0::BIGINT"
+    for j in range(n):
+        out = f"xor({out}, (({value} >> {j}) & 1) * {images}[{j + 1}])"
+    return out
+
+
+def _ring_sql(shards: int = 8, rounds: int = 80) -> str:
+    """The ring by window functions, its closing turns by unrolled rounds (more than needed change nothing), CRC-32 by linearity.
+
+    ``adv`` moves a CRC state on by one zero byte; ``short`` holds its powers 0 to 255 on eight byte bits and on the start
+    value, ``long`` the powers 256 a on all 32 bits, so a text's CRC is a sum over blocks of 256 bytes, counted from its end.
+    """
+    from quillgraph.llm.hash_ring import POINTS, SLACK, TURNS
+    adv = "xor(x >> 8, tab[(x & 255) + 1])"
+    last = "t0 AS (SELECT [" + ", ".join([str(TURNS)] * shards) + "] AS t)"
+    for k in range(1, rounds + 1):
+        last += f""",
+s{k} AS (SELECT list_filter(walk, lambda x: turn < t[x + 1])[1] AS shard, turn, sum(mass) AS mass FROM loads, t{k - 1} GROUP BY ALL),
+t{k} AS MATERIALIZED (
+  SELECT list(least(t[i + 1], coalesce(e, {TURNS})) ORDER BY i) AS t FROM range({shards}) n(i) CROSS JOIN t{k - 1} LEFT JOIN (
+    SELECT shard, min(turn) + 1 AS e FROM (SELECT shard, turn, sum(mass) OVER (PARTITION BY shard ORDER BY turn) AS upto FROM s{k})
+    WHERE upto::DOUBLE >= (SELECT {1 + SLACK}::DOUBLE * sum(mass)::DOUBLE / {shards} FROM loads) GROUP BY shard) ON shard = i)"""
+    return f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n,
+         coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS key FROM documents),
+tables AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY i) AS tab FROM range(256) r(i)),
+short AS (
+  SELECT 0 AS b, list_append(list_transform(range(8), lambda j: tab[(1 << j) + 1]), 4294967295) AS v, tab FROM tables
+  UNION ALL SELECT b + 1, list_transform(v, lambda x: {adv}), tab FROM short WHERE b < 256),
+basis AS (
+  SELECT 0 AS b, list_transform(range(32), lambda j: 1::BIGINT << j) AS m, tab FROM tables
+  UNION ALL SELECT b + 1, list_transform(m, lambda x: {adv}), tab FROM basis WHERE b < 256),
+step AS (SELECT m FROM basis WHERE b = 256),
+long AS (
+  SELECT 0 AS a, list_transform(range(32), lambda j: 1::BIGINT << j) AS l, (SELECT max(n) // 256 FROM docs) AS most
+  UNION ALL SELECT a + 1, list_transform(l, lambda x: {_xor_bits('x', 'm', 32)}), most FROM long, step WHERE a < most),
+bytes AS (
+  SELECT row, n, unnest(regexp_extract_all(hex(encode(text)), '..')) AS hex, unnest(range(n)) AS i FROM docs),
+powers AS (
+  SELECT row, n, ('0x' || hex)::BIGINT AS byte, (n - 1 - i) // 256 AS a, (n - 1 - i) % 256 AS b FROM bytes),
+blocks AS (SELECT row, a, bit_xor({_xor_bits('byte', 'v', 8)}) AS x FROM powers JOIN short USING (b) GROUP BY row, a
+           UNION ALL SELECT row, n // 256, v[9] FROM docs JOIN short ON b = n % 256),
+crcs AS (SELECT row, xor(bit_xor({_xor_bits('x', 'l', 32)}), 4294967295) AS crc FROM blocks JOIN long USING (a) GROUP BY row),
+places AS (
+  SELECT s AS shard, {_hash52("'shard:' || s || ':' || v", 1)} AS point FROM range({shards}) a(s), range({POINTS}) b(v)),
+arcs AS (SELECT row_number() OVER (ORDER BY point, shard) - 1 AS place, point, shard FROM places),
+ahead AS (
+  SELECT x.place, y.shard, min((y.place - x.place + {shards * POINTS}) % {shards * POINTS}) AS far
+  FROM arcs x CROSS JOIN arcs y GROUP BY x.place, y.shard),
+walks AS (SELECT place, list(shard ORDER BY far) AS walk FROM ahead GROUP BY place),
+keyed AS (
+  SELECT *, {_hash52('key', 1)} AS point, floor({_hash52('key', 14)} / ({float((1 << 52) // TURNS)}::DOUBLE))::INT AS turn FROM docs),
+placed AS (
+  SELECT keyed.*, coalesce(p.place, 0) AS place FROM keyed ASOF LEFT JOIN (SELECT point, min(place) AS place FROM arcs GROUP BY point) p
+  ON keyed.point <= p.point),
+loads AS MATERIALIZED (SELECT walk, turn, sum(n + 1) AS mass FROM placed JOIN walks USING (place) GROUP BY place, walk, turn),
+{last},
+done AS (
+  SELECT placed.*, walk[1]::INT AS home, list_filter(walk, lambda x: turn < t[x + 1])[1]::INT AS shard
+  FROM placed JOIN walks USING (place) CROSS JOIN t{rounds})
+SELECT doc_id, (n + 1)::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard, home, NULL::INT AS grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY point, doc_id, n, crc) - 1 AS slot
+FROM done JOIN crcs USING (row)"""
+
+
 ORACLE = {
     "op1_pareto_mix": r"""
 WITH sized AS (
@@ -220,4 +311,48 @@ SELECT docs.doc_id, docs.path, coalesce(own.license, near[3]) AS license, coales
        CASE WHEN own.license IS NULL THEN near[2] END AS license_dir
 FROM docs LEFT JOIN own ON docs.doc_id = own.doc_id AND docs.path = own.path
 LEFT JOIN climb ON climb.dir = regexp_extract(docs.path, '^(.*)/[^/]*$', 1)""",
+    "op11_ranked_search": rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_NORM}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+items AS (
+  SELECT item_id, unnest(regexp_extract_all({_NORM}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM items GROUP BY ALL),
+sizes AS (SELECT count(*) AS all_docs, sum(len(terms))::BIGINT AS all_terms FROM docs WHERE len(terms) > 0),
+found AS (
+  SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM found, sizes GROUP BY term, all_docs),
+parts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * all_docs) // all_terms))) AS part
+  FROM found JOIN weights USING (term), sizes),
+scores AS (SELECT item_id, doc_id, sum(times * part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores
+WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
+    "op12_collocations": rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(norm, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, {_NORM} AS norm FROM documents)),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM pieces CROSS JOIN range(1, 5) s(k) WHERE len(w) >= k)
+  GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cut AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, j, l.f AS l, r.f AS r, (2000000::HUGEINT * c.f) // (l.f + r.f) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM counts WHERE k > 1) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_phrases AS (
+  SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(f) AS cover
+  FROM (SELECT lang, k, f, string_split(phrase, ' ') AS w FROM counts WHERE k > 2), range(2, 4) a(n), range(1, 4) b(i)
+  WHERE n < k AND i + n - 1 <= k GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN inner_phrases o ON o.lang = best.lang AND o.phrase = best.phrase
+  WHERE cover IS NULL OR 100 * cover < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN sizes USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
+    "op13_hash_ring": _ring_sql(),
 }
