@@ -4,10 +4,10 @@
 the end of the piece.  Only these longest windows are counted, and Spark's ``ROLLUP(w1, w2, w3, w4)`` sums them over successively
 shorter prefixes: each occurrence of a phrase is the prefix of exactly one window.  There is no explosion per phrase length.
 
-*Padding early.*  No phrase of at least ``least`` occurrences holds a pair of words with fewer.  A first reading counts pairs in hashed
-buckets; a bucket below ``least`` holds only such rare pairs, and a window is padded from a rare pair on.  That changes no count that
-is asked for, since a bucket's sum is never below a pair's own count, and leaves far fewer different windows.  The filter is a bitmap of
-fixed size (``2 ** bits`` bits); the fuller it is, the less it saves.
+*Padding early.*  All parts of a phrase with at least ``least`` occurrences have as many.  A first reading counts words and pairs in
+hashed buckets, a second one the triples and quadruples whose pairs may be frequent.  A bucket below ``least`` holds rare ones only,
+so a window is padded from there on.  That changes no count that is asked for, since a bucket's sum is never below one of its own counts,
+and leaves few different windows.  A filter is a bitmap of fixed size (``2 ** bits`` bits); the fuller it is, the less it saves.
 
 *Scoring.*  A phrase counted ``a`` times is cut after each of its words into parts counted ``l`` and ``r`` times; its
 score is the least ``floor(2000000 a / (l + r))`` of its cuts.  Phrases that mostly occur inside a longer one are dropped.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,10 @@ from quillgraph.llm.bytewords import _power_tables
 from quillgraph.llm.common import STEP, mix64, to_arrow, write_table
 from quillgraph.operators.ordering import join_hot
 
-#: log2 of the bits of the filter: 8 MiB.
+#: log2 of the bits of a filter: 8 MiB each.
 FILTER_BITS = 26
-#: Bytes of text that are windows at the same time, and different windows or buckets that a task holds before it hands them on.
-PIECE, HELD = 1 << 20, 1 << 19
+#: Bytes of text that are words at the same time, and different windows and numbers of buckets that a task holds before it hands them on.
+PIECE, WINDOWS_HELD, BUCKETS_HELD = 1 << 20, 1 << 17, 1 << 20
 
 #: A-Z lower-cased, ends of pieces as a line feed, tabs as a space, all else as it is.
 _PIECES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -55,23 +55,65 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[bytes, int]]:
         at = end
 
 
+def _shifted(flags: np.ndarray, n: int) -> np.ndarray:
+    """The flags of the n-th word from each one on, false beyond the end."""
+    return np.concatenate((flags[n:], np.zeros(min(n, len(flags)), bool)))
+
+
 class _Words:
-    """Words of a block: byte ranges, whether the next word is in the same piece, and the bucket of the pair they form."""
+    """Words of a block: byte ranges, whether a run of k words from each one on is in one piece, and the bucket of that run."""
 
     def __init__(self, raw: bytes, own: int, lang: str, bits: int):
         data = np.frombuffer(raw, np.uint8)
         inside = (data != 32) & (data != 10)
         edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
         self.starts, self.ends = edges[0::2], edges[1::2]
-        self.own = int(np.searchsorted(self.starts, own))
+        self.own, self.bits = int(np.searchsorted(self.starts, own)), bits
         piece = np.cumsum(data == 10)[self.starts]
         self.followed = np.concatenate((piece[1:] == piece[:-1], [False]))[:len(self.starts)]
         power, unpower = _power_tables(len(data) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * power[:-1], dtype=np.uint64)))
-        word = mix64((sums[self.ends] - sums[self.starts]) * unpower[self.starts] + (self.ends - self.starts).astype(np.uint64))
-        seed = np.uint64(int.from_bytes(lang.encode()[:8].ljust(8, b"\0"), "little"))
-        pair = mix64(word * np.uint64(0xC2B2AE3D27D4EB4F) + np.concatenate((word[1:], word[:1])) + mix64(seed[None])[0])
-        self.bucket = (pair >> np.uint64(64 - bits)).astype(np.int64)
+        self.word = mix64((sums[self.ends] - sums[self.starts]) * unpower[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        seed = np.frombuffer(lang.encode()[:8].ljust(8, b"\0"), np.uint64)
+        self.run = mix64(self.word + mix64(seed))
+
+    def buckets(self, most: int) -> Iterator[np.ndarray]:
+        """Buckets of the runs of 1, 2, .. ``most`` words; those over the end of a piece mean nothing."""
+        run = self.run
+        for k in range(1, most + 1):
+            if k > 1:
+                run = mix64(run * np.uint64(0xC2B2AE3D27D4EB4F) + np.concatenate((self.word[k - 1:], self.word[:k - 1]))[:len(run)])
+            yield (run >> np.uint64(64 - self.bits)).astype(np.int64)
+
+
+def _bit(bitmap: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return ((bitmap[bucket >> 3] >> (bucket & 7)) & 1).astype(bool)
+
+
+def _short_runs(words: _Words) -> np.ndarray:
+    """Buckets of the words and pairs of a block."""
+    one, two = words.buckets(2)
+    return np.concatenate((one[:words.own], two[:words.own][words.followed[:words.own]]))
+
+
+def _frequent(words: _Words, first: np.ndarray, second: np.ndarray | None = None) -> list[np.ndarray]:
+    """Per run length 1 to 4: whether the run may be frequent; triples and quadruples by their pairs only, if there is no second filter."""
+    one, two, three, four = words.buckets(4)
+    pair = words.followed & _bit(first, two)
+    triple = pair & _shifted(pair, 1)
+    if second is not None:
+        triple &= _bit(second, three)
+    quadruple = triple & _shifted(triple, 1)
+    if second is not None:
+        quadruple &= _bit(second, four)
+    return [_bit(first, one), pair, triple, quadruple]
+
+
+def _long_runs(words: _Words, first: np.ndarray) -> np.ndarray:
+    """Buckets of the triples and quadruples of a block whose pairs may all be frequent."""
+    _, _, triple, quadruple = _frequent(words, first)
+    _, _, three, four = words.buckets(4)
+    return np.concatenate((three[:words.own][triple[:words.own]], four[:words.own][quadruple[:words.own]]))
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str | None]]]:
@@ -84,8 +126,8 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str | None]]]:
         yield from groups.items()
 
 
-def _pair_filter(rows: DataFrame, least: int, bits: int) -> bytes:
-    """A bitmap of the buckets of word pairs with at least ``least`` occurrences: bit b is bit b % 8 of byte b // 8."""
+def _bucket_filter(rows: DataFrame, least: int, bits: int, buckets_of: Callable[[_Words], np.ndarray]) -> bytes:
+    """A bitmap of the buckets with at least ``least`` runs: bit b is bit b % 8 of byte b // 8."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -98,10 +140,9 @@ def _pair_filter(rows: DataFrame, least: int, bits: int) -> bytes:
         for batch in batches:
             for lang, texts in _by_lang(batch):
                 for raw, own in _blocks(texts):
-                    words = _Words(raw, own, lang, bits)
-                    held.append(words.bucket[:words.own][words.followed[:words.own]])
+                    held.append(buckets_of(_Words(raw, own, lang, bits)))
                     size += len(held[-1])
-                    if size >= 4 * HELD:
+                    if size >= BUCKETS_HELD:
                         yield hand_on()
                         size = 0
         if size:
@@ -112,7 +153,7 @@ def _pair_filter(rows: DataFrame, least: int, bits: int) -> bytes:
     maps = full.select((F.col("bucket") + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
     width = 32768 // 8
-    whole = bytearray(max(1, (1 << bits) // 8))
+    whole = bytearray((1 << bits) // 8)
     for r in maps:
         at = (r["part"] - 1) * width
         whole[at:at + width] = bytes(r["bits"])[:len(whole) - at]
@@ -122,7 +163,9 @@ def _pair_filter(rows: DataFrame, least: int, bits: int) -> bytes:
 def windows(rows: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
     """(lang, w1, w2, w3, w4, n): windows of ``rows`` (lang, text) with their count per task, padded with nulls."""
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(_pair_filter(rows, least, bits))
+    short = spark.sparkContext.broadcast(_bucket_filter(rows, least, bits, _short_runs))
+    long = spark.sparkContext.broadcast(_bucket_filter(
+        rows, least, bits, lambda words: _long_runs(words, np.frombuffer(short.value, np.uint8))))
     out = spark.createDataFrame([], "lang string, w1 string, w2 string, w3 string, w4 string, n long").schema
     arrow = to_arrow(out)
 
@@ -130,8 +173,7 @@ def windows(rows: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
         # words of a window are canonical once it is split: several spaces between them say nothing
         columns: list[list[bytes | None]] = [[], [], [], []]
         for window in counts:
-            words = window.split(b" ")
-            words = [w for w in words if w] if b"" in words else words
+            words = [w for w in window.split(b" ") if w]
             for i, column in enumerate(columns):
                 column.append(words[i] if i < len(words) else None)
         arrays = [pa.array(c, pa.binary()).cast(pa.string()) for c in columns]
@@ -139,24 +181,26 @@ def windows(rows: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), *arrays, pa.array(n)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(sent.value, np.uint8)
+        first, second = np.frombuffer(short.value, np.uint8), np.frombuffer(long.value, np.uint8)
         held: dict[str, Counter] = {}
         for batch in batches:
             for lang, texts in _by_lang(batch):
                 counts = held.setdefault(lang, Counter())
                 for raw, own in _blocks(texts):
                     words = _Words(raw, own, lang, bits)
-                    if not words.own:
-                        continue
-                    often = words.followed & ((bitmap[words.bucket >> 3] >> (words.bucket & 7)) & 1).astype(bool)
-                    more = np.concatenate((often, [False, False])).astype(np.int64)
-                    last = np.arange(words.own) + (more[:-2] * (1 + more[1:-1] * (1 + more[2:])))[:words.own]
-                    counts.update([raw[s:e] for s, e in zip(words.starts[:words.own].tolist(), words.ends[last].tolist())])
-                if len(counts) >= HELD:
-                    yield hand_on(lang, held.pop(lang))
-            if sum(map(len, held.values())) >= 2 * HELD:
-                for lang in list(held):
-                    yield hand_on(lang, held.pop(lang))
+                    often = _frequent(words, first, second)
+                    # words of each window: 0 for a rare word, which only counts as one of the language's
+                    length = np.zeros(len(words.starts), np.int64)
+                    for flags in reversed(often):
+                        length = np.where(flags, length + 1, 0)
+                    length = length[:words.own]
+                    at = np.flatnonzero(length)
+                    counts[b""] += words.own - len(at)
+                    last = words.ends[at + length[at] - 1]
+                    counts.update([raw[s:e] for s, e in zip(words.starts[at].tolist(), last.tolist())])
+                if sum(map(len, held.values())) >= WINDOWS_HELD:
+                    for full in list(held):
+                        yield hand_on(full, held.pop(full))
         for lang, counts in held.items():
             yield hand_on(lang, counts)
 
@@ -164,14 +208,18 @@ def windows(rows: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, bits: int = FILTER_BITS) -> DataFrame:
-    """(lang, words, phrase, f) of all phrases of 1 to 4 words with f >= least; words = 0 has the number of words of the language."""
+    """(lang, words, phrase, f) of all phrases of 1 to 4 words with f >= least; words = 0 has the number of words of the language.
+
+    Windows are counted first, so the rollup copies different windows only.
+    """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    counted = windows(rows, least, bits).groupBy("lang", "w1", "w2", "w3", "w4").agg(F.sum("n").alias("n"))
     return docs.sparkSession.sql("""
         SELECT lang, words, concat_ws(' ', w1, w2, w3, w4) AS phrase, f FROM (
           SELECT lang, w1, w2, w3, w4, 4 - bit_count(grouping_id()) AS words, sum(n) AS f
           FROM {windows} GROUP BY lang, ROLLUP (w1, w2, w3, w4))
         WHERE words = 0 OR f >= {least} AND element_at(array(w1, w2, w3, w4), words) IS NOT NULL""",
-                                 windows=windows(rows, least, bits), least=least)
+                                 windows=counted, least=least)
 
 
 def _scored(counts: DataFrame) -> DataFrame:
