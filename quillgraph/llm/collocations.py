@@ -16,6 +16,7 @@ score is the least ``floor(2000000 a / (l + r))`` of its cuts.  Phrases that mos
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,8 @@ from quillgraph.operators.ordering import join_hot
 FILTER_BITS = 26
 #: Bytes of text that are words at the same time, and different windows and numbers of buckets that a task holds before it hands them on.
 PIECE, WINDOWS_HELD, BUCKETS_HELD = 1 << 20, 1 << 17, 1 << 20
+#: Words and pairs of the corpus per part in which windows are summed.
+PART_RUNS = 1_000_000
 
 #: A-Z lower-cased, ends of pieces as a line feed, tabs as a space, all else as it is.
 _PIECES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -126,8 +129,8 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str | None]]]:
         yield from groups.items()
 
 
-def _bucket_filter(rows: DataFrame, least: int, bits: int, buckets_of: Callable[[_Words], np.ndarray]) -> bytes:
-    """A bitmap of the buckets with at least ``least`` runs: bit b is bit b % 8 of byte b // 8."""
+def _bucket_filter(rows: DataFrame, least: int, bits: int, buckets_of: Callable[[_Words], np.ndarray]) -> tuple[bytes, int]:
+    """A bitmap of the buckets with at least ``least`` runs (bit b is bit b % 8 of byte b // 8), and the number of runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -135,7 +138,8 @@ def _bucket_filter(rows: DataFrame, least: int, bits: int, buckets_of: Callable[
         def hand_on():
             bucket, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+            # bucket -1 counts all runs
+            return pa.RecordBatch.from_arrays([pa.array(np.append(bucket, -1)), pa.array(np.append(n, n.sum()))], ["bucket", "n"])
 
         for batch in batches:
             for lang, texts in _by_lang(batch):
@@ -148,37 +152,53 @@ def _bucket_filter(rows: DataFrame, least: int, bits: int, buckets_of: Callable[
         if size:
             yield hand_on()
 
-    full = rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    full = rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(
+        (F.col("n") >= least) | (F.col("bucket") < 0))
     # Spark's bitmaps hold 32768 bits, numbered from 1
-    maps = full.select((F.col("bucket") + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
+    maps = full.select((F.col("bucket") + 1).alias("b"), "n").groupBy(F.when(F.col("b") > 0, F.bitmap_bucket_number("b")).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.greatest("b", F.lit(1)))).alias("bits"), F.sum("n").alias("n")).collect()
     width = 32768 // 8
-    whole = bytearray((1 << bits) // 8)
+    whole, runs = bytearray((1 << bits) // 8), 0
     for r in maps:
-        at = (r["part"] - 1) * width
-        whole[at:at + width] = bytes(r["bits"])[:len(whole) - at]
-    return bytes(whole)
+        if r["part"] is None:
+            runs = r["n"]
+        else:
+            at = (r["part"] - 1) * width
+            whole[at:at + width] = bytes(r["bits"])[:len(whole) - at]
+    return bytes(whole), runs
+
+
+def _packed(lang: str, counts: Counter, parts: int) -> Iterator[tuple[int, str, bytes, bytes]]:
+    """(part, lang, windows, counts): the windows of a part end to end and their counts, so that few rows travel."""
+    # several spaces between words say nothing
+    names = [b" ".join(w.split()) if b"  " in w else w for w in counts]
+    n = np.fromiter(counts.values(), np.int64, len(counts))
+    part = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % parts
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    for at in np.split(order, cuts):
+        yield int(part[at[0]]), lang, b"\n".join([names[i] for i in at]), n[at].tobytes()
 
 
 def windows(rows: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
-    """(lang, w1, w2, w3, w4, n): windows of ``rows`` (lang, text) with their count per task, padded with nulls."""
+    """(lang, w1, w2, w3, w4, n): the different windows of ``rows`` (lang, text) with their counts, padded with nulls.
+
+    Tasks hand on packed windows by the hash of the window, and the windows of a part are summed in one place; parts hold a
+    bounded share of all words, so their number grows with the corpus.
+    """
     spark = rows.sparkSession
-    short = spark.sparkContext.broadcast(_bucket_filter(rows, least, bits, _short_runs))
+    first_filter, n_runs = _bucket_filter(rows, least, bits, _short_runs)
+    short = spark.sparkContext.broadcast(first_filter)
     long = spark.sparkContext.broadcast(_bucket_filter(
-        rows, least, bits, lambda words: _long_runs(words, np.frombuffer(short.value, np.uint8))))
+        rows, least, bits, lambda words: _long_runs(words, np.frombuffer(short.value, np.uint8)))[0])
+    parts = n_runs // PART_RUNS + 64
+    packed = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("windows", pa.binary()), ("counts", pa.binary())])
     out = spark.createDataFrame([], "lang string, w1 string, w2 string, w3 string, w4 string, n long").schema
     arrow = to_arrow(out)
 
-    def hand_on(lang: str, counts: Counter) -> pa.RecordBatch:
-        # words of a window are canonical once it is split: several spaces between them say nothing
-        columns: list[list[bytes | None]] = [[], [], [], []]
-        for window in counts:
-            words = [w for w in window.split(b" ") if w]
-            for i, column in enumerate(columns):
-                column.append(words[i] if i < len(words) else None)
-        arrays = [pa.array(c, pa.binary()).cast(pa.string()) for c in columns]
-        n = np.fromiter(counts.values(), np.int64, len(counts))
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), *arrays, pa.array(n)], schema=arrow)
+    def batch_of(held: dict[str, Counter]) -> pa.RecordBatch:
+        columns = zip(*[row for lang, counts in held.items() for row in _packed(lang, counts, parts)])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, packed)], schema=packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = np.frombuffer(short.value, np.uint8), np.frombuffer(long.value, np.uint8)
@@ -199,27 +219,33 @@ def windows(rows: DataFrame, least: int, bits: int = FILTER_BITS) -> DataFrame:
                     last = words.ends[at + length[at] - 1]
                     counts.update([raw[s:e] for s, e in zip(words.starts[at].tolist(), last.tolist())])
                 if sum(map(len, held.values())) >= WINDOWS_HELD:
-                    for full in list(held):
-                        yield hand_on(full, held.pop(full))
-        for lang, counts in held.items():
-            yield hand_on(lang, counts)
+                    yield batch_of(held)
+                    held = {}
+        if any(held.values()):
+            yield batch_of({lang: counts for lang, counts in held.items() if counts})
 
-    return rows.mapInArrow(run, out)
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = {}
+        for names, counts in zip(table["windows"], table["counts"]):
+            for window, n in zip(names.as_py().split(b"\n"), np.frombuffer(counts.as_py(), np.int64).tolist()):
+                total[window] = total.get(window, 0) + n
+        split = [w.split(b" ") if w else [] for w in total]
+        words = [pa.array([w[i] if i < len(w) else None for w in split], pa.binary()).cast(pa.string()) for i in range(4)]
+        lang = pa.array([key[1].as_py()] * len(total), pa.string())
+        return pa.Table.from_arrays([lang, *words, pa.array(list(total.values()), pa.int64())], schema=arrow)
 
+    return rows.mapInArrow(run, "part long, lang string, windows binary, counts binary").groupBy("part", "lang").applyInArrow(merge, out)
 
-def phrase_counts(docs: DataFrame, least: int = 30, bits: int = FILTER_BITS) -> DataFrame:
-    """(lang, words, phrase, f) of all phrases of 1 to 4 words with f >= least; words = 0 has the number of words of the language.
 
-    Windows are counted first, so the rollup copies different windows only.
-    """
+def phrase_counts(docs: DataFrame, least: int = 30, bits: int = FILTER_BITS) -> DataFrame:
+    """(lang, words, phrase, f) of all phrases of 1 to 4 words with f >= least; words = 0 has the number of words of the language."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    counted = windows(rows, least, bits).groupBy("lang", "w1", "w2", "w3", "w4").agg(F.sum("n").alias("n"))
     return docs.sparkSession.sql("""
         SELECT lang, words, concat_ws(' ', w1, w2, w3, w4) AS phrase, f FROM (
           SELECT lang, w1, w2, w3, w4, 4 - bit_count(grouping_id()) AS words, sum(n) AS f
           FROM {windows} GROUP BY lang, ROLLUP (w1, w2, w3, w4))
         WHERE words = 0 OR f >= {least} AND element_at(array(w1, w2, w3, w4), words) IS NOT NULL""",
-                                 windows=counted, least=least)
+                                 windows=windows(rows, least, bits), least=least)
 
 
 def _scored(counts: DataFrame) -> DataFrame:
