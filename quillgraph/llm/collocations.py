@@ -31,7 +31,7 @@ from quillgraph.operators.ordering import join_hot
 #: log2 of the bits of a filter: 8 MiB each.
 FILTER_BITS = 26
 #: Bytes of text that are words at the same time, and different windows and numbers of buckets that a task holds before it hands them on.
-PIECE, WINDOWS_HELD, BUCKETS_HELD = 1 << 20, 1 << 17, 1 << 20
+PIECE, WINDOWS_HELD, BUCKETS_HELD = 1 << 20, 1 << 17, 1 << 21
 #: Words and pairs of the corpus per part in which windows are summed.
 PART_RUNS = 1_000_000
 
@@ -130,7 +130,13 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str | None]]]:
 
 
 def _bucket_filter(rows: DataFrame, least: int, bits: int, buckets_of: Callable[[_Words], np.ndarray]) -> tuple[bytes, int]:
-    """A bitmap of the buckets with at least ``least`` runs (bit b is bit b % 8 of byte b // 8), and the number of runs."""
+    """A bitmap of the buckets with at least ``least`` runs (bit b is bit b % 8 of byte b // 8), and the number of runs.
+
+    Buckets travel as ranges of 65536: two bytes of place and two of count each, the count cut at ``least``.
+    """
+    width = min(bits, 16)
+    count_type = np.uint16 if least < 1 << 16 else np.int64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -138,8 +144,13 @@ def _bucket_filter(rows: DataFrame, least: int, bits: int, buckets_of: Callable[
         def hand_on():
             bucket, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            # bucket -1 counts all runs
-            return pa.RecordBatch.from_arrays([pa.array(np.append(bucket, -1)), pa.array(np.append(n, n.sum()))], ["bucket", "n"])
+            cuts = np.flatnonzero(np.diff(bucket >> width)) + 1
+            split = list(zip(np.split(bucket, cuts), np.split(n, cuts)))
+            return pa.RecordBatch.from_arrays([
+                pa.array([int(b[0]) >> width for b, _ in split], pa.int64()), pa.array([int(c.sum()) for _, c in split], pa.int64()),
+                pa.array([(b & ((1 << width) - 1)).astype(np.uint16).tobytes() for b, _ in split], pa.binary()),
+                pa.array([np.minimum(c, least).astype(count_type).tobytes() for _, c in split], pa.binary())],
+                ["part", "runs", "places", "counts"])
 
         for batch in batches:
             for lang, texts in _by_lang(batch):
@@ -152,20 +163,21 @@ def _bucket_filter(rows: DataFrame, least: int, bits: int, buckets_of: Callable[
         if size:
             yield hand_on()
 
-    full = rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(
-        (F.col("n") >= least) | (F.col("bucket") < 0))
-    # Spark's bitmaps hold 32768 bits, numbered from 1
-    maps = full.select((F.col("bucket") + 1).alias("b"), "n").groupBy(F.when(F.col("b") > 0, F.bitmap_bucket_number("b")).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.greatest("b", F.lit(1)))).alias("bits"), F.sum("n").alias("n")).collect()
-    width = 32768 // 8
-    whole, runs = bytearray((1 << bits) // 8), 0
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << width, np.int64)
+        for places, counts in zip(table["places"], table["counts"]):
+            total[np.frombuffer(places.as_py(), np.uint16)] += np.frombuffer(counts.as_py(), count_type)
+        full = np.packbits(total >= least, bitorder="little").tobytes()
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([full], pa.binary()),
+                         "runs": pa.array([sum(table["runs"].to_pylist())], pa.int64())})
+
+    maps = rows.mapInArrow(run, "part long, runs long, places binary, counts binary").groupBy("part").applyInArrow(
+        merge, "part long, bits binary, runs long").collect()
+    whole = bytearray((1 << bits) // 8)
     for r in maps:
-        if r["part"] is None:
-            runs = r["n"]
-        else:
-            at = (r["part"] - 1) * width
-            whole[at:at + width] = bytes(r["bits"])[:len(whole) - at]
-    return bytes(whole), runs
+        at = (r["part"] << width) // 8
+        whole[at:at + (1 << width) // 8] = bytes(r["bits"])
+    return bytes(whole), sum(r["runs"] for r in maps)
 
 
 def _packed(lang: str, counts: Counter, parts: int) -> Iterator[tuple[int, str, bytes, bytes]]:
