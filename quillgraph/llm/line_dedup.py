@@ -11,17 +11,25 @@ well makes no difference.
 3. Two sets of that similarity share a word among the rarest ``n - ceil(similarity * n) + 1`` of each (prefix filter).  Classes meet
    on those words.  Their sizes must be near enough (length filter), and from the places of the common word in both orders
    enough words must be left behind it (positional filter).  A parity bitmap of 128 bits for each set bounds how many words differ.
-4. The pairs left over are compared word by word.  The different lines are kept in a table bucketed by line, so fetching
+4. One earlier match is enough to drop a line, so a group of near copies need not be paired with itself.  First, classes meet
+   witnesses only: for each of their rarest words the earliest class that has it, in a second round the earliest class not settled yet.
+   A class with a match is settled.  Then the others meet all earlier classes, on all words of their prefix.
+5. The pairs left over are compared word by word.  The different lines are kept in a table bucketed by line, so fetching
    their texts moves only the pairs.
+
+A line is named by two 64-bit hashes of its text, and a set by two of its ranks, so two lines of a corpus of n lines are mistaken for one
+with a probability of about n * n / 2 ** 128; whether lines are near is decided on their words.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillgraph.llm.common import drop_table, free_shuffles, write_table
+from quillgraph.operators.ordering import scratch_path
 
 SIMILARITY = 80
 #: Hash buckets in which words are counted.
@@ -82,22 +90,57 @@ def _ranked(lines: DataFrame, levels: DataFrame, similarity: int) -> DataFrame:
                        F.xxhash64(F.lit(1), F.reverse("_ranks")).alias("_j"), prefix.alias("_prefix"))
 
 
-def _pairs(classes: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of classes, x at least as large as y, that pass all filters on hashes."""
-    rows = classes.select("_a", "_b", "_n", "_p", "_q", F.posexplode("_prefix").alias("_at", "_rank")).select(
-        "_rank", "_a", "_b", F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.col("_at").cast("long")).alias("_size"), "_p", "_q").repartition(
-        F.col("_rank"))
-    x, y = rows.alias("x"), rows.alias("y")
+def _prefix_rows(classes: DataFrame, first: int | None = None) -> DataFrame:
+    """A row per class and prefix word (the ``first`` rarest only): _rank, _ord, _a, _b, _size (words and place) and the bitmaps."""
+    prefix = F.col("_prefix") if first is None else F.slice("_prefix", 1, first)
+    return classes.select("_ord", "_a", "_b", "_n", "_p", "_q", F.posexplode(prefix).alias("_at", "_rank")).select(
+        "_rank", "_ord", "_a", "_b", F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.col("_at").cast("long")).alias("_size"), "_p", "_q")
+
+
+def _candidates(probes: DataFrame, others: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of a probe x and an earlier class y that share a word and pass all filters on hashes."""
+    x, y = probes.alias("x"), others.alias("y")
     n, m = (F.shiftright(F.col(f"{r}._size"), 32).cast("int") for r in "xy")
     i, j = (F.col(f"{r}._size").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for r in "xy")
     shared = F.ceil((n + m) * F.lit(float(similarity)) / F.lit(100.0 + similarity)).cast("int")
     apart = F.bit_count(F.col("x._p").bitwiseXOR(F.col("y._p"))) + F.bit_count(F.col("x._q").bitwiseXOR(F.col("y._q")))
-    return x.join(y, (F.col("x._rank") == F.col("y._rank")) & (
-        (n > m) | ((n == m) & (shared < n) & (F.struct("x._a", "x._b") > F.struct("y._a", "y._b")))) & (
-        m * 100 >= n * similarity) & (F.least(n - i, m - j) >= shared) & (apart <= n + m - 2 * shared)).select(
+    return x.join(y, (F.col("x._rank") == F.col("y._rank")) & (F.col("x._ord") > F.col("y._ord")) & (
+        F.least(n, m) * 100 >= F.greatest(n, m) * similarity) & (F.least(n - i, m - j) >= shared) & (apart <= n + m - 2 * shared)).select(
         F.col("x._a").alias("_xa"), F.col("x._b").alias("_xb"), F.col("y._a").alias("_ya"), F.col("y._b").alias("_yb")).distinct()
 
 
+def _matched(pairs: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
+    """(_a, _b) of the probes whose words are near enough to those of the class they met."""
+    side = lambda end: lines.select(F.col("_a").alias(f"_{end}a"), F.col("_b").alias(f"_{end}b"), F.col("_text").alias(f"_{end}text"))
+    full = pairs.join(side("x"), ["_xa", "_xb"]).join(side("y"), ["_ya", "_yb"]).withColumns(
+        {"_xset": _words(F.col("_xtext")), "_yset": _words(F.col("_ytext"))})
+    both, sizes = F.size(F.array_intersect("_xset", "_yset")), F.size("_xset") + F.size("_yset")
+    return full.filter(both * 100 >= (sizes - both) * similarity).select(F.col("_xa").alias("_a"), F.col("_xb").alias("_b")).distinct()
+
+
+#: Rarest words by which classes meet witnesses, and rounds of that.
+WITNESS_WORDS, WITNESS_ROUNDS = 4, 2
+
+
+def _late_classes(classes: DataFrame, lines: DataFrame, similarity: int) -> list[tuple[DataFrame, str]]:
+    """Written tables (_a, _b) of the classes that match an earlier one: a table per witness round and one of the rest."""
+    found: list[tuple[DataFrame, str]] = []
+    unsettled = classes
+    for step in range(WITNESS_ROUNDS + 1):
+        if step < WITNESS_ROUNDS:
+            rows = _prefix_rows(unsettled, WITNESS_WORDS)
+            others = rows.groupBy("_rank").agg(F.min(F.struct("_ord", "_a", "_b", "_size", "_p", "_q")).alias("_w"), F.count("*").alias("_c")).filter(
+                "_c > 1").select("_rank", "_w.*")
+        else:
+            rows, others = _prefix_rows(unsettled), _prefix_rows(classes)
+        pairs, path = write_table(_candidates(rows, others, similarity), "line-pairs")
+        free_shuffles(classes.sparkSession)
+        found.append(write_table(_matched(pairs, lines, similarity), "late"))
+        drop_table(classes.sparkSession, path)
+        unsettled = unsettled.join(found[-1][0], ["_a", "_b"], "left_anti")
+    return found
+
+
 def removed_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, _row, n_lines and removed (array of 0-based line numbers, in order) for every different row of ``docs`` (doc_id, text).
 
@@ -107,11 +150,12 @@ def removed_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """
     spark = docs.sparkSession
     names = {k: f"{k}_{uuid.uuid4().hex}" for k in ("lines", "ranked")}
+    paths = {k: scratch_path(spark, k) for k in names}
     place = F.struct("doc_id", "_row", "_line")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def bucketed(df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").bucketBy(buckets, "_a", "_b").saveAsTable(names[name])
+        df.write.option("compression", "zstd").option("path", paths[name]).bucketBy(buckets, "_a", "_b").saveAsTable(names[name])
         free_shuffles(spark)
         return spark.table(names[name])
 
@@ -119,26 +163,19 @@ def removed_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         lines = bucketed(_lines(docs).groupBy("_a", "_b").agg(F.min(place).alias("_first"), F.min("_text").alias("_text")), "lines")
         levels, levels_path = write_table(_levels(lines), "levels")
         ranked = bucketed(_ranked(lines, levels, similarity), "ranked")
+        # one class per set, numbered in the order of its first line
         sets, sets_path = write_table(ranked.groupBy("_i", "_j").agg(F.min(F.struct("_first", "_a", "_b")).alias("_f")).select(
-            "_i", "_j", "_f.*"), "sets")
-        classes = ranked.join(sets.select("_a", "_b"), ["_a", "_b"])
-        pairs, pairs_path = write_table(_pairs(classes, similarity), "line-pairs")
-        free_shuffles(spark)
-        side = lambda end: lines.select(F.col("_a").alias(f"_{end}a"), F.col("_b").alias(f"_{end}b"),
-                                        F.col("_first").alias(f"_{end}first"), F.col("_text").alias(f"_{end}text"))
-        full = pairs.join(side("x"), ["_xa", "_xb"]).join(side("y"), ["_ya", "_yb"]).withColumns(
-            {"_xset": _words(F.col("_xtext")), "_yset": _words(F.col("_ytext"))})
-        both, sizes = F.size(F.array_intersect("_xset", "_yset")), F.size("_xset") + F.size("_yset")
-        near = full.filter(both * 100 >= (sizes - both) * similarity)
-        later = F.col("_xfirst") > F.col("_yfirst")
-        late, late_path = write_table(near.select(F.when(later, F.col("_xa")).otherwise(F.col("_ya")).alias("_a"),
-                                                  F.when(later, F.col("_xb")).otherwise(F.col("_yb")).alias("_b")).distinct(), "late")
-        judged = sets.join(late.withColumn("_late", F.lit(True)), ["_a", "_b"], "left").select("_i", "_j", "_first", "_late")
+            "_i", "_j", "_f.*").repartitionByRange("_first").sortWithinPartitions("_first").withColumn(
+            "_ord", F.monotonically_increasing_id()), "sets")
+        classes = ranked.drop("_first", "_i", "_j").join(sets.select("_a", "_b", "_ord"), ["_a", "_b"])
+        late = _late_classes(classes, lines, similarity)
+        every = reduce(DataFrame.unionByName, [table for table, _ in late]).withColumn("_late", F.lit(True))
+        judged = sets.join(every, ["_a", "_b"], "left").select("_i", "_j", "_first", "_late")
         known, _ = write_table(ranked.select("_a", "_b", "_i", "_j").join(judged, ["_i", "_j"]).drop("_i", "_j"), "known")
     finally:
         for name in names.values():
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-    drop_table(spark, levels_path, sets_path, pairs_path, late_path)
+    drop_table(spark, levels_path, sets_path, *paths.values(), *[path for _, path in late])
     free_shuffles(spark)
     stays = F.col("_first").isNull() | (F.col("_late").isNull() & (place == F.col("_first")))
     marked = _lines(docs).drop("_text").join(known, ["_a", "_b"], "left").select(
@@ -161,7 +198,9 @@ def drop_repeated_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFr
     rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
     joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row")), "left")
     whole = F.col("_doc.text")
-    rest = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    lines = F.split(whole, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     text = F.when(F.col("removed").isNull(), whole).otherwise(rest)
     changed = {"text": text, **({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
     return joined.select(*[changed.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
