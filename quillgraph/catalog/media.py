@@ -58,7 +58,7 @@ QUERIES = {
         "query_id", "rank", "id", "anchor_id", "source_type", "content", "video_file"),
     "augment_with_clips_all": lambda s, d: M.augment_with_clips(_all_hits(s, d), X.bindings_t(s, d), X.clips_t(s, d)).select(
         "query_id", "rank", "id", "anchor_id", "source_type", "content", "video_file"),
-    "transcript_at": lambda s, d: M.transcript_at(_points(s, d), X.segments_t(s, d), 21600.0).select(
+    "transcript_at": lambda s, d: M.transcript_at(_points(s, d), X.segments_t(s, d)).select(
         "point_id", "video_file", "start_sec", "text"),
     "bind": lambda s, d: M.bind(X.bindings_t(s, d), _pairs(s, d)).select("id", "video_clip_id", "pdf_anchor_id"),
     "rebind": lambda s, d: M.rebind(X.bindings_t(s, d), _moves(s, d)).select("id", "pdf_anchor_id"),

@@ -45,7 +45,7 @@ def _ranked(s, d):
 
 
 def _text_hits(s, d):
-    hits = S.search_text(X.chunks_t(s, d), X.queries_t(s, d), None, 5)
+    hits = S.search_text(_chunks(s, d), X.queries_t(s, d), None, 5)
     return hits.withColumn("route_category", F.col("category"))
 
 
@@ -118,8 +118,8 @@ def _history_hits(s, d):
 
 
 QUERIES = {
-    "search_text_topk": lambda s, d: S.search_text(X.chunks_t(s, d), X.queries_t(s, d)).select("query_id", "rank", "id"),
-    "search_text_category": lambda s, d: S.search_text(X.chunks_t(s, d), X.queries_t(s, d), "tech_manual", 3).select(
+    "search_text_topk": lambda s, d: S.search_text(_chunks(s, d), X.queries_t(s, d)).select("query_id", "rank", "id"),
+    "search_text_category": lambda s, d: S.search_text(_chunks(s, d), X.queries_t(s, d), "tech_manual", 3).select(
         "query_id", "rank", "id"),
     "find_nodes": lambda s, d: S.find_nodes(X.queries_t(s, d), G.build_nodes(X.chunks_t(s, d)), 10).select(
         "query_id", "rank", "id", F.round("score", 6).alias("score")),

@@ -27,8 +27,12 @@ def _asr_lines(s, d):
     meta = videos.select(F.to_json(F.struct(
         F.lit("meta").alias("type"), "video_file", (F.col("n") * 40000.0).alias("duration"))).alias("value"))
     noise = videos.select(F.concat(F.lit("loading "), "video_file").alias("value"))
+    # a third of the videos end, a third fail, the others are still running
+    ends = videos.filter("n % 3 < 2").select(F.to_json(F.struct(
+        F.when(F.col("n") % 3 == 0, "done").otherwise("error").alias("type"), "video_file", F.lit("m").alias("message"))).alias("value"))
     path = scratch_path(s, "asr")
-    twice.unionByName(meta).unionByName(noise).write.text(path)
+    # three files in no order, so some segments arrive after the end of their video
+    twice.unionByName(meta).unionByName(noise).unionByName(ends).repartition(3).write.text(path)
     return path
 
 
@@ -38,34 +42,26 @@ def _run_to_end(s, rows, mode="append"):
     return s.read.parquet(out)
 
 
-def _last_update(s, rows, keys):
-    """Complete-mode aggregate collected through foreachBatch into parquet."""
-    out, ck = scratch_path(s, "out"), scratch_path(s, "ck")
-    rows.writeStream.outputMode("complete").foreachBatch(
-        lambda df, n: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", ck).trigger(
-        availableNow=True).start().awaitTermination()
-    return s.read.parquet(out)
-
-
 def _stream_asr(s, d):
-    return _run_to_end(s, asr.segments(asr.asr_events(asr.read_lines(s, _asr_lines(s, d)))))
+    return _run_to_end(s, asr.segments(asr.asr_events(asr.read_lines(s, _asr_lines(s, d), 1))))
 
 
 def _stream_dedup(s, d):
-    rows = asr.segments(asr.asr_events(asr.read_lines(s, _asr_lines(s, d)))).withColumn(
-        "at", F.timestamp_seconds("start_sec"))
-    return _run_to_end(s, asr.dedup_segments(rows, "at", "60 days")).drop("at")
+    return _run_to_end(s, asr.dedup_segments(asr.segments(asr.asr_events(asr.read_lines(s, _asr_lines(s, d), 1))), "1 hour"))
 
 
 def _stream_progress(s, d):
-    return _last_update(s, asr.asr_progress(asr.asr_events(asr.read_lines(s, _asr_lines(s, d)))), ["video_file"])
+    steps = _run_to_end(s, asr.live_progress(asr.asr_events(asr.read_lines(s, _asr_lines(s, d), 1))))
+    return steps.groupBy("video_file").agg(F.max_by("progress", "step").alias("progress"), F.max_by("status", "step").alias("status"))
 
 
 def _stream_condense(s, d):
     path = scratch_path(s, "turns")
     turns = X.turns_t(s, d)
-    turns.write.parquet(path)
-    stream = s.readStream.schema(turns.schema).parquet(path)
+    # three files, one after the other
+    for part in ("turn <= 1", "turn between 2 and 3", "turn > 3"):
+        turns.filter(part).coalesce(1).write.mode("append").parquet(path)
+    stream = s.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return _run_to_end(s, SC.conversation_state(stream))
 
 
@@ -92,7 +88,7 @@ def _stream_qa_log(s, d, whole=False):
 def _stream_ingest(s, d):
     src, root = scratch_path(s, "docs"), scratch_path(s, "corpus")
     docs = X.docs_md(s, d)
-    docs.repartition(2).write.parquet(src)
+    docs.repartition(3).write.parquet(src)
     stream = s.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(src)
     SI.incremental_ingest(stream, root, scratch_path(s, "ck")).awaitTermination()
     return SI.snapshot(s, root)
@@ -110,12 +106,15 @@ QUERIES = {
     "stream_dedup": lambda s, d: _stream_dedup(s, d),
     "stream_progress": lambda s, d: _stream_progress(s, d).withColumn("progress", F.round("progress", 6)),
     "stream_condense": lambda s, d: _stream_condense(s, d).select(
-        "conv_id", "turn", "standalone_query", F.array_join("history", "¦").alias("history")),
+        "conv_id", "turn", "standalone_query", F.array_join(F.transform(
+            "history", lambda h: F.concat(h["query"], F.lit("="), h["answer"])), "¦").alias("history")),
     "stream_qa_log": lambda s, d: _stream_qa_log(s, d).select(
         "mode", "query", "answer", F.col("human_review.verdict").alias("verdict"), F.array_join(F.transform(
             "retrieved_context", lambda h: F.concat(h["rank"].cast("string"), F.lit(":"), h["document"])), "¦").alias("hits")),
     "stream_ingest_store": lambda s, d: _stream_ingest(s, d)["store"].select(
         "id", "content", "category", "heading_path", "payload_file", "version"),
+    "stream_ingest_edges": lambda s, d: _stream_ingest(s, d)["edges"].select("src", "dst", "relation", "source_file", "weight"),
+    "stream_ingest_communities": lambda s, d: _stream_ingest(s, d)["communities"],
 }
 
 ORACLE = {
@@ -128,10 +127,10 @@ ORACLE = {
     "stream_asr": "WITH " + X.SEGMENTS_SQL + """SELECT video_file, start_sec, end_sec, text, 0.5 AS confidence FROM segments_t
         UNION ALL SELECT video_file, start_sec, end_sec, text, 0.5 FROM segments_t WHERE is_clip""".replace("0.5", "0.5::DOUBLE"),
     "stream_dedup": "WITH " + X.SEGMENTS_SQL + "SELECT DISTINCT video_file, start_sec, end_sec, text, 0.5::DOUBLE AS confidence FROM segments_t",
-    "stream_progress": "WITH " + X.SEGMENTS_SQL + """SELECT video_file, round(least(max(end_sec) / (count(*) * 40000.0::DOUBLE), 1.0), 6) AS progress
-        FROM segments_t GROUP BY 1""",
+    "stream_progress": "WITH " + X.SEGMENTS_SQL + """SELECT video_file, round(least(max(end_sec) / (count(*) * 40000.0::DOUBLE), 1.0), 6) AS progress,
+        CASE count(*) % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'error' ELSE 'running' END AS status FROM segments_t GROUP BY 1""",
     "stream_condense": "WITH RECURSIVE " + _condense_sql('"', '"') + """SELECT c.conv_id, c.turn, c.standalone_query,
-        coalesce(string_agg(b.query, '¦' ORDER BY b.p), '') AS history FROM cond c LEFT JOIN tn b ON b.conv_id = c.conv_id
+        coalesce(string_agg(b.query || '=' || b.answer, '¦' ORDER BY b.p), '') AS history FROM cond c LEFT JOIN tn b ON b.conv_id = c.conv_id
         AND b.p BETWEEN c.p - 5 AND c.p - 1 GROUP BY 1, 2, 3""",
     "stream_qa_log": "WITH " + X.TURNS_SQL + "," + X.CHUNKS_SQL + f""",
         h AS (SELECT doc_id, string_agg((seq % 100000 + 1) || ':' || CASE WHEN length(content) > 160
@@ -143,11 +142,17 @@ ORACLE = {
 
 
 def _fill() -> None:
-    from quillgraph.catalog import chunking as CC
+    from quillgraph.catalog import chunking as CC, graph as GC
     base = CC.ORACLE["chunk_documents_md"]
     ORACLE["stream_ingest_store"] = base[:base.rindex("SELECT doc_id, seq, id, page")] + (
         "SELECT id, content, category, heading_path, regexp_extract(source_file, '([^/]*)$', 1) AS payload_file, "
         "1 AS version FROM final")
+    # every file is one document, and its chunks are linked in a row
+    graph = base[:base.rindex("SELECT doc_id, seq, id, page")] + """,
+nodes AS (SELECT id, regexp_extract(source_file, '([^/]*)$', 1) AS source_file, category, heading_path, doc_id * 1000000 + seq AS node_seq FROM final),"""
+    ORACLE["stream_ingest_edges"] = graph + GC._last_graph("nodes", "g") + "SELECT src, dst, relation, source_file, weight FROM g"
+    ORACLE["stream_ingest_communities"] = graph.rstrip(",") + """
+        SELECT id, min(id) OVER (PARTITION BY source_file) AS community_id FROM nodes"""
 
 
 _fill()

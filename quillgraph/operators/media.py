@@ -63,19 +63,23 @@ def augment_with_clips(hits: DataFrame, bindings: DataFrame, clips: DataFrame) -
     return hits.withColumn("rank", F.col("rank").cast("bigint")).unionByName(ranked, allowMissingColumns=True)
 
 
-def transcript_at(points: DataFrame, segments: DataFrame, bucket_sec: float = 60.0) -> DataFrame:
+def transcript_at(points: DataFrame, segments: DataFrame, unit_sec: float = 60.0) -> DataFrame:
     """First segment (by ``seq``) that covers each point in time; clip marks do not count.
 
-    An interval join on time buckets: a segment is copied to every bucket it touches, so
-    both sides meet on (video, bucket) and a long video spreads over many tasks.
+    An interval join on buckets whose size follows the segment: ``unit_sec`` doubled until it is no shorter than the segment.
+    So a segment, however long, lies in at most two buckets of its own level, and a point is looked up once
+    for every level that its video has.  A long video still spreads over many tasks by its short segments.
     """
-    b = F.lit(float(bucket_sec))
     real = segments.filter(~F.coalesce("is_clip", F.lit(False))) if "is_clip" in segments.columns else segments
-    spread = real.filter(F.col("start_sec") <= F.col("end_sec")).select(
-        "video_file", "start_sec", "end_sec", "text", F.col("seq").alias("segment_seq"),
-        F.explode(F.sequence(F.floor(F.col("start_sec") / b), F.floor(F.col("end_sec") / b))).alias("_b"))
-    pts = points.withColumn("_b", F.floor(F.col("t") / b))
-    hit = pts.join(spread, ["video_file", "_b"]).filter(F.col("t").between(F.col("start_sec"), F.col("end_sec")))
+    units = F.greatest((F.col("end_sec") - F.col("start_sec")) / F.lit(float(unit_sec)), F.lit(1.0))
+    width = F.lit(float(unit_sec)) * F.pow(F.lit(2.0), F.col("_level"))
+    bucket = lambda c: F.floor(F.col(c) / width)
+    spread = real.filter(F.col("start_sec") <= F.col("end_sec")).withColumn("_level", F.ceil(F.log2(units)).cast("int")).select(
+        "video_file", "start_sec", "end_sec", "text", F.col("seq").alias("segment_seq"), "_level",
+        F.explode(F.sequence(bucket("start_sec"), bucket("end_sec"))).alias("_b"))
+    levels = spread.groupBy("video_file").agg(F.collect_set("_level").alias("_levels"))
+    pts = points.join(levels, "video_file").withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_b", bucket("t"))
+    hit = pts.join(spread, ["video_file", "_level", "_b"]).filter(F.col("t").between(F.col("start_sec"), F.col("end_sec")))
     first = hit.groupBy("point_id").agg(F.min_by(
         F.struct("start_sec", "end_sec", F.col("text")), "segment_seq").alias("_s"))
     return points.join(first, "point_id", "left").select(

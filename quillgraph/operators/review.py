@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions import text as T, vocab as V
 from quillgraph.functions.text import let, strip
-from quillgraph.operators.ordering import cut_lineage, position_in_group
+from quillgraph.operators.ordering import cut_lineage, position_in_group, release
 
 CHUNK_HEADER = rf"^##[{V.WS_CLASS}]+Chunk[{V.WS_CLASS}]+([0-9]+)[{V.WS_CLASS}]*$"
 META_LINE = rf"^-[{V.WS_CLASS}]+(\w+):[{V.WS_CLASS}]*(.*)$"
@@ -175,7 +175,7 @@ def apply_suggestions(chunks: DataFrame, suggestions: DataFrame) -> DataFrame:
 
     A merged chunk appends the original content of its target, and the target is left out when
     it comes later.  A left-out chunk does not run its own merge, so whether a chunk is left
-    out depends on earlier chunks; only merge chunks take part in that fixpoint.
+    out depends on earlier chunks; only merges take part in finding that out.
     """
     last = suggestions.filter(F.coalesce("chunk_id", F.lit("")) != "").groupBy("chunk_id").agg(F.max_by(
         F.struct("action", "optimized_content", "merge_target_id", "reason"), "pos").alias("_s"))
@@ -203,21 +203,40 @@ def apply_suggestions(chunks: DataFrame, suggestions: DataFrame) -> DataFrame:
 
 
 def _resolve_skips(reach: DataFrame) -> DataFrame:
-    """Targets that are left out: some merge that itself runs reaches them.
+    """(source_file, target): targets that are left out, since some merge that itself runs reaches them.
 
-    Merges only point forward, so the first ones of every chain run for sure.  Each round settles
-    the merges whose own fate is known; the number of rounds is the length of the longest chain.
+    Merges point forward and a chunk has one target, so they form trees.  A chunk is left out if one of the chunks before it in
+    the tree is not.  Where only one undecided chunk comes before, a chunk is left out exactly if that one is not, so whole chains collapse by
+    pointer doubling with a parity: every chunk of a chain looks twice as far back in each step.  Each round decides all chains that
+    start at decided chunks; what is left has half as many ends, so a forest of n merges takes about log n rounds of log n steps.
     """
-    pending = reach
-    skipped = cut_lineage(reach.select("source_file", "target").limit(0))
+    key = ["source_file", "node"]
+    edges = cut_lineage(reach.select("source_file", F.col("chunk_id").alias("child"), F.col("target").alias("node")).distinct())
+    nodes = edges.select("source_file", F.explode(F.array("child", "node")).alias("node")).distinct()
+    # chunks that no merge reaches stay
+    known = cut_lineage(nodes.join(edges.select(*key).distinct(), key, "left_anti").withColumn("skip", F.lit(False)))
+    open_edges = edges
     while True:
-        targets = pending.select("source_file", F.col("target").alias("chunk_id")).distinct()
-        # no undecided merge can still leave these out
-        ready = cut_lineage(pending.join(targets, ["source_file", "chunk_id"], "left_anti"))
-        if ready.isEmpty():
-            return skipped
-        active = ready.join(skipped.withColumnRenamed("target", "chunk_id"), ["source_file", "chunk_id"], "left_anti")
-        skipped = cut_lineage(skipped.unionByName(active.select("source_file", "target")).distinct())
-        pending = cut_lineage(pending.join(ready.select("source_file", "chunk_id"), ["source_file", "chunk_id"], "left_anti"))
-        if pending.isEmpty():
-            return skipped
+        told = open_edges.join(known.select("source_file", F.col("node").alias("child"), "skip"), ["source_file", "child"], "left")
+        state = cut_lineage(told.groupBy(*key).agg(
+            F.bool_or(~F.col("skip")).alias("reached"), F.count_if(F.col("skip").isNull()).alias("left"),
+            F.max(F.when(F.col("skip").isNull(), F.col("child"))).alias("back")))
+        sure = state.filter("coalesce(reached, false) or left = 0").select(*key, F.coalesce("reached", F.lit(False)).alias("skip"))
+        chain = cut_lineage(state.filter("not coalesce(reached, false) and left = 1").select(*key, "back", F.lit(True).alias("odd")))
+        decided = cut_lineage(known.unionByName(sure))
+        while True:
+            far = chain.select("source_file", F.col("node").alias("back"), F.col("back").alias("_far"), F.col("odd").alias("_odd"))
+            jumped = cut_lineage(chain.join(far, ["source_file", "back"], "left").select(
+                *key, F.coalesce("_far", "back").alias("back"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+                F.col("_far").isNotNull().alias("_moved")))
+            release(chain)
+            chain = jumped
+            if chain.filter("_moved").isEmpty():
+                break
+        ends = chain.join(decided.select("source_file", F.col("node").alias("back"), "skip"), ["source_file", "back"]).select(
+            *key, (F.col("skip") != F.col("odd")).alias("skip"))
+        known = cut_lineage(decided.unionByName(ends))
+        open_edges = cut_lineage(open_edges.join(known.select(*key), key, "left_anti"))
+        release(state, chain, decided)
+        if open_edges.isEmpty():
+            return known.filter("skip").select("source_file", F.col("node").alias("target"))

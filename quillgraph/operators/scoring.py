@@ -1,61 +1,12 @@
-"""Lexical scoring of graph nodes and phrase search over chunks.
-
-The table of questions is small next to the corpus, so it travels to the corpus: it is cut
-into blocks of bounded size, each block becomes one matcher, and the corpus is scanned once per
-block.  No pair of question and node is ever shuffled; a task hands on at most ``k`` nodes per question.
-"""
+"""Lexical scoring of graph nodes and phrase search over chunks; how questions and texts meet is in ``matching``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions import text as T
-
-BLOCK_ROWS = 2000          # questions per matcher
-BLOCK_CHARS = 4_000_000    # and their characters
-
-
-def query_blocks(queries: DataFrame, columns: list[str], size_of: Column) -> Iterator[list]:
-    """Rows of ``queries`` in blocks of bounded count and size.
-
-    The totals are measured first; one block is the normal case, more are cut by hash.
-    """
-    total = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(size_of), F.lit(0)).alias("c")).first()
-    parts = max(-(-total["n"] // BLOCK_ROWS), -(-total["c"] // BLOCK_CHARS), 1)
-    if total["n"] == 0:
-        return
-    if parts == 1:
-        yield queries.select(*columns).collect()
-        return
-    parts *= 2             # leave room for uneven hashing
-    for p in range(parts):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select(*columns).collect()
-        if rows:
-            yield rows
-
-
-def _matcher(patterns: list[str]) -> Callable[[str], set]:
-    """Function from a text to the indexes of the patterns it contains."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {i for i, p in enumerate(patterns) if p in text}
-    auto = ahocorasick.Automaton()
-    for i, p in enumerate(patterns):
-        auto.add_word(p, i)
-    auto.make_automaton()
-    return lambda text: {i for _, i in auto.iter(text)}
-
-
-def with_match_terms(queries: DataFrame) -> DataFrame:
-    """Add the search terms of the node matcher and their bigrams."""
-    return queries.withColumn("terms", T.query_terms("query", min_phrase=2)).withColumn(
-        "bigrams", T.char_bigrams("terms"))
-
+from quillgraph.operators.matching import phrase_matches, score_in_groups, with_match_terms
+from quillgraph.operators.ordering import cut_lineage
 
 def lowered_fields(nodes: DataFrame) -> DataFrame:
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
@@ -63,75 +14,33 @@ def lowered_fields(nodes: DataFrame) -> DataFrame:
                         low("category").alias("category"))
 
 
-def _score_kernel(block: list, k: int | None):
-    """mapInPandas function: layered scores of one block of questions, best ``k`` per task."""
-    term_ix = {t: i for i, t in enumerate(sorted({t for r in block for t in r["terms"]}))}
-    gram_ix = {g: i for i, g in enumerate(sorted({g for r in block for g in r["bigrams"]}))}
-    has_term = np.zeros((len(term_ix), len(block)), np.float32)
-    n_grams = np.zeros((len(gram_ix), len(block)), np.float32)
-    for q, r in enumerate(block):
-        has_term[[term_ix[t] for t in r["terms"]], q] = 1
-        np.add.at(n_grams[:, q], [gram_ix[g] for g in r["bigrams"]], 1)
-    ids = [r["query_id"] for r in block]
-    sizes = np.maximum(n_grams.sum(axis=0, dtype=np.float64), 1)
-
-    def run(batches):
-        find = _matcher(list(term_ix)) if term_ix else (lambda text: set())
-        best: list[list] = [[] for _ in ids]
-
-        def part(pdf: pd.DataFrame):
-            weights = np.zeros((len(pdf), len(term_ix)), np.float32)
-            grams = np.zeros((len(pdf), len(gram_ix)), np.float32)
-            for row, (label, heading, category) in enumerate(zip(pdf["label"], pdf["heading"], pdf["category"])):
-                joined = f"{label} {heading} {category}"
-                for value, text in ((1.5, joined), (2.5, label), (3.0, heading)):
-                    hit = list(find(text))
-                    weights[row, hit] = value
-                grams[row, [gram_ix[g] for g in {joined[i:i + 2] for i in range(len(joined) - 1)} if g in gram_ix]] = 1
-            exact = (weights @ has_term).astype(np.float64)
-            partial = (grams @ n_grams).astype(np.float64) / sizes * 1.5
-            return np.where(exact > 0, exact, partial)
-
-        for pdf in batches:
-            for lo in range(0, len(pdf), 2048):
-                piece = pdf.iloc[lo:lo + 2048]
-                score = part(piece)
-                seq, node = piece["node_seq"].to_numpy(), piece["id"].to_numpy()
-                if k is None:
-                    row, q = np.nonzero(score > 0)
-                    yield pd.DataFrame({"query_id": [ids[i] for i in q], "id": node[row],
-                                        "node_seq": seq[row], "score": score[row, q]})
-                    continue
-                for q in range(len(ids)):
-                    held = best[q]
-                    floor = held[-1][0] if len(held) == k else np.inf
-                    cand = np.flatnonzero((score[:, q] > 0) & (-score[:, q] <= floor))
-                    if len(cand) == 0:
-                        continue
-                    cand = cand[np.lexsort((seq[cand], -score[cand, q]))[:k]]
-                    best[q] = sorted(held + [(-score[c, q], seq[c], node[c]) for c in cand])[:k]
-        if k is not None:
-            rows = [(ids[q], n, s, -neg) for q, held in enumerate(best) for neg, s, n in held]
-            yield pd.DataFrame(rows, columns=["query_id", "id", "node_seq", "score"])
-
-    return run
-
-
-def _scan(queries: DataFrame, nodes: DataFrame, k: int | None) -> DataFrame:
-    q = with_match_terms(queries).filter(F.size("terms") > 0)
-    qtype = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {qtype}, id string, node_seq bigint, score double"
-    texts = lowered_fields(nodes)
-    out = None
-    for block in query_blocks(q, ["query_id", "terms", "bigrams"], F.length("query")):
-        scored = texts.mapInPandas(_score_kernel(block, k), schema)
-        out = scored if out is None else out.unionByName(scored)
-    return nodes.sparkSession.createDataFrame([], schema) if out is None else out
+def distinct_texts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, places): the different texts of nodes with their first node, and (text_id, id, node_seq) of every node."""
+    fields = ["label", "heading", "category"]
+    rows = lowered_fields(nodes)
+    texts = cut_lineage(rows.groupBy(*fields).agg(F.min("node_seq").alias("seq")).withColumn("text_id", F.monotonically_increasing_id()))
+    return texts, rows.join(texts.select("text_id", *fields), fields).select("text_id", "id", "node_seq")
+
+
+def _scores(queries: DataFrame, texts: DataFrame, k: int | None) -> DataFrame:
+    q = with_match_terms(queries).filter(F.size("terms") > 0).select(F.lit(0).alias("group_id"), "query_id", "terms", "bigrams")
+    no_bonus = F.lit(0.0)
+    return score_in_groups(q, texts.select(F.lit(0).alias("group_id"), "text_id", "label", "heading", "category",
+                                           no_bonus.alias("bonus_a"), no_bonus.alias("bonus_b"), "seq"), k)
 
 
 def find_nodes(queries: DataFrame, nodes: DataFrame, top_k: int = 10) -> DataFrame:
-    """Best ``top_k`` nodes per question; ties by node order.  Adds ``rank`` from 1."""
-    return top_k_nodes(_scan(queries, nodes, top_k), top_k)
+    """Best ``top_k`` nodes per question; ties by node order.  Adds ``rank`` from 1.
+
+    Nodes of one text score alike, so texts are scored, and the first ``top_k`` nodes of the best texts take part.
+    """
+    texts, places = distinct_texts(nodes)
+    first = places.withColumn("_n", F.row_number().over(Window.partitionBy("text_id").orderBy("node_seq"))).filter(
+        F.col("_n") <= top_k).drop("_n")
+    best = _scores(queries, texts, top_k).join(texts.select("text_id", "seq"), "text_id")
+    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "seq"))).filter(
+        F.col("_n") <= top_k)
+    return top_k_nodes(best.join(first, "text_id").select("query_id", "id", "node_seq", F.col("relevance").alias("score")), top_k)
 
 
 def top_k_nodes(scored: DataFrame, k: int) -> DataFrame:
@@ -146,7 +55,8 @@ def score_nodes(queries: DataFrame, nodes: DataFrame, mode: str = "cascade") ->
     when no bigram is shared, and then never reaches its threshold; ``independent`` reports
     the best of the cascade and that layer on its own.
     """
-    base = _scan(queries, nodes, None)
+    texts, places = distinct_texts(nodes)
+    base = _scores(queries, texts, None).join(places, "text_id").select("query_id", "id", "node_seq", F.col("relevance").alias("score"))
     if mode == "cascade":
         return base
     fuzzy = fuzzy_scores(queries, nodes).withColumnRenamed("similarity", "fuzzy")
@@ -209,20 +119,35 @@ def rank_nodes(visited: DataFrame, queries: DataFrame, features: DataFrame) -> D
         rel * 2.0 + F.col("cohesion") + F.least(F.col("degree") / 10.0, F.lit(1.0)) * 0.5).alias("score"))
 
 
-def _phrase_kernel(block: list):
-    owners: dict[str, list] = {}
-    for r in block:
-        owners.setdefault(r["phrase"], []).append(r["query_id"])
-    phrases = list(owners)
+def rank_with_hubs(visited: DataFrame, cells: DataFrame, hub_texts: tuple[DataFrame, DataFrame], queries: DataFrame,
+                   features: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, node_seq, score): nodes of ``visited`` and the best ``k`` of the cells (query_id, cell) of each question.
+
+    ``hub_texts`` is what ``cell_texts`` made of the same features.
+    """
+    listed, kept = hub_texts
+    q = queries.select("query_id", T.rank_terms("query").alias("terms")).withColumn("bigrams", T.char_bigrams("terms"))
+    asked = cells.join(q, "query_id").select(F.col("cell").alias("group_id"), "query_id", "terms", "bigrams")
+    best = score_in_groups(asked, listed.withColumnRenamed("cell", "group_id"), k, 2.0, all_texts=True)
+    from_hubs = best.join(kept, "text_id").select("query_id", "id", "node_seq", (
+        F.col("relevance") * 2.0 + F.col("bonus_a") + F.col("bonus_b")).alias("score"))
+    return rank_nodes(visited, queries, features).unionByName(from_hubs).dropDuplicates(["query_id", "id"])
 
-    def run(batches):
-        find = _matcher(phrases)
-        for pdf in batches:
-            rows = [(q, i, h, s) for i, h, s, c, hl in zip(pdf["id"], pdf["heading_path"], pdf["seq"], pdf["c"], pdf["h"])
-                    for p in find(c) | find(hl) for q in owners[phrases[p]]]
-            yield pd.DataFrame(rows, columns=["query_id", "id", "heading_path", "seq"])
 
-    return run
+def cell_texts(cell_of_node: DataFrame, features: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(texts, nodes) of each cell: its different texts with their best node, and the first ``k`` nodes of every text.
+
+    Nodes of one text are equally relevant to any question, so their order does not depend on it: by community density and
+    degree, then node order.
+    """
+    fields = ["cell", "label", "heading", "category"]
+    bonus = (F.least(F.col("degree") / 10.0, F.lit(1.0)) * 0.5).alias("bonus_b")
+    rows = features.join(cell_of_node, "id").select(*fields, "id", "node_seq", F.col("cohesion").alias("bonus_a"), bonus)
+    order = Window.partitionBy(*fields).orderBy(F.desc(F.col("bonus_a") + F.col("bonus_b")), "node_seq")
+    kept = cut_lineage(rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k))
+    texts = cut_lineage(kept.filter("_n = 1").select(*fields, "bonus_a", "bonus_b", F.col("node_seq").alias("seq"),
+                                                     F.monotonically_increasing_id().alias("text_id")))
+    return texts, kept.join(texts.select("text_id", *fields), fields).select("text_id", "id", "node_seq", "bonus_a", "bonus_b")
 
 
 def search_text(chunks: DataFrame, queries: DataFrame, category: str | None = None, limit: int = 20) -> DataFrame:
@@ -231,19 +156,10 @@ def search_text(chunks: DataFrame, queries: DataFrame, category: str | None = No
     Every term must occur, and the whole phrase is the first term, so this is a phrase search;
     ASCII letters of the stored side are folded.  First ``limit`` per question by heading path.
     """
-    q = queries.withColumn("phrase", T.query_phrase("query")).filter(F.col("phrase") != "")
-    qtype = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {qtype}, id string, heading_path string, seq bigint"
+    q = cut_lineage(queries.select("query_id", T.query_phrase("query").alias("phrase")).filter(F.col("phrase") != ""))
     rows = chunks if category is None else chunks.filter(F.col("category") == category)
-    text = rows.select("id", F.coalesce("heading_path", F.lit("")).alias("heading_path"), "seq",
-                       T.ascii_lower(F.coalesce("content", F.lit(""))).alias("c")).withColumn(
-        "h", T.ascii_lower("heading_path"))
-    out = None
-    for block in query_blocks(q, ["query_id", "phrase"], F.length("phrase")):
-        found = text.mapInPandas(_phrase_kernel(block), schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = chunks.sparkSession.createDataFrame([], schema)
-    w = Window.partitionBy("query_id").orderBy("heading_path", "seq")
-    top = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    return top.select("query_id", "rank", "id").join(rows, "id")
+    text = rows.withColumns({"_c": T.ascii_lower(F.coalesce(F.col("content"), F.lit(""))),
+                             "_h": T.ascii_lower(F.coalesce(F.col("heading_path"), F.lit("")))})
+    order = Window.partitionBy("phrase").orderBy(F.coalesce("heading_path", F.lit("")), "seq")
+    found = phrase_matches(q, text, ["_c", "_h"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return q.join(found, "phrase").select("query_id", "rank", *rows.columns)

@@ -36,6 +36,44 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int = 3,
     return visited, walked
 
 
+def bounded_bfs(near: DataFrame, hubs: DataFrame, starts: DataFrame, max_depth: int = 3,
+                max_nodes: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The same search with bounded levels: (visited, hub steps).
+
+    ``near`` has each neighbour of each node once (node, neighbor), ``hubs`` the nodes (node) with at least ``max_nodes``.  A step from
+    a hub fills the question's quota, so it is its last; it is kept as (query_id, hub) and stands for all neighbours
+    of the hub.  Other steps bring fewer than ``max_nodes`` nodes each, from fewer than ``max_nodes`` nodes.  Nodes reached
+    through a hub are not listed in ``visited`` unless another step reaches them.
+    """
+    visited = cut_lineage(starts.select("query_id", "id").distinct())
+    frontier, steps = visited, None
+    for _ in range(max_depth):
+        done = visited.groupBy("query_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= max_nodes).select("query_id")
+        if steps is not None:
+            done = done.unionByName(steps.select("query_id")).distinct()
+        grow = cut_lineage(frontier.join(done, "query_id", "left_anti").withColumnRenamed("id", "node"))
+        at_hub = cut_lineage(grow.join(hubs.select("node"), "node", "left_semi").select("query_id", F.col("node").alias("hub")))
+        steps = at_hub if steps is None else steps.unionByName(at_hub)
+        frontier = cut_lineage(grow.join(hubs.select("node"), "node", "left_anti").join(near, "node").select(
+            "query_id", F.col("neighbor").alias("id")).distinct().join(visited, ["query_id", "id"], "left_anti"))
+        release(grow)
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    return visited, steps
+
+
+def hub_cells(near: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, hubs of cells): nodes next to the same set of hubs form a cell; (id, cell) and (hub, cell).
+
+    Cells share no node, so a question that steps from several hubs of a group looks at the group once.
+    """
+    sets = near.join(hubs.select(F.col("node")), "node", "left_semi").groupBy(F.col("neighbor").alias("id")).agg(
+        F.sort_array(F.collect_set("node")).alias("_hubs")).withColumn("_key", F.to_json("_hubs"))
+    named = cut_lineage(sets.groupBy("_key").agg(F.first("_hubs").alias("_hubs")).withColumn("cell", F.monotonically_increasing_id()))
+    return sets.join(named.select("_key", "cell"), "_key").select("id", "cell"), named.select(F.explode("_hubs").alias("hub"), "cell")
+
+
 def known_starts(starts: DataFrame, nodes: DataFrame) -> DataFrame:
     return starts.join(nodes.select("id"), "id", "left_semi")
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quillgraph.functions import text as T, vocab as V
 from quillgraph.functions.text import strip
 from quillgraph.operators import aggregates as A, scoring as S
+from quillgraph.operators.matching import phrase_matches
 from quillgraph.operators.ordering import cut_lineage, position_in_group
 from quillgraph.plans.search import hits_by_headings
 
@@ -33,19 +34,15 @@ def apply_route_decisions(queries: DataFrame, decisions: DataFrame) -> DataFrame
 def prefilter_headings(queries: DataFrame, headings: DataFrame, keep: int = 30, default: int = 20) -> DataFrame:
     """Heading paths worth offering per question: those sharing words, else the first ones.
 
-    Word matches are found with the phrase scanner: a question's words are looked up in the
-    heading list, which is one row per distinct path.
+    A question's words are looked up in the heading list, which is one row per distinct path.
     """
     words = queries.select("query_id", F.explode(F.filter(
         T.split_ws(F.lower("query")), lambda t: F.length(t) > 1)).alias("word"))
     # repeated words of a question count each time
     weights = words.groupBy("query_id", "word").agg(F.count("*").alias("w"))
-    vocabulary = weights.select(F.col("word").alias("query_id"), F.col("word").alias("query")).distinct()
-    paths = headings.select(F.col("heading_path").alias("id"), F.lower("heading_path").alias("content"),
-                            F.lit("").alias("heading_path"), F.lit(0).cast("bigint").alias("seq"))
-    found = _contained(vocabulary, paths)
-    scored = weights.join(found.withColumnRenamed("query_id", "word"), "word").groupBy("query_id", F.col("id").alias("heading_path")).agg(
-        F.sum("w").alias("score"))
+    paths = headings.select(F.col("heading_path").alias("id"), F.lower("heading_path").alias("_low"))
+    found = phrase_matches(weights.select(F.col("word").alias("phrase")), paths, ["_low"]).select(F.col("phrase").alias("word"), "id")
+    scored = weights.join(found, "word").groupBy("query_id", F.col("id").alias("heading_path")).agg(F.sum("w").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "heading_path")
     top = scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= keep)
     none = queries.select("query_id").join(top.select("query_id").distinct(), "query_id", "left_anti")
@@ -56,18 +53,6 @@ def prefilter_headings(queries: DataFrame, headings: DataFrame, keep: int = 30,
         offered.withColumn("position", F.col("position") + 1))
 
 
-def _contained(words: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query_id, id) for every word inside a row's content."""
-    out = None
-    for block in S.query_blocks(words.withColumn("phrase", F.col("query")), ["query_id", "phrase"], F.length("query")):
-        text = rows.select("id", "heading_path", "seq", F.col("content").alias("c"), F.lit("").alias("h"))
-        part = text.mapInPandas(S._phrase_kernel(block), "query_id string, id string, heading_path string, seq bigint")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], "query_id string, id string, heading_path string, seq bigint")
-    return out.select("query_id", "id")
-
-
 def numbered_headings(chunks: DataFrame) -> DataFrame:
     """Heading paths of each category with their 1-based number in path order."""
     paths = chunks.filter(F.coalesce("heading_path", F.lit("")) != "").select("category", "heading_path").distinct()

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.operators import aggregates as A, conversation, graph as G, media, scoring as S, traversal as TR
-from quillgraph.operators.ordering import cut_lineage
+from quillgraph.operators.graph import both_ways
+from quillgraph.operators.ordering import cut_lineage, position_in_group
 
 
 @dataclass(frozen=True)
@@ -46,15 +47,21 @@ def graph_search(queries: DataFrame, graph: GraphTables, chunks: DataFrame, top_
                  start_nodes: int = 10, max_depth: int = 3, max_nodes: int = 50) -> tuple[DataFrame, DataFrame]:
     """(hits, summary) for ``queries`` (query_id, query[, standalone_query]).
 
-    Questions without a matching node are answered by phrase search on their raw text.
+    A step from a node with ``max_nodes`` neighbours or more is not written out: it names the node, and the neighbours are
+    scored in blocks that keep the best ``top_k``.  Questions without a matching node are answered by phrase search on their raw text.
     """
     if "standalone_query" not in queries.columns:
         queries = queries.withColumn("standalone_query", F.trim("query"))
     asked = cut_lineage(queries.select("query_id", "query", "standalone_query"))
     alone = asked.select("query_id", F.col("standalone_query").alias("query"))
     starts = cut_lineage(S.find_nodes(alone, graph.nodes, start_nodes).select("query_id", "id"))
-    visited, _ = TR.bfs(graph.edges, starts, max_depth, max_nodes)
-    ranked = top_k_hits(S.rank_nodes(visited, alone, graph.features), top_k)
+    near = cut_lineage(both_ways(graph.edges).select("node", "neighbor").distinct())
+    hubs = cut_lineage(near.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= max_nodes))
+    visited, steps = TR.bounded_bfs(near, hubs, starts, max_depth, max_nodes)
+    cell_of_node, hubs_of_cell = TR.hub_cells(near, hubs)
+    cells = cut_lineage(steps.join(hubs_of_cell, "hub").select("query_id", "cell").distinct())
+    used = cell_of_node.join(cells.select("cell").distinct(), "cell", "left_semi")
+    ranked = top_k_hits(S.rank_with_hubs(visited, cells, S.cell_texts(used, graph.features, top_k), alone, graph.features, top_k), top_k)
     found = resolve_nodes(ranked, graph.nodes, chunks).withColumn("router_source", F.lit("graph_traversal"))
     missed = asked.join(starts.select("query_id").distinct(), "query_id", "left_anti")
     fallback = text_search_fallback(missed, chunks, top_k)
@@ -106,20 +113,20 @@ def exclude_edited(hits: DataFrame, invalid_ids: DataFrame) -> DataFrame:
 def hits_by_headings(selected: DataFrame, chunks: DataFrame, category: str | None = None) -> DataFrame:
     """Chunks below each selected heading path, in selection order.
 
-    A string-prefix join made an equi-join: a selected prefix meets a path on the path's first
-    ``n`` characters, for the few prefix lengths that were selected.
+    Selected prefixes meet the distinct paths, which are spelled out from their first character on, by an equi-join; chunks are
+    attached last, by their whole path, so no chunk is copied per prefix.  Ranks come from range partitions, so one question
+    with very many chunks does not stay in one task.
     """
     rows = chunks if category is None else chunks.filter(F.col("category") == category)
-    sel = selected.withColumn("_p", T.ascii_lower("selected_path")).withColumn("_len", F.length("_p"))
-    # distinct prefix lengths: bounded by the longest path, not by the number of rows
-    lengths = [r["_len"] for r in sel.select("_len").distinct().collect()] or [0]
+    sel = cut_lineage(selected.withColumn("_p", T.ascii_lower("selected_path")))
+    paths = cut_lineage(rows.select("heading_path").filter("heading_path is not null").distinct())
     low = T.ascii_lower("heading_path")
-    keyed = rows.withColumn("_p", F.explode(F.transform(
-        F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length(low)),
-        lambda n: F.substring(low, F.lit(1), n))))
-    joined = sel.drop("_len").join(keyed, "_p").drop("_p")
-    order = Window.partitionBy("query_id").orderBy("sel_no", "heading_path", "seq")
-    return joined.withColumn("rank", F.row_number().over(order))
+    spelled = paths.select("heading_path", F.explode(F.sequence(F.lit(0), F.length("heading_path"))).alias("_n")).select(
+        "heading_path", F.substring(low, F.lit(1), F.col("_n")).alias("_p"))
+    below = spelled.join(sel.select("_p").distinct(), "_p", "left_semi")
+    found = sel.join(below, "_p").drop("_p").join(rows, "heading_path")
+    return position_in_group(found, ["query_id"], ["sel_no", "heading_path", "seq"], "rank").withColumn(
+        "rank", (F.col("rank") + 1).cast("int"))
 
 
 def resolve_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph as G, ordering as O, scoring as S, traversal as TR
+from quillgraph.operators import graph as G, matching as M, ordering as O, scoring as S, traversal as TR
+from quillgraph.plans import search as R
 from tests import models
 
 NODE = "id string, label string, source_file string, category string, heading_path string, node_seq bigint"
@@ -71,8 +72,10 @@ def test_build_graph_from_two_chunks_and_precedence(spark):
         "id string, content string, heading_path string, category string, payload_file string, seq bigint")
     nodes, edges = G.build_graph(chunks)
     assert nodes.count() == 2 and [(r["relation"], r["weight"]) for r in edges.collect()] == [("references", 1.0)]
-    _, last = G.build_graph(chunks, None, "last")
-    assert [(r["relation"], r["weight"]) for r in last.collect()] == [("references", 0.3)]
+    # an added source keeps nodes of any category, so order links the third chunk as well
+    added, last = G.build_graph(chunks, None, "last")
+    assert added.count() == 3 and sorted((r["src"], r["dst"], r["relation"], r["weight"]) for r in last.collect()) == [
+        ("1", "2", "references", 0.3), ("1", "3", "references", 0.3)]
 
 
 def test_remove_source(spark):
@@ -176,12 +179,79 @@ def test_misspelled_question_finds_its_node(spark):
     assert [(r["id"], round(r["similarity"], 6)) for r in fuzzy] == [("n", round(1 - 1 / 13, 6))]
 
 
-def test_query_blocks_cover_all_questions(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_ROWS", 3)
+def test_blocks_cover_all_questions_and_texts(spark, monkeypatch):
     nodes = nodes_of(spark, [f"word{i}" for i in range(12)])
     q = spark.createDataFrame([(i, f"word{i}") for i in range(12)], "query_id bigint, query string")
-    got = {r["query_id"]: r["id"] for r in S.find_nodes(q, nodes, 1).collect()}
-    assert got == {i: f"word{i}" if i > 1 else "word1" if i == 1 else "word0" for i in range(12)}
+    want = {i: f"word{i}" if i > 1 else "word1" if i == 1 else "word0" for i in range(12)}
+    for texts, questions in ((4, 3), (1, 100), (100, 1)):
+        monkeypatch.setattr(M, "TEXT_BLOCK", texts)
+        monkeypatch.setattr(M, "QUESTION_BLOCK", questions)
+        assert {r["query_id"]: r["id"] for r in S.find_nodes(q, nodes, 1).collect()} == want
+
+
+def test_nodes_of_one_text_share_its_score(spark):
+    nodes = nodes_of(spark, ["same"] * 30 + ["other same", "nothing"])
+    q = spark.createDataFrame([(1, "same"), (2, "zzz"), (3, "")], "query_id bigint, query string")
+    got = S.find_nodes(q, nodes, 4).orderBy("rank").collect()
+    every = S.score_nodes(q, nodes).filter("query_id = 1").orderBy(F.desc("score"), "node_seq").limit(4).collect()
+    assert [r["id"] for r in got if r["query_id"] == 1] == [r["id"] for r in every] and {r["query_id"] for r in got} == {1}
+
+
+def test_phrases_by_pieces(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 6)))
+    texts = [(i, " ".join(word() for _ in range(rnd.randrange(0, 9))), None if i % 7 == 0 else rnd.choice(
+        ["a b", "cab  abc", "x\ny z", "中文字符串", ""])) for i in range(300)]
+    phrases = ["a", "ab", "abc", "c b", "ab a", "abcab c", "a b c", "abc ab a", "zz", "b b b b", "x\ny", "中文", "字", "aé", "y z", "x y z", "ab c"]
+    df = spark.createDataFrame(texts, "id long, t string, u string").withColumn("extra", F.lit(1))
+    asked = spark.createDataFrame([(p,) for p in [*phrases, "", None, "a"]], "phrase string")
+    got = sorted((r["phrase"], r["id"], r["extra"]) for r in M.phrase_matches(asked, df, ["t", "u"]).collect())
+    assert got == sorted((p, i, 1) for p in phrases for i, t, u in texts if p in t or (u and p in u))
+    assert M.phrase_matches(asked, df.limit(0), ["t", "u"]).count() == M.phrase_matches(asked.limit(0), df, ["t", "u"]).count() == 0
+
+
+def test_hub_steps_are_not_written_out(spark):
+    """Hubs of shared and of own groups, long paths between them; the same hits as with every visited node listed."""
+    rnd = random.Random(8)
+    words = ["net", "cable", "guide", "setup", "disk", "fan", "port", "led"]
+    ids = [f"n{i:03d}" for i in range(260)]
+    nodes = spark.createDataFrame([(i, f"{rnd.choice(words)} {rnd.choice(words)}", f"s{k % 3}", "general", rnd.choice(["", "Net > Setup", "Disk"]), k)
+                                   for k, i in enumerate(ids)], NODE)
+    links = {(ids[h], i) for h in (0, 1, 2) for i in ids[3:90]} | {(ids[90], i) for i in ids[91:170]}
+    links |= {(ids[k], ids[k + 1]) for k in range(170, 259)} | {(ids[89], ids[91]), (ids[40], ids[200])}
+    edges = edges_of(spark, sorted(links))
+    graph = R.prepare_graph(nodes, edges)
+    q = spark.createDataFrame([(k, f"{rnd.choice(words)} {rnd.choice(words)} {w}") for k, w in enumerate(words * 3)],
+                              "query_id bigint, query string")
+    starts = spark.createDataFrame([(k, rnd.choice(ids)) for k in range(24) for _ in range(rnd.randrange(1, 5))], "query_id bigint, id string")
+    near = G.both_ways(edges).select("node", "neighbor").distinct()
+    hubs = near.groupBy("node").count().filter("count >= 50")
+    assert {r["node"] for r in hubs.collect()} == {ids[0], ids[1], ids[2], ids[90]}
+    visited, steps = TR.bounded_bfs(near, hubs, starts, 3, 50)
+    all_visited, _ = TR.bfs(edges, starts, 3, 50)
+    by_hub = steps.join(near.withColumnRenamed("node", "hub"), "hub").select("query_id", F.col("neighbor").alias("id"))
+    assert set(map(tuple, visited.select("query_id", "id").union(by_hub).collect())) == set(map(tuple, all_visited.select("query_id", "id").collect()))
+    assert visited.groupBy("query_id").count().agg(F.max("count")).first()[0] < 50
+    of_node, of_cell = TR.hub_cells(near, hubs)
+    assert of_node.groupBy("id").count().filter("count > 1").isEmpty() and of_cell.select("cell").distinct().count() < 8
+    cells = steps.join(of_cell, "hub").select("query_id", "cell").distinct()
+    for k in (1, 5):
+        got = S.top_k_nodes(S.rank_with_hubs(visited, cells, S.cell_texts(of_node, graph.features, k), q, graph.features, k), k)
+        want = S.top_k_nodes(S.rank_nodes(all_visited, q, graph.features), k)
+        rows = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in df.collect())
+        assert rows(got) == rows(want)
+
+
+def test_questions_without_a_node_are_answered_by_text(spark):
+    nodes = nodes_of(spark, ["alpha one", "beta two"])
+    chunks = nodes.select("id", F.lit("some QQ WW words").alias("content"), "heading_path", "category", F.col("node_seq").alias("seq"))
+    no_edges = edges_of(spark, [("x", "y")]).limit(0)
+    graph = R.prepare_graph(nodes.withColumn("chunk_id", F.col("id")), no_edges)
+    q = spark.createDataFrame([("node", "alpha"), ("text", "qq ww"), ("none", "#")], "query_id string, query string")
+    hits, summary = R.graph_search(q, graph, chunks, 1)
+    assert sorted((r["query_id"], r["router_source"]) for r in hits.collect()) == [("node", "graph_traversal"), ("text", "text_search_fallback")]
+    assert {r["query_id"]: (r["router_source"], r["validated"]) for r in summary.collect()} == {
+        "node": ("graph_traversal", True), "text": ("text_search_fallback", False), "none": ("text_search_fallback", False)}
 
 
 def test_positions_of_a_hot_group(spark):

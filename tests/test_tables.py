@@ -49,6 +49,28 @@ def test_suggestions_match_model(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_long_merge_chains_take_few_rounds(spark, monkeypatch):
+    """Chains, stars and random trees of merges against a walk from front to back."""
+    rnd = random.Random(2)
+    merges = [("chain", f"c{i:04d}", f"c{i + 1:04d}") for i in range(1000)]
+    merges += [("star", f"s{i}", "s99") for i in range(20)] + [("star", "s99", "t")]
+    for f in range(40):
+        n = rnd.randrange(2, 60)
+        merges += [(f"tree{f}", f"{i:03d}", f"{rnd.randrange(i + 1, min(n, i + rnd.choice([2, 2, 9])) + 1):03d}") for i in range(n) if rnd.random() < 0.9]
+    skipped = set()
+    for f, chunk, target in sorted(merges, key=lambda m: (m[0], m[1] if m[0] != "star" or m[1] != "s99" else "t0")):
+        if (f, chunk) not in skipped:
+            skipped.add((f, target))
+    rounds = []
+    cut = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    reach = spark.createDataFrame(merges, "source_file string, chunk_id string, target string")
+    assert {tuple(r) for r in R._resolve_skips(reach).collect()} == skipped
+    rounds.clear()
+    got = R._resolve_skips(reach.filter("source_file = 'chain'"))
+    assert got.count() == 500 and len(rounds) <= 2 + 4 + 12
+
+
 def _store(spark, rows):
     return spark.createDataFrame([(i, c, "markdown", i, h, "g.md", "general", False, "t0", v, n)
                                   for n, (i, c, h, v) in enumerate(rows)], STORE)
@@ -100,6 +122,40 @@ def test_transcript_lookup(spark):
     assert got == {1: "first", 2: "late", 3: "first", 4: None, 5: None}
 
 
+def test_transcript_of_segments_of_all_lengths(spark):
+    rnd = random.Random(6)
+    year = 365 * 86400.0
+    rows = [("v", 0, 5.0, year, "a year", False)]
+    for k in range(1, 300):
+        start = round(rnd.uniform(-10, 4000), 3)
+        rows.append((rnd.choice("vw"), k, start, round(start + rnd.choice([0.0, 0.5, 60.0, 61.0, 119.99, 960.0, -3.0, 5000.0]), 3), f"t{k}", rnd.random() < 0.1))
+    points = [(k, rnd.choice("vwx"), round(rnd.uniform(-20, 9000), 3)) for k in range(400)] + [(900 + k, r[0], r[2]) for k, r in enumerate(rows)]
+    got = M.transcript_at(spark.createDataFrame(points, "point_id bigint, video_file string, t double"), spark.createDataFrame(
+        rows, "video_file string, seq bigint, start_sec double, end_sec double, text string, is_clip boolean"), 60.0)
+    want = {p: min(((s, x) for f, s, a, b, x, clip in rows if f == v and a <= t <= b and not clip), default=(0, None))[1] for p, v, t in points}
+    assert {r["point_id"]: r["text"] for r in got.collect()} == want
+
+
+def test_chunks_below_headings(spark):
+    from quillgraph.plans import search as P2
+    paths = ["A", "A > B", "a > bc", "AB", "", None, "É > x", "A > B > C"]
+    chunks = spark.createDataFrame([(f"{p}-{k}", p, "c" if k else "d", n * 10 + k) for n, p in enumerate(paths) for k in range(3)],
+                                   "id string, heading_path string, category string, seq bigint")
+    picks = [("q", "a > b", 1), ("q", "A", 2), ("q", "É", 3), ("r", "zz", 1), ("s", "A > B > C", 5), ("s", "A > B > C > D", 1)]
+    sel = spark.createDataFrame(picks, "query_id string, selected_path string, sel_no int")
+    for category in (None, "c"):
+        got = [(r["query_id"], r["rank"], r["id"]) for r in P2.hits_by_headings(sel, chunks, category).collect()]
+        rows = [r for r in chunks.collect() if category in (None, r["category"]) and r["heading_path"] is not None]
+        want = []
+        for q in "qrs":
+            below = sorted(((n, r["heading_path"], r["seq"], r["id"]) for x, p, n in picks if x == q for r in rows
+                            if r["heading_path"].replace("A", "a").replace("B", "b").replace("C", "c").startswith(
+                                p.replace("A", "a").replace("B", "b").replace("C", "c").replace("D", "d"))),
+                           key=lambda x: (x[0], x[1].encode(), x[2]))
+            want += [(q, k, x[3]) for k, x in enumerate(below, 1)]
+        assert sorted(got) == sorted(want)
+
+
 def test_chunk_json_files(spark, tmp_path):
     good = {"source_file": "g.pdf", "chunks": [{"chunk_id": "c1", "content": "body", "page": 2}, {"content": "no id"},
                                               {"anchor_id": " a2 ", "content": "x", "display_content": "shown"}]}
