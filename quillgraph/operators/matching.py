@@ -84,6 +84,8 @@ def phrase_matches(phrases: DataFrame, texts: DataFrame, columns: list[str]) ->
     Null texts hold nothing.
     """
     asked = cut_lineage(phrases.select("phrase").filter("phrase <> ''").distinct().withColumn("_words", F.split("phrase", " ")))
+    if asked.isEmpty():
+        return texts.limit(0).select(F.lit("").alias("phrase"), *texts.columns)
     inner = asked.filter(F.size("_words") > 2).select("phrase", F.explode(F.array_distinct(F.slice(
         "_words", F.lit(2), F.size("_words") - 2))).alias("piece"))
     held = texts.select("id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", *columns), " "))).alias("piece")).filter("piece <> ''")
