@@ -10,10 +10,9 @@ well makes no difference.
    the table of levels has the same size for any input.
 3. Two sets of that similarity share a word among the rarest ``n - ceil(similarity * n) + 1`` of each (prefix filter).  Classes meet
    on those words.  Their sizes must be near enough (length filter), and from the places of the common word in both orders
-   enough words must be left behind it (positional filter).  A parity bitmap of 128 bits for each set bounds how many words differ.
+   enough words must be left behind it (positional filter).  A parity bitmap of 64 bits for each set bounds how many words differ.
 4. One earlier match is enough to drop a line, so a group of near copies need not be paired with itself.  First, classes meet
-   witnesses only: for each of their rarest words the earliest class that has it, in a second round the earliest class not settled yet.
-   A class with a match is settled.  Then the others meet all earlier classes, on all words of their prefix.
+   witnesses only: for each of their rarest words the earliest class that has it.  A class with a match is settled.  Then the others meet all earlier classes, on all words of their prefix.
 5. The pairs left over are compared word by word.  The different lines are kept in a table bucketed by line, so fetching
    their texts moves only the pairs.
 
@@ -71,73 +70,84 @@ def _levels(lines: DataFrame) -> DataFrame:
 
 
 def _ranked(lines: DataFrame, levels: DataFrame, similarity: int) -> DataFrame:
-    """A row per line with words: its number of words, two hashes of the set, two parity bitmaps and its prefix.
+    """A row per line with words: its number of words, two hashes of the set, a parity bitmap and its prefix.
 
-    Ranks are built row by row and word by word, and come together again in the partition the line is in.  A bitmap tells for
+    Ranks are built row by row and word by word, and come together again in the partition the line is in.  The bitmap tells for
     each of 64 places whether an odd number of words falls on it; a word in which two sets differ changes one place.
     """
     one = F.lit(1).cast("long")
     bit = lambda shift: F.call_function("shiftleft", one, F.shiftrightunsigned("_h", shift).cast("int").bitwiseAND(F.lit(63)))
-    upper = F.shiftrightunsigned("_h", 63) == 1
     words = _hashed(lines).withColumn("_bucket", _bucket("_h")).join(F.broadcast(levels), "_bucket")
     sets = words.groupBy("_a", "_b").agg(
         F.min("_first").alias("_first"), F.count("*").cast("int").alias("_n"),
-        F.bit_xor(F.when(upper, bit(57)).otherwise(F.lit(0).cast("long"))).alias("_p"),
-        F.bit_xor(F.when(upper, F.lit(0).cast("long")).otherwise(bit(57))).alias("_q"),
+        F.bit_xor(bit(57)).alias("_p"),
         F.sort_array(F.collect_list(F.shiftleft("_level", 55).bitwiseOR(F.shiftrightunsigned("_h", 9)))).alias("_ranks"))
     prefix = F.slice("_ranks", F.lit(1), F.col("_n") - _least_shared(F.col("_n"), similarity) + 1)
-    return sets.select("_a", "_b", "_first", "_n", "_p", "_q", F.xxhash64("_ranks").alias("_i"),
+    return sets.select("_a", "_b", "_first", "_n", "_p", F.xxhash64("_ranks").alias("_i"),
                        F.xxhash64(F.lit(1), F.reverse("_ranks")).alias("_j"), prefix.alias("_prefix"))
 
 
 def _prefix_rows(classes: DataFrame, first: int | None = None) -> DataFrame:
-    """A row per class and prefix word (the ``first`` rarest only): _rank, _ord, _a, _b, _size (words and place) and the bitmaps."""
+    """A row per class and prefix word (the ``first`` rarest only): _rank, _ord, _probe, _size (words and place) and the bitmap."""
     prefix = F.col("_prefix") if first is None else F.slice("_prefix", 1, first)
-    return classes.select("_ord", "_a", "_b", "_n", "_p", "_q", F.posexplode(prefix).alias("_at", "_rank")).select(
-        "_rank", "_ord", "_a", "_b", F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.col("_at").cast("long")).alias("_size"), "_p", "_q")
+    rows = classes.select("_ord", "_probe", "_n", "_p", F.posexplode(prefix).alias("_at", "_rank")).select(
+        "_rank", "_ord", "_probe", F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.col("_at").cast("long")).alias("_size"), "_p")
+    # nothing is null here; saying so keeps both sides of a self-join one shuffle
+    return rows.select(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in rows.columns])
 
 
 def _candidates(probes: DataFrame, others: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of a probe x and an earlier class y that share a word and pass all filters on hashes."""
+    """Pairs (_x, _y) of a probe and an earlier class that share a word and pass all filters on hashes; _probe is -1 for a settled class."""
     x, y = probes.alias("x"), others.alias("y")
     n, m = (F.shiftright(F.col(f"{r}._size"), 32).cast("int") for r in "xy")
     i, j = (F.col(f"{r}._size").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for r in "xy")
     shared = F.ceil((n + m) * F.lit(float(similarity)) / F.lit(100.0 + similarity)).cast("int")
-    apart = F.bit_count(F.col("x._p").bitwiseXOR(F.col("y._p"))) + F.bit_count(F.col("x._q").bitwiseXOR(F.col("y._q")))
-    return x.join(y, (F.col("x._rank") == F.col("y._rank")) & (F.col("x._ord") > F.col("y._ord")) & (
+    apart = F.bit_count(F.col("x._p").bitwiseXOR(F.col("y._p")))
+    # y._probe is never above y._ord; it stands here so that both sides have the same columns
+    earlier = F.col("x._probe") > F.greatest("y._ord", "y._probe")
+    return x.join(y, (F.col("x._rank") == F.col("y._rank")) & earlier & (
         F.least(n, m) * 100 >= F.greatest(n, m) * similarity) & (F.least(n - i, m - j) >= shared) & (apart <= n + m - 2 * shared)).select(
-        F.col("x._a").alias("_xa"), F.col("x._b").alias("_xb"), F.col("y._a").alias("_ya"), F.col("y._b").alias("_yb")).distinct()
+        F.col("x._ord").alias("_x"), F.col("y._ord").alias("_y")).distinct()
 
 
-def _matched(pairs: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
-    """(_a, _b) of the probes whose words are near enough to those of the class they met."""
-    side = lambda end: lines.select(F.col("_a").alias(f"_{end}a"), F.col("_b").alias(f"_{end}b"), F.col("_text").alias(f"_{end}text"))
-    full = pairs.join(side("x"), ["_xa", "_xb"]).join(side("y"), ["_ya", "_yb"]).withColumns(
+def _matched(pairs: DataFrame, sets: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
+    """(_ord) of the probes whose words are near enough to those of the class they met."""
+    name = lambda end: sets.select(F.col("_ord").alias(f"_{end}"), F.col("_a").alias(f"_{end}a"), F.col("_b").alias(f"_{end}b"))
+    text = lambda end: lines.select(F.col("_a").alias(f"_{end}a"), F.col("_b").alias(f"_{end}b"), F.col("_text").alias(f"_{end}text"))
+    # names first, so that texts travel once
+    named = pairs.join(name("x"), "_x").join(name("y"), "_y")
+    full = named.join(text("x"), ["_xa", "_xb"]).join(text("y"), ["_ya", "_yb"]).withColumns(
         {"_xset": _words(F.col("_xtext")), "_yset": _words(F.col("_ytext"))})
     both, sizes = F.size(F.array_intersect("_xset", "_yset")), F.size("_xset") + F.size("_yset")
-    return full.filter(both * 100 >= (sizes - both) * similarity).select(F.col("_xa").alias("_a"), F.col("_xb").alias("_b")).distinct()
+    return full.filter(both * 100 >= (sizes - both) * similarity).select(F.col("_x").alias("_ord")).distinct()
 
 
 #: Rarest words by which classes meet witnesses, and rounds of that.
-WITNESS_WORDS, WITNESS_ROUNDS = 4, 2
+WITNESS_WORDS, WITNESS_ROUNDS = 5, 1
 
 
-def _late_classes(classes: DataFrame, lines: DataFrame, similarity: int) -> list[tuple[DataFrame, str]]:
-    """Written tables (_a, _b) of the classes that match an earlier one: a table per witness round and one of the rest."""
+def _late_classes(classes: DataFrame, sets: DataFrame, lines: DataFrame, similarity: int) -> list[tuple[DataFrame, str]]:
+    """Written tables (_ord) of the classes that match an earlier one: a table per witness round and one of the rest."""
+    spark = classes.sparkSession
     found: list[tuple[DataFrame, str]] = []
-    unsettled = classes
     for step in range(WITNESS_ROUNDS + 1):
+        marked = classes.withColumn("_probe", F.col("_ord"))
+        if found:
+            settled = reduce(DataFrame.unionByName, [table for table, _ in found]).withColumn("_settled", F.lit(True))
+            marked = classes.join(settled, "_ord", "left").withColumn(
+                "_probe", F.when(F.col("_settled"), -1).otherwise(F.col("_ord"))).drop("_settled")
         if step < WITNESS_ROUNDS:
-            rows = _prefix_rows(unsettled, WITNESS_WORDS)
-            others = rows.groupBy("_rank").agg(F.min(F.struct("_ord", "_a", "_b", "_size", "_p", "_q")).alias("_w"), F.count("*").alias("_c")).filter(
-                "_c > 1").select("_rank", "_w.*")
+            rows = _prefix_rows(marked.filter("_probe >= 0"), WITNESS_WORDS)
+            others = rows.groupBy("_rank").agg(F.min(F.struct("_ord", "_size", "_p")).alias("_w"), F.count("*").alias("_c")).filter(
+                "_c > 1").select("_rank", "_w.*", F.col("_w._ord").alias("_probe"))
         else:
-            rows, others = _prefix_rows(unsettled), _prefix_rows(classes)
+            # settled classes stay in the one shuffle that both sides share; a probe of -1 meets nothing
+            rows = others = _prefix_rows(marked).repartition(F.col("_rank"))
         pairs, path = write_table(_candidates(rows, others, similarity), "line-pairs")
-        free_shuffles(classes.sparkSession)
-        found.append(write_table(_matched(pairs, lines, similarity), "late"))
-        drop_table(classes.sparkSession, path)
-        unsettled = unsettled.join(found[-1][0], ["_a", "_b"], "left_anti")
+        free_shuffles(spark)
+        found.append(write_table(_matched(pairs, sets, lines, similarity), "late"))
+        drop_table(spark, path)
+        free_shuffles(spark)
     return found
 
 
@@ -167,10 +177,10 @@ def removed_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         sets, sets_path = write_table(ranked.groupBy("_i", "_j").agg(F.min(F.struct("_first", "_a", "_b")).alias("_f")).select(
             "_i", "_j", "_f.*").repartitionByRange("_first").sortWithinPartitions("_first").withColumn(
             "_ord", F.monotonically_increasing_id()), "sets")
-        classes = ranked.drop("_first", "_i", "_j").join(sets.select("_a", "_b", "_ord"), ["_a", "_b"])
-        late = _late_classes(classes, lines, similarity)
+        classes = ranked.select("_a", "_b", "_n", "_p", "_prefix").join(sets.select("_a", "_b", "_ord"), ["_a", "_b"])
+        late = _late_classes(classes, sets, lines, similarity)
         every = reduce(DataFrame.unionByName, [table for table, _ in late]).withColumn("_late", F.lit(True))
-        judged = sets.join(every, ["_a", "_b"], "left").select("_i", "_j", "_first", "_late")
+        judged = sets.join(every, "_ord", "left").select("_i", "_j", "_first", "_late")
         known, _ = write_table(ranked.select("_a", "_b", "_i", "_j").join(judged, ["_i", "_j"]).drop("_i", "_j"), "known")
     finally:
         for name in names.values():
