@@ -35,10 +35,14 @@ SIMILARITY = 80
 LEVELS = 1 << 18
 
 
+def _cut(line: Column) -> Column:
+    """The words of a line, and empty strings; the usual line has only spaces between words."""
+    return F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
+
+
 def _words(line: Column) -> Column:
-    """The different words of a line; the usual line has only spaces between words."""
-    parts = F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
-    return F.array_remove(F.array_distinct(parts), "")
+    """The different words of a line."""
+    return F.array_remove(F.array_distinct(_cut(line)), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -53,73 +57,88 @@ def _least_shared(n: Column, similarity: int) -> Column:
     return F.ceil((n * similarity) / F.lit(100.0)).cast("int")
 
 
-def _bucket(word_hash: str) -> Column:
-    return F.pmod(F.col(word_hash), F.lit(LEVELS))
-
+def _levels(lines: DataFrame) -> bytes:
+    """Twice the binary logarithm of the number of words, one byte for each of the LEVELS hash buckets: 256 KiB at any size of the corpus.
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """A row per line and word: _a, _b, _first and the word's hash _h."""
-    return lines.select("_a", "_b", "_first", F.explode(_words(F.col("_text"))).alias("_word")).select(
-        "_a", "_b", "_first", F.xxhash64("_word").alias("_h"))
-
-
-def _levels(lines: DataFrame) -> DataFrame:
-    """(_bucket, _level): twice the binary logarithm of the number of words, for LEVELS hash buckets at most."""
-    return _hashed(lines).groupBy(_bucket("_h").alias("_bucket")).agg(
-        F.floor(2 * F.log2(F.count("*"))).cast("long").alias("_level"))
+    Words are counted with repeats, as they are cut; the table only fixes an order.
+    """
+    words = lines.select(F.explode(_cut(F.col("_text"))).alias("_word")).filter("_word <> ''")
+    counts = words.groupBy(F.pmod(F.xxhash64("_word"), F.lit(LEVELS)).alias("_bucket")).agg(
+        F.floor(2 * F.log2(F.count("*"))).cast("int").alias("_level"))
+    levels = bytearray(LEVELS)
+    for bucket, level in counts.toLocalIterator():
+        levels[bucket] = level
+    return bytes(levels)
 
 
-def _ranked(lines: DataFrame, levels: DataFrame, similarity: int) -> DataFrame:
+def _ranked(lines: DataFrame, levels: bytes, similarity: int) -> DataFrame:
     """A row per line with words: its number of words, two hashes of the set, a parity bitmap and its prefix.
 
-    Ranks are built row by row and word by word, and come together again in the partition the line is in.  The bitmap tells for
-    each of 64 places whether an odd number of words falls on it; a word in which two sets differ changes one place.
+    A row is ranked where it lies, without a shuffle or a sort of words.  The bitmap tells for each of 64 places whether an odd number of
+    words falls on it; a word in which two sets differ changes one place.
     """
     one = F.lit(1).cast("long")
-    bit = lambda shift: F.call_function("shiftleft", one, F.shiftrightunsigned("_h", shift).cast("int").bitwiseAND(F.lit(63)))
-    words = _hashed(lines).withColumn("_bucket", _bucket("_h")).join(F.broadcast(levels), "_bucket")
-    sets = words.groupBy("_a", "_b").agg(
-        F.min("_first").alias("_first"), F.count("*").cast("int").alias("_n"),
-        F.bit_xor(bit(57)).alias("_p"),
-        F.sort_array(F.collect_list(F.shiftleft("_level", 55).bitwiseOR(F.shiftrightunsigned("_h", 9)))).alias("_ranks"))
+
+    def rank(h: Column) -> Column:
+        at = F.pmod(h, F.lit(LEVELS)).cast("int") + 1
+        level = F.ascii(F.substring(F.lit(levels), at, F.lit(1)).cast("string")).cast("long")
+        return F.shiftleft(level, 55).bitwiseOR(F.shiftrightunsigned(h, 9))
+
+    def flip(bits: Column, h: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", one, F.shiftrightunsigned(h, 57).cast("int")
+                                               .bitwiseAND(F.lit(63))))
+
+    # the filter looks at the text, so that words are not cut once more for it
+    hashed = lines.filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]")).select(
+        "_a", "_b", "_first", F.transform(_words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h"))
+    sets = hashed.select(
+        "_a", "_b", "_first", F.size("_h").alias("_n"), F.aggregate("_h", F.lit(0).cast("long"), flip).alias("_p"),
+        F.sort_array(F.transform("_h", rank)).alias("_ranks"))
     prefix = F.slice("_ranks", F.lit(1), F.col("_n") - _least_shared(F.col("_n"), similarity) + 1)
     return sets.select("_a", "_b", "_first", "_n", "_p", F.xxhash64("_ranks").alias("_i"),
                        F.xxhash64(F.lit(1), F.reverse("_ranks")).alias("_j"), prefix.alias("_prefix"))
 
 
 def _prefix_rows(classes: DataFrame, first: int | None = None) -> DataFrame:
-    """A row per class and prefix word (the ``first`` rarest only): _rank, _ord, _probe, _size (words and place) and the bitmap."""
+    """A row per class and prefix word (the ``first`` rarest only): _rank, _ord, _size and the bitmap.
+
+    _size packs the number of words (upper half), whether the class is settled (bit 31) and the place of the word.
+    """
     prefix = F.col("_prefix") if first is None else F.slice("_prefix", 1, first)
-    rows = classes.select("_ord", "_probe", "_n", "_p", F.posexplode(prefix).alias("_at", "_rank")).select(
-        "_rank", "_ord", "_probe", F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.col("_at").cast("long")).alias("_size"), "_p")
+    head = F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("_settled").cast("long"), 31))
+    rows = classes.select("_ord", head.alias("_head"), "_p", F.posexplode(prefix).alias("_at", "_rank")).select(
+        "_rank", "_ord", F.col("_head").bitwiseOR(F.col("_at").cast("long")).alias("_size"), "_p")
     # nothing is null here; saying so keeps both sides of a self-join one shuffle
     return rows.select(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in rows.columns])
 
 
+#: The bit of _size that marks a settled class.
+SETTLED = 1 << 31
+
+
 def _candidates(probes: DataFrame, others: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (_x, _y) of a probe and an earlier class that share a word and pass all filters on hashes; _probe is -1 for a settled class."""
+    """Pairs (_x, _y) of a probe and an earlier class that share a word and pass all filters on hashes, with the words (_shared) they must share."""
     x, y = probes.alias("x"), others.alias("y")
     n, m = (F.shiftright(F.col(f"{r}._size"), 32).cast("int") for r in "xy")
-    i, j = (F.col(f"{r}._size").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for r in "xy")
+    i, j = (F.col(f"{r}._size").bitwiseAND(F.lit(SETTLED - 1)).cast("int") for r in "xy")
     shared = F.ceil((n + m) * F.lit(float(similarity)) / F.lit(100.0 + similarity)).cast("int")
     apart = F.bit_count(F.col("x._p").bitwiseXOR(F.col("y._p")))
-    # y._probe is never above y._ord; it stands here so that both sides have the same columns
-    earlier = F.col("x._probe") > F.greatest("y._ord", "y._probe")
+    # one comparison of both ends: a filter on x alone would be pushed below the shuffle, which both sides share
+    earlier = F.when(F.col("x._size").bitwiseAND(F.lit(SETTLED)) == 0, F.col("x._ord")).otherwise(-1) > F.col("y._ord")
     return x.join(y, (F.col("x._rank") == F.col("y._rank")) & earlier & (
         F.least(n, m) * 100 >= F.greatest(n, m) * similarity) & (F.least(n - i, m - j) >= shared) & (apart <= n + m - 2 * shared)).select(
-        F.col("x._ord").alias("_x"), F.col("y._ord").alias("_y")).distinct()
+        F.col("x._ord").alias("_x"), F.col("y._ord").alias("_y"), shared.alias("_shared")).distinct()
 
 
-def _matched(pairs: DataFrame, sets: DataFrame, lines: DataFrame, similarity: int) -> DataFrame:
-    """(_ord) of the probes whose words are near enough to those of the class they met."""
+def _matched(pairs: DataFrame, sets: DataFrame, lines: DataFrame) -> DataFrame:
+    """(_ord) of the probes that share as many words as they must with the class they met."""
     name = lambda end: sets.select(F.col("_ord").alias(f"_{end}"), F.col("_a").alias(f"_{end}a"), F.col("_b").alias(f"_{end}b"))
     text = lambda end: lines.select(F.col("_a").alias(f"_{end}a"), F.col("_b").alias(f"_{end}b"), F.col("_text").alias(f"_{end}text"))
     # names first, so that texts travel once
     named = pairs.join(name("x"), "_x").join(name("y"), "_y")
-    full = named.join(text("x"), ["_xa", "_xb"]).join(text("y"), ["_ya", "_yb"]).withColumns(
-        {"_xset": _words(F.col("_xtext")), "_yset": _words(F.col("_ytext"))})
-    both, sizes = F.size(F.array_intersect("_xset", "_yset")), F.size("_xset") + F.size("_yset")
-    return full.filter(both * 100 >= (sizes - both) * similarity).select(F.col("_x").alias("_ord")).distinct()
+    full = named.join(text("x"), ["_xa", "_xb"]).join(text("y"), ["_ya", "_yb"])
+    both = F.array_remove(F.array_intersect(_cut(F.col("_xtext")), _cut(F.col("_ytext"))), "")
+    return full.filter(F.size(both) >= F.col("_shared")).select(F.col("_x").alias("_ord")).distinct()
 
 
 #: Rarest words by which classes meet witnesses, and rounds of that.
@@ -131,21 +150,20 @@ def _late_classes(classes: DataFrame, sets: DataFrame, lines: DataFrame, similar
     spark = classes.sparkSession
     found: list[tuple[DataFrame, str]] = []
     for step in range(WITNESS_ROUNDS + 1):
-        marked = classes.withColumn("_probe", F.col("_ord"))
+        marked = classes.withColumn("_settled", F.lit(False))
         if found:
             settled = reduce(DataFrame.unionByName, [table for table, _ in found]).withColumn("_settled", F.lit(True))
-            marked = classes.join(settled, "_ord", "left").withColumn(
-                "_probe", F.when(F.col("_settled"), -1).otherwise(F.col("_ord"))).drop("_settled")
+            marked = classes.join(settled, "_ord", "left").withColumn("_settled", F.coalesce("_settled", F.lit(False)))
         if step < WITNESS_ROUNDS:
-            rows = _prefix_rows(marked.filter("_probe >= 0"), WITNESS_WORDS)
+            rows = _prefix_rows(marked.filter("NOT _settled"), WITNESS_WORDS)
             others = rows.groupBy("_rank").agg(F.min(F.struct("_ord", "_size", "_p")).alias("_w"), F.count("*").alias("_c")).filter(
-                "_c > 1").select("_rank", "_w.*", F.col("_w._ord").alias("_probe"))
+                "_c > 1").select("_rank", "_w.*")
         else:
-            # settled classes stay in the one shuffle that both sides share; a probe of -1 meets nothing
+            # settled classes stay in the one shuffle that both sides share; as probes they meet nothing
             rows = others = _prefix_rows(marked).repartition(F.col("_rank"))
         pairs, path = write_table(_candidates(rows, others, similarity), "line-pairs")
         free_shuffles(spark)
-        found.append(write_table(_matched(pairs, sets, lines, similarity), "late"))
+        found.append(write_table(_matched(pairs, sets, lines), "late"))
         drop_table(spark, path)
         free_shuffles(spark)
     return found
@@ -171,8 +189,7 @@ def removed_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     try:
         lines = bucketed(_lines(docs).groupBy("_a", "_b").agg(F.min(place).alias("_first"), F.min("_text").alias("_text")), "lines")
-        levels, levels_path = write_table(_levels(lines), "levels")
-        ranked = bucketed(_ranked(lines, levels, similarity), "ranked")
+        ranked = bucketed(_ranked(lines, _levels(lines), similarity), "ranked")
         # one class per set, numbered in the order of its first line
         sets, sets_path = write_table(ranked.groupBy("_i", "_j").agg(F.min(F.struct("_first", "_a", "_b")).alias("_f")).select(
             "_i", "_j", "_f.*").repartitionByRange("_first").sortWithinPartitions("_first").withColumn(
@@ -185,7 +202,7 @@ def removed_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     finally:
         for name in names.values():
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-    drop_table(spark, levels_path, sets_path, *paths.values(), *[path for _, path in late])
+    drop_table(spark, sets_path, *paths.values(), *[path for _, path in late])
     free_shuffles(spark)
     stays = F.col("_first").isNull() | (F.col("_late").isNull() & (place == F.col("_first")))
     marked = _lines(docs).drop("_text").join(known, ["_a", "_b"], "left").select(
