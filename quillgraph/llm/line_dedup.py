@@ -13,11 +13,12 @@ well makes no difference.
    enough words must be left behind it (positional filter).  A parity bitmap of 64 bits for each set bounds how many words differ.
 4. One earlier match is enough to drop a line, so a group of near copies need not be paired with itself.  First, classes meet
    witnesses only: for each of their rarest words the earliest class that has it.  A class with a match is settled.  Then the others meet all earlier classes, on all words of their prefix.
-5. The pairs left over are compared word by word.  The different lines are kept in a table bucketed by line, so fetching
+5. Wide parity bitmaps, made once for each class that is in a pair, bound the difference again; the pairs left over are compared word by word.  The different lines are kept in a table bucketed by line, so fetching
    their texts moves only the pairs.
 
 A line is named by two 64-bit hashes of its text, and a set by two of its ranks, so two lines of a corpus of n lines are mistaken for one
-with a probability of about n * n / 2 ** 128; whether lines are near is decided on their words.
+with a probability of about n * n / 2 ** 128; whether lines are near is decided on their words.  Two words of one line with equal 64-bit hashes
+would count as one.
 """
 
 from __future__ import annotations
@@ -40,9 +41,14 @@ def _cut(line: Column) -> Column:
     return F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
 
 
-def _words(line: Column) -> Column:
-    """The different words of a line."""
-    return F.array_remove(F.array_distinct(_cut(line)), "")
+def _hashes(line: Column) -> Column:
+    """Hashes of the different words of a line."""
+    return F.array_remove(F.array_distinct(F.transform(_cut(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _flag(place: Column) -> Column:
+    """A long with one bit set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -77,20 +83,19 @@ def _ranked(lines: DataFrame, levels: bytes, similarity: int) -> DataFrame:
     A row is ranked where it lies, without a shuffle or a sort of words.  The bitmap tells for each of 64 places whether an odd number of
     words falls on it; a word in which two sets differ changes one place.
     """
-    one = F.lit(1).cast("long")
+    # cast and split are folded into one constant array
+    level_of = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
     def rank(h: Column) -> Column:
-        at = F.pmod(h, F.lit(LEVELS)).cast("int") + 1
-        level = F.ascii(F.substring(F.lit(levels), at, F.lit(1)).cast("string")).cast("long")
+        level = F.get(level_of, F.pmod(h, F.lit(LEVELS)).cast("int"))
         return F.shiftleft(level, 55).bitwiseOR(F.shiftrightunsigned(h, 9))
 
     def flip(bits: Column, h: Column) -> Column:
-        return bits.bitwiseXOR(F.call_function("shiftleft", one, F.shiftrightunsigned(h, 57).cast("int")
-                                               .bitwiseAND(F.lit(63))))
+        return bits.bitwiseXOR(_flag(F.shiftrightunsigned(h, 57).bitwiseAND(F.lit(63))))
 
     # the filter looks at the text, so that words are not cut once more for it
     hashed = lines.filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]")).select(
-        "_a", "_b", "_first", F.transform(_words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h"))
+        "_a", "_b", "_first", _hashes(F.col("_text")).alias("_h"))
     sets = hashed.select(
         "_a", "_b", "_first", F.size("_h").alias("_n"), F.aggregate("_h", F.lit(0).cast("long"), flip).alias("_p"),
         F.sort_array(F.transform("_h", rank)).alias("_ranks"))
@@ -117,7 +122,8 @@ SETTLED = 1 << 31
 
 
 def _candidates(probes: DataFrame, others: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (_x, _y) of a probe and an earlier class that share a word and pass all filters on hashes, with the words (_shared) they must share."""
+    """Pairs (_x, _y) of a probe and an earlier class that share a word and pass all filters on hashes, with the words they must share
+    (_shared) and in which they may differ (_most)."""
     x, y = probes.alias("x"), others.alias("y")
     n, m = (F.shiftright(F.col(f"{r}._size"), 32).cast("int") for r in "xy")
     i, j = (F.col(f"{r}._size").bitwiseAND(F.lit(SETTLED - 1)).cast("int") for r in "xy")
@@ -127,7 +133,29 @@ def _candidates(probes: DataFrame, others: DataFrame, similarity: int) -> DataFr
     earlier = F.when(F.col("x._size").bitwiseAND(F.lit(SETTLED)) == 0, F.col("x._ord")).otherwise(-1) > F.col("y._ord")
     return x.join(y, (F.col("x._rank") == F.col("y._rank")) & earlier & (
         F.least(n, m) * 100 >= F.greatest(n, m) * similarity) & (F.least(n - i, m - j) >= shared) & (apart <= n + m - 2 * shared)).select(
-        F.col("x._ord").alias("_x"), F.col("y._ord").alias("_y"), shared.alias("_shared")).distinct()
+        F.col("x._ord").alias("_x"), F.col("y._ord").alias("_y"), shared.alias("_shared"),
+        (n + m - 2 * shared).alias("_most")).distinct()
+
+
+def _close(pairs: DataFrame, sets: DataFrame, lines: DataFrame) -> tuple[DataFrame, str]:
+    """The written pairs whose wide sketches differ in no more places than they may have different words.
+
+    The sketch is a parity bitmap of 512 places.  It is made once per class that is in a pair, so the texts of a class move nowhere here,
+    and a class in many pairs is cut into words once.
+    """
+    spark = pairs.sparkSession
+    ends = pairs.select(F.explode(F.array("_x", "_y")).alias("_ord")).distinct().join(sets.select("_ord", "_a", "_b"), "_ord")
+    words = ends.join(lines.select("_a", "_b", "_text"), ["_a", "_b"]).select("_ord", F.explode(_hashes(F.col("_text"))).alias("_h"))
+    slot, flag = F.shiftrightunsigned("_h", 61), _flag(F.shiftrightunsigned("_h", 55).bitwiseAND(F.lit(63)))
+    parts = [f"_s{i}" for i in range(8)]
+    made, path = write_table(words.select("_ord", slot.alias("_slot"), flag.alias("_flag")).groupBy("_ord").agg(
+        *[F.bit_xor(F.when(F.col("_slot") == i, F.col("_flag")).otherwise(0)).alias(c) for i, c in enumerate(parts)]), "sketches")
+    of = lambda end: made.select(F.col("_ord").alias(f"_{end}"), F.array(*parts).alias(f"_{end}s"))
+    both = pairs.join(of("x"), "_x").join(of("y"), "_y")
+    apart = reduce(Column.__add__, [F.bit_count(F.get("_xs", F.lit(i)).bitwiseXOR(F.get("_ys", F.lit(i)))) for i in range(8)])
+    kept = write_table(both.filter(apart <= F.col("_most")).select("_x", "_y", "_shared"), "close-pairs")
+    drop_table(spark, path)
+    return kept
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, lines: DataFrame) -> DataFrame:
@@ -163,8 +191,10 @@ def _late_classes(classes: DataFrame, sets: DataFrame, lines: DataFrame, similar
             rows = others = _prefix_rows(marked).repartition(F.col("_rank"))
         pairs, path = write_table(_candidates(rows, others, similarity), "line-pairs")
         free_shuffles(spark)
-        found.append(write_table(_matched(pairs, sets, lines), "late"))
-        drop_table(spark, path)
+        close, close_path = _close(pairs, sets, lines)
+        free_shuffles(spark)
+        found.append(write_table(_matched(close, sets, lines), "late"))
+        drop_table(spark, path, close_path)
         free_shuffles(spark)
     return found
 
