@@ -98,6 +98,10 @@ def _routed_search(s, d):
     return RT.routed_search(cut_lineage(_routed(s, d)), _chunks(s, d), cut_lineage(_rounds(s, d)))
 
 
+def _router_requests(s, d):
+    return RT.locate_requests(RT.start_router(_routed(s, d)), _chunks(s, d))
+
+
 def _tag_outputs(s, d):
     lab = X.table(s, d, "labels")
     return lab.select("doc_id", F.when(F.col("quality") == 1, F.lit(
@@ -162,6 +166,10 @@ QUERIES = {
     "router_locate_outcome": lambda s, d: _located(s, d)[1].withColumn("confidence", F.round("confidence", 6)),
     "routed_search": lambda s, d: _routed_search(s, d)[0].select("query_id", "rank", "id", "via"),
     "routed_search_outcome": lambda s, d: _routed_search(s, d)[1],
+    "router_requests": lambda s, d: _router_requests(s, d)[0],
+    "router_request_lists": lambda s, d: _router_requests(s, d)[1],
+    "router_validate_requests": lambda s, d: RT.validate_requests(RT.locate_step(
+        RT.start_router(_routed(s, d)), _chunks(s, d), _locate_raw(s, d))),
     "router_tags": lambda s, d: RT.parse_tags(_tag_outputs(s, d), X.table(s, d, "documents").select(
         "doc_id", F.col("text").alias("sample"))).select("doc_id", "category", F.array_join("tags", ",").alias("tags"), "description"),
 }
@@ -389,6 +397,13 @@ ORACLE = {
         round(CASE WHEN s > 0 THEN least(1.0, s * 0.4) WHEN n > 0 THEN 0.3 ELSE 0.0 END::DOUBLE, 6) AS confidence FROM routed r
         LEFT JOIN (SELECT query_id, count(*) AS n FROM loc GROUP BY 1) USING (query_id)
         LEFT JOIN (SELECT query_id, count(*) AS s FROM chosen_all GROUP BY 1) USING (query_id)""",
+    "router_requests": "WITH " + _LOC + """SELECT query_id, 1 AS round, 'locate' AS phase, category, query AS standalone_query,
+        CASE WHEN category IN (SELECT category FROM heads) THEN 'category:' || category ELSE 'query:' || query_id END AS list_id FROM routed""",
+    "router_request_lists": "WITH " + _LOC + """SELECT 'category:' || category AS list_id, position, heading_path FROM heads
+        WHERE category IN (SELECT category FROM routed) UNION ALL SELECT 'query:' || query_id, position, heading_path FROM pre""",
+    "router_validate_requests": "WITH " + _LOC + """SELECT l.query_id, 1 AS round, 'validate' AS phase, r.query AS standalone_query, l.rank,
+        coalesce(k.heading_path, '') AS heading_path, left(k.content, 300) AS content
+        FROM loc l JOIN routed r USING (query_id) JOIN chunks_t k ON k.id = l.id WHERE l.rank <= 8""",
     "router_tags": f"""SELECT d.doc_id, CASE WHEN quality = 1 THEN 'parameter' ELSE {X.sql_category('text')} END AS category,
         CASE WHEN quality = 1 THEN 'a,b,c,d,e' ELSE '' END AS tags, CASE WHEN quality = 1 THEN 'x' ELSE '' END AS description
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from dataclasses import dataclass, replace
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillgraph.functions import text as T, vocab as V
 from quillgraph.functions.text import strip
@@ -99,43 +101,121 @@ def locate(routed: DataFrame, chunks: DataFrame, decisions: DataFrame, limit: in
     return found, outcome
 
 
+@dataclass(frozen=True)
+class RouterState:
+    """Where a routed search stands: the questions still open, what was located for them, and the results so far.
+
+    ``found`` is set between locating and validating.  A step reads a state and returns the next one, so a step that is
+    repeated with the same answers gives the same state again.
+    """
+
+    round: int
+    open: DataFrame
+    found: DataFrame | None = None
+    hits: DataFrame | None = None
+    outcome: DataFrame | None = None
+
+
+def start_router(routed: DataFrame) -> RouterState:
+    return RouterState(1, cut_lineage(routed.select("query_id", "category", "standalone_query")))
+
+
+def locate_requests(state: RouterState, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests, lists): what to ask about the open questions, and the numbered headings to choose from.
+
+    A request (query_id, round, phase, category, standalone_query, list_id) names a list (list_id, position, heading_path).  Questions of a
+    category with headings share its list; any other has the prefiltered headings as a list of its own.
+    """
+    numbered = numbered_headings(chunks)
+    own = numbered.select("category").distinct().withColumn("_own", F.lit(True))
+    asked = state.open.join(own, "category", "left").select(
+        "query_id", F.lit(state.round).alias("round"), F.lit("locate").alias("phase"), "category", "standalone_query",
+        F.when(F.col("_own"), F.concat(F.lit("category:"), "category")).otherwise(F.concat(F.lit("query:"), "query_id")).alias("list_id"))
+    asked = cut_lineage(asked)
+    shared = numbered.select(F.concat(F.lit("category:"), "category").alias("list_id"), "position", "heading_path").join(
+        asked.select("list_id").distinct(), "list_id", "left_semi")
+    alone = asked.filter(F.col("list_id").startswith("query:")).select("query_id", F.col("standalone_query").alias("query"))
+    wide = prefilter_headings(alone, A.list_headings(chunks)).select(
+        F.concat(F.lit("query:"), "query_id").alias("list_id"), "position", "heading_path")
+    return asked, shared.unionByName(wide)
+
+
+def locate_step(state: RouterState, chunks: DataFrame, answers: DataFrame) -> RouterState:
+    """Apply the choices in ``answers`` (query_id, raw); a question without one is located by phrase search."""
+    return replace(state, found=cut_lineage(locate(state.open, chunks, answers)[0]))
+
+
+def validate_requests(state: RouterState, shown: int = 8, chars: int = 300) -> DataFrame:
+    """(query_id, round, phase, standalone_query, rank, heading_path, content): the first hits of each question that has any."""
+    return state.found.filter(F.col("rank") <= shown).join(state.open.select("query_id", "standalone_query"), "query_id").select(
+        "query_id", F.lit(state.round).alias("round"), F.lit("validate").alias("phase"), "standalone_query", "rank",
+        F.coalesce("heading_path", F.lit("")).alias("heading_path"),
+        F.substring(F.coalesce("content", F.lit("")), 1, chars).alias("content"))
+
+
+def validate_step(state: RouterState, chunks: DataFrame, answers: DataFrame, top_k: int = 5, max_rounds: int = 3) -> RouterState:
+    """Apply the verdicts in ``answers`` (query_id, raw): settled questions move to the results, the others are widened to general.
+
+    A verdict that cannot be read counts as valid.  A general question judged incomplete gets hits for what is missing and is settled.
+    """
+    found = state.found
+    has = found.select("query_id").distinct().withColumn("_has", F.lit(True))
+    verdict = answers.select("query_id", T.first_json_object("raw", "valid boolean, missing string").alias("v"))
+    judged = cut_lineage(state.open.join(has, "query_id", "left").join(verdict, "query_id", "left").select(
+        "query_id", "category", "standalone_query", F.coalesce("_has", F.lit(False)).alias("has"),
+        F.coalesce("v.valid", F.lit(True)).alias("valid"), F.coalesce("v.missing", F.lit("")).alias("missing")))
+    general, last = F.col("category") == "general", F.lit(state.round >= max_rounds)
+    supplement = F.col("has") & ~F.col("valid") & general & ~last
+    done = (F.col("has") & F.col("valid")) | (~F.col("has") & general) | supplement | last
+    final = judged.filter(done)
+    keep = found.join(final.select("query_id"), "query_id", "left_semi")
+    extra_q = judged.filter(supplement).select("query_id", F.when(
+        F.col("missing") != "", F.col("missing")).otherwise(F.col("standalone_query")).alias("query"))
+    size = found.groupBy("query_id").agg(F.max("rank").alias("_last"))
+    extra = S.search_text(chunks, extra_q, None, 10).join(size, "query_id").select(
+        "query_id", (F.col("rank") + F.col("_last")).cast("int").alias("rank"), "id", "heading_path", "content",
+        "category", F.lit("supplement").alias("via"))
+    hits = cut_lineage(keep.unionByName(extra).filter(F.col("rank") <= top_k))
+    outcome = final.select("query_id", F.when(~F.col("has") & last, F.lit("general")).otherwise(F.col("category")).alias("category"),
+                           F.lit(state.round).alias("attempts"), (F.col("has") & F.col("valid")).alias("validated"))
+    still = cut_lineage(judged.filter(~done).select("query_id", F.lit("general").alias("category"), "standalone_query"))
+    return RouterState(state.round + 1, still, None, hits if state.hits is None else state.hits.unionByName(hits),
+                       outcome if state.outcome is None else state.outcome.unionByName(outcome))
+
+
+_STATE_TABLES = ("open", "found", "hits", "outcome")
+
+
+def write_router_state(state: RouterState, path: str) -> None:
+    """Write the tables of a state below ``path``, a new folder per step; its number of rounds is written last and marks it complete."""
+    spark = state.open.sparkSession
+    for name in _STATE_TABLES:
+        if getattr(state, name) is not None:
+            getattr(state, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    spark.range(1).select(F.lit(state.round).alias("round"), *[
+        F.lit(getattr(state, name) is not None).alias(name) for name in _STATE_TABLES]).write.mode("overwrite").parquet(f"{path}/round")
+
+
+def read_router_state(spark: SparkSession, path: str) -> RouterState:
+    mark = spark.read.parquet(f"{path}/round").first()
+    return RouterState(mark["round"], *[spark.read.parquet(f"{path}/{name}") if mark[name] else None for name in _STATE_TABLES])
+
+
 def routed_search(routed: DataFrame, chunks: DataFrame, decisions: DataFrame, top_k: int = 5,
                   max_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Locate and validate in at most ``max_rounds`` rounds over the undecided questions.
+    """(hits, outcome) of all rounds where the answers are known beforehand.
 
-    ``decisions`` has (query_id, round, phase, raw) with phases ``locate`` and ``validate``.
+    ``decisions`` has (query_id, round, phase, raw) with phases ``locate`` and ``validate``.  With a model in between, take the steps above
+    one by one: requests out, answers in.
     """
-    open_q = cut_lineage(routed.select("query_id", "category", "standalone_query"))
-    hits_out, state_out = None, None
-    for rnd in range(1, max_rounds + 1):
-        at = lambda phase: decisions.filter((F.col("round") == rnd) & (F.col("phase") == phase)).select("query_id", "raw")
-        found, _ = locate(open_q, chunks, at("locate"))
-        found = cut_lineage(found)
-        has = found.select("query_id").distinct().withColumn("_has", F.lit(True))
-        verdict = at("validate").select("query_id", T.first_json_object("raw", "valid boolean, missing string").alias("v"))
-        state = cut_lineage(open_q.join(has, "query_id", "left").join(verdict, "query_id", "left").select(
-            "query_id", "category", "standalone_query", F.coalesce("_has", F.lit(False)).alias("has"),
-            F.coalesce("v.valid", F.lit(True)).alias("valid"), F.coalesce("v.missing", F.lit("")).alias("missing")))
-        general, last = F.col("category") == "general", F.lit(rnd == max_rounds)
-        supplement = F.col("has") & ~F.col("valid") & general & ~last
-        done = (F.col("has") & F.col("valid")) | (~F.col("has") & general) | supplement | last
-        final = state.filter(done)
-        keep = found.join(final.select("query_id"), "query_id", "left_semi")
-        extra_q = state.filter(supplement).select("query_id", F.when(
-            F.col("missing") != "", F.col("missing")).otherwise(F.col("standalone_query")).alias("query"))
-        size = found.groupBy("query_id").agg(F.max("rank").alias("_last"))
-        extra = S.search_text(chunks, extra_q, None, 10).join(size, "query_id").select(
-            "query_id", (F.col("rank") + F.col("_last")).cast("int").alias("rank"), "id", "heading_path", "content",
-            "category", F.lit("supplement").alias("via"))
-        part = cut_lineage(keep.unionByName(extra).filter(F.col("rank") <= top_k))
-        outcome = final.select("query_id", F.when(~F.col("has") & last, F.lit("general")).otherwise(F.col("category")).alias("category"),
-                               F.lit(rnd).alias("attempts"), (F.col("has") & F.col("valid")).alias("validated"))
-        hits_out = part if hits_out is None else hits_out.unionByName(part)
-        state_out = outcome if state_out is None else state_out.unionByName(outcome)
-        open_q = cut_lineage(state.filter(~done).select("query_id", F.lit("general").alias("category"), "standalone_query"))
-        if open_q.isEmpty():
+    state = start_router(routed)
+    while state.round <= max_rounds:
+        at = lambda phase: decisions.filter((F.col("round") == state.round) & (F.col("phase") == phase)).select("query_id", "raw")
+        state = locate_step(state, chunks, at("locate"))
+        state = validate_step(state, chunks, at("validate"), top_k, max_rounds)
+        if state.open.isEmpty():
             break
-    return hits_out, state_out
+    return state.hits, state.outcome
 
 
 def parse_tags(outputs: DataFrame, samples: DataFrame) -> DataFrame:

@@ -267,6 +267,42 @@ def test_routed_search_rounds(spark):
                   "text": [("g1", "text")], "stub": [("p1", "text")]}
 
 
+def test_router_steps_resume_from_written_state(spark, tmp_path):
+    from quillgraph.plans import router as RT
+    chunks = spark.createDataFrame(
+        [("p1", "proc one", "P", "process", 1), ("g1", "gen " + "x" * 400, "G", "general", 2), ("g2", "gen two", "G > H", "general", 3)],
+        "id string, content string, heading_path string, category string, seq bigint")
+    routed = spark.createDataFrame([("a", "process", "x"), ("b", "parameter", "see h"), ("c", "process", "zzz")],
+                                   "query_id string, category string, standalone_query string")
+    answers = lambda *rows: spark.createDataFrame(list(rows), "query_id string, raw string")
+    state = RT.start_router(routed)
+    requests, lists = RT.locate_requests(state, chunks)
+    assert {(r["query_id"], r["round"], r["list_id"]) for r in requests.collect()} == {
+        ("a", 1, "category:process"), ("b", 1, "query:b"), ("c", 1, "category:process")}
+    offered = {}
+    for r in lists.orderBy("list_id", "position").collect():
+        offered.setdefault(r["list_id"], []).append((r["position"], r["heading_path"]))
+    assert offered == {"category:process": [(1, "P")], "query:b": [(1, "G"), (2, "G > H"), (3, "P")]}
+    located = RT.locate_step(state, chunks, answers(("a", '{"indices": [1]}'), ("c", "no")))
+    RT.write_router_state(located, str(tmp_path / "located"))
+    again = RT.read_router_state(spark, str(tmp_path / "located"))
+    assert again.round == 1 and again.hits is None
+    asked = RT.validate_requests(again).collect()
+    assert [(r["query_id"], r["rank"], r["heading_path"], r["content"]) for r in asked] == [("a", 1, "P", "proc one")]
+    verdicts = answers(("a", '{"valid": false}'))
+    steps = [RT.validate_step(at, chunks, verdicts) for at in (located, again, again)]
+    for step in steps:
+        assert step.round == 2 and step.found is None and step.hits.count() == 0
+        assert {(r["query_id"], r["category"]) for r in step.open.collect()} == {("a", "general"), ("b", "general"), ("c", "general")}
+    second = RT.locate_step(steps[1], chunks, answers(("a", '{"indices": [1]}')))
+    assert all(len(r["content"]) <= 300 for r in RT.validate_requests(second).collect())
+    RT.write_router_state(second, str(tmp_path / "second"))
+    last = RT.validate_step(RT.read_router_state(spark, str(tmp_path / "second")), chunks, answers(("a", "unreadable")))
+    assert last.open.isEmpty() and [(r["id"], r["rank"]) for r in last.hits.orderBy("rank").collect()] == [("g1", 1), ("g2", 2)]
+    assert {(r["query_id"], r["attempts"], r["validated"]) for r in last.outcome.collect()} == {
+        ("a", 2, True), ("b", 2, False), ("c", 2, False)}
+
+
 def test_tags_and_routes(spark):
     from quillgraph.plans import router as RT
     q = spark.createDataFrame([("a", "x api", "x api"), ("b", "y", "y"), ("c", "z", "z")], "query_id string, query string, condensed string")
