@@ -6,8 +6,9 @@ log(trusted / raw), so it doesn't depend on length.  Every document whose score
 drawn at random.  The threshold lies ``MARGIN`` below the score that all but ``TAIL`` of the trusted
 documents reach when their own n-grams are left out of the target.
 
-Counting and scoring each read the table once, without a shuffle of texts: trusted ids are few enough to be sent
-to every task (their number is bounded), a task returns one row per bucket, and the model is an array of BUCKETS numbers.
+Counting and scoring each read the table once, without a shuffle of texts.  The texts of all trusted documents are written
+once by a semi-join on their ids, for which Spark moves texts only when the ids are too many to be sent to every task.  A task
+returns one row per bucket, and the model is an array of BUCKETS numbers.
 """
 
 from __future__ import annotations
@@ -20,11 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillgraph.llm.bytewords import Piece, joined, pieces
-from quillgraph.llm.common import STEP, WORD, map_rows
+from quillgraph.llm.common import STEP, WORD, drop_table, map_rows, write_table
 
 BUCKETS = 10_000
-#: Trusted documents the target is fitted on: those with the smallest hash of their id, when there are more.
-MOST_TRUSTED = 100_000
 #: Weight of the raw distribution in the trusted one, in n-grams.
 PRIOR = 10_000.0
 TAIL, MARGIN = 0.001, 0.03
@@ -82,36 +81,27 @@ def _grams(p: Piece, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return one, two, doc[:-1] == doc[1:] if len(doc) > 1 else np.zeros(len(two), bool)
 
 
-def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, trusted): n-grams of all documents and of those whose doc_id is in ``trusted``, a bounded table."""
-    flagged = docs.select("doc_id", "text").join(
-        F.broadcast(trusted.select("doc_id", F.lit(True).alias("_trusted"))), "doc_id", "left")
-
+def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, n): n-grams of all texts of ``docs``, a bounded table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        found = np.zeros(buckets, np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, STEP):
-                part = batch.slice(start, STEP)
-                flags = np.array([bool(x) for x in part.column(1).to_pylist()])
-                for p in pieces(part.column(0).to_pylist()):
+                for p in pieces(batch.slice(start, STEP).column(0).to_pylist()):
                     one, two, inside = _grams(p, buckets)
-                    raw += np.bincount(one, minlength=buckets) + np.bincount(two[inside], minlength=buckets)
-                    mine = np.repeat(flags[p.first:p.first + len(p.texts)], np.diff(p.at))
-                    good += np.bincount(one[mine], minlength=buckets) + np.bincount(
-                        two[inside & mine[:-1]] if len(mine) else two, minlength=buckets)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "trusted"])
+                    found += np.bincount(one, minlength=buckets) + np.bincount(two[inside], minlength=buckets)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["bucket", "n"])
 
-    return flagged.select("text", "_trusted").mapInArrow(run, "bucket long, raw long, trusted long").groupBy("bucket").agg(
-        F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    return docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def collected(counts: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Raw and trusted counts as arrays, from at most ``buckets`` rows."""
-    raw, good = np.zeros(buckets), np.zeros(buckets)
+def collected(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Counts as an array, from at most ``buckets`` rows."""
+    found = np.zeros(buckets)
     for row in counts.collect():
-        raw[row["bucket"]], good[row["bucket"]] = row["raw"], row["trusted"]
-    return raw, good
+        found[row["bucket"]] = row["n"]
+    return found
 
 
 def bucket_weights(raw: np.ndarray, good: np.ndarray, prior: float = PRIOR) -> np.ndarray:
@@ -145,21 +135,23 @@ def held_out_scores(p: Piece, raw: np.ndarray, good: np.ndarray, prior: float) -
     return out
 
 
-def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """At most ``most`` ids of documents labelled as good, those with the smallest hash."""
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled as good."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, tail: float = TAIL,
-        margin: float = MARGIN, most_trusted: int = MOST_TRUSTED) -> tuple[np.ndarray, float]:
+        margin: float = MARGIN) -> tuple[np.ndarray, float]:
     """Bucket weights and threshold.  Without trusted documents every score is 0 and the threshold below it."""
-    trusted = trusted_ids(labels, most_trusted)
-    raw, good = collected(gram_counts(docs, trusted, buckets), buckets)
-    weights = bucket_weights(raw, good, prior)
+    trusted, ids_path = write_table(trusted_ids(labels), "trusted")
+    mine, texts_path = write_table(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi").select("text"), "trusted_texts")
+    drop_table(docs.sparkSession, ids_path)
+    good = collected(gram_counts(mine, buckets), buckets)
     if not good.sum():
-        return weights, -margin
-    mine = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi")
+        drop_table(docs.sparkSession, texts_path)
+        return np.zeros(buckets), -margin
+    raw = collected(gram_counts(docs, buckets), buckets)
+    weights = bucket_weights(raw, good, prior)
 
     def scored(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"n_words": [], "score": []}
@@ -170,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float
 
     low = map_rows(mine, ["text"], "n_words long, score double", scored).filter(
         F.col("n_words") >= LEAST_WORDS).agg(F.percentile_approx("score", F.lit(tail), F.lit(10_000))).first()[0]
+    drop_table(docs.sparkSession, texts_path)
     return weights, (low if low is not None else 0.0) - margin
 
 

@@ -103,3 +103,8 @@ def test_odd_rows(spark, make, odd_rows):
 def test_no_trusted_documents(spark, make):
     got = quality.quality_rules(make(corpus()), labels_of(spark, [])).collect()
     assert all(r["kept"] and r["score"] == 0 for r in got)
+
+
+def test_every_trusted_document_counts(spark):
+    labels = spark.range(100_100).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted_ids(labels).count() == 100_100
