@@ -189,6 +189,17 @@ def test_blocks_cover_all_questions_and_texts(spark, monkeypatch):
         assert {r["query_id"]: r["id"] for r in S.find_nodes(q, nodes, 1).collect()} == want
 
 
+def test_score_counts_add_up_the_list_of_scores(spark, monkeypatch):
+    nodes = nodes_of(spark, ["network guide"] * 5 + ["config port", "nothing", "api setup", "mtu 参数"])
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(["network guide", "configration", "zz qq", "参数", "", "p", "port port api"])],
+                              "query_id bigint, query string")
+    want = {(r["query_id"], r["score"]): r["count"] for r in S.score_nodes(q, nodes).groupBy("query_id", "score").count().collect()}
+    for texts, part in ((2, 2_048), (16_384, 3)):
+        monkeypatch.setattr(M, "TEXT_BLOCK", texts)
+        monkeypatch.setattr(M, "PART", part)
+        assert {(r["query_id"], r["score"]): r["n"] for r in S.score_counts(q, nodes).collect()} == want
+
+
 def test_nodes_of_one_text_share_its_score(spark):
     nodes = nodes_of(spark, ["same"] * 30 + ["other same", "nothing"])
     q = spark.createDataFrame([(1, "same"), (2, "zzz"), (3, "")], "query_id bigint, query string")
