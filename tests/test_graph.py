@@ -200,6 +200,30 @@ def test_score_counts_add_up_the_list_of_scores(spark, monkeypatch):
         assert {(r["query_id"], r["score"]): r["n"] for r in S.score_counts(q, nodes).collect()} == want
 
 
+def test_similar_strings_are_all_found(spark):
+    rnd = random.Random(5)
+    strings = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(2, 9))) for _ in range(260)} | {"configuration", "configration", "工控机IP", "工控IP"}
+    terms, tokens = sorted(strings)[::2], sorted(strings)
+    found = M.similar_strings(spark.createDataFrame([(t,) for t in terms], "term string"),
+                              spark.createDataFrame([(t,) for t in tokens], "token string"), 0.7).collect()
+    pairs = spark.createDataFrame([(a, b) for a in terms for b in tokens], "term string, token string")
+    alike = 1.0 - F.levenshtein("term", "token") / F.greatest(F.length("term"), F.length("token"))
+    want = pairs.withColumn("similarity", alike).filter("similarity >= 0.7").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, want)) and len(want) > len(terms)
+
+
+def test_fuzzy_counts_add_up_the_list_of_scores(spark, monkeypatch):
+    nodes = nodes_of(spark, ["network guide"] * 5 + ["config port", "nothing", "api setup", "netwerk configuration 参数", "portt"])
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(["network guide", "configration", "zz qq", "参数", "", "p", "port port api"])],
+                              "query_id bigint, query string")
+    listed = S.fuzzy_scores(q, nodes).groupBy("query_id").agg(F.count("*").alias("n"), F.max("similarity").alias("best")).collect()
+    assert {r["query_id"] for r in listed} == {0, 1, 3, 6}
+    for texts, part in ((2, 2_048), (16_384, 3)):
+        monkeypatch.setattr(M, "TEXT_BLOCK", texts)
+        monkeypatch.setattr(M, "PART", part)
+        assert sorted(map(tuple, S.fuzzy_counts(q, nodes).collect())) == sorted(map(tuple, listed))
+
+
 def test_nodes_of_one_text_share_its_score(spark):
     nodes = nodes_of(spark, ["same"] * 30 + ["other same", "nothing"])
     q = spark.createDataFrame([(1, "same"), (2, "zzz"), (3, "")], "query_id bigint, query string")
