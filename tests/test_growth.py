@@ -22,3 +22,18 @@ def test_half_sweep_reads_edges_of_movers_only(spark):
     assert moved and moved <= movers and step.count() == 21
     now = step.select("id", "community_id", "k")
     assert abs(TR._state_modularity(edges, now, 40.0) - TR.modularity(edges, now).first()[0]) < 1e-12
+
+
+def test_bfs_makes_neighbours_once(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "src string, dst string").withColumn("weight", F.lit(1.0))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    counted = edges.coalesce(1).mapInArrow(count, edges.schema)
+    starts = spark.createDataFrame([("q", "n0")], "query_id string, id string")
+    visited, _ = TR.bfs(counted, starts, 4)
+    assert sorted((r["id"], r["depth"]) for r in visited.collect()) == [(f"n{i}", i) for i in range(5)]
+    assert seen.value == 9
