@@ -90,7 +90,7 @@ def locate(routed: DataFrame, chunks: DataFrame, decisions: DataFrame, limit: in
     hits = hits_by_headings(chosen.join(routed.select("query_id", F.col("category").alias("_want")), "query_id"), chunks)
     hits = hits.filter(F.col("category") == F.col("_want")).drop("_want")
     rest = routed.join(chosen.select("query_id").distinct(), "query_id", "left_anti")
-    text = S.search_text(chunks, rest.select("query_id", F.col("standalone_query").alias("query")), None, limit)
+    text = cut_lineage(S.search_text(chunks, rest.select("query_id", F.col("standalone_query").alias("query")), None, limit))
     common = ["query_id", "rank", "id", "heading_path", "content", "category"]
     found = hits.select(*common, F.lit("heading").alias("via")).unionByName(text.select(*common, F.lit("text").alias("via")))
     n_sel = chosen.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -140,9 +140,17 @@ def locate_requests(state: RouterState, chunks: DataFrame) -> tuple[DataFrame, D
     return asked, shared.unionByName(wide)
 
 
-def locate_step(state: RouterState, chunks: DataFrame, answers: DataFrame) -> RouterState:
-    """Apply the choices in ``answers`` (query_id, raw); a question without one is located by phrase search."""
-    return replace(state, found=cut_lineage(locate(state.open, chunks, answers)[0]))
+def locate_step(state: RouterState, chunks: DataFrame, answers: DataFrame, read: int | None = None) -> RouterState:
+    """Apply the choices in ``answers`` (query_id, raw); a question without one is located by phrase search.
+
+    If no later step reads ranks above ``read``, only these are written, and the last row of each question, which says that it has
+    hits and where a supplement starts.
+    """
+    found = locate(state.open, chunks, answers)[0]
+    if read is not None:
+        last = cut_lineage(found.groupBy("query_id").agg(F.max("rank").alias("_last")))
+        found = found.join(last, "query_id").filter((F.col("rank") <= read) | (F.col("rank") == F.col("_last"))).drop("_last")
+    return replace(state, found=cut_lineage(found))
 
 
 def validate_requests(state: RouterState, shown: int = 8, chars: int = 300) -> DataFrame:
@@ -211,7 +219,7 @@ def routed_search(routed: DataFrame, chunks: DataFrame, decisions: DataFrame, to
     state = start_router(routed)
     while state.round <= max_rounds:
         at = lambda phase: decisions.filter((F.col("round") == state.round) & (F.col("phase") == phase)).select("query_id", "raw")
-        state = locate_step(state, chunks, at("locate"))
+        state = locate_step(state, chunks, at("locate"), top_k)
         state = validate_step(state, chunks, at("validate"), top_k, max_rounds)
         if state.open.isEmpty():
             break

@@ -114,19 +114,22 @@ def hits_by_headings(selected: DataFrame, chunks: DataFrame, category: str | Non
     """Chunks below each selected heading path, in selection order.
 
     Selected prefixes meet the distinct paths, which are spelled out from their first character on, by an equi-join; chunks are
-    attached last, by their whole path, so no chunk is copied per prefix.  Ranks come from range partitions, so one question
-    with very many chunks does not stay in one task.
+    attached last, by their whole path, so no chunk is copied per prefix.  A chunk's rank is the number of chunks on the paths
+    before its own and its position on its path, which is the same for every question; both come from range partitions, so
+    neither a question nor a path with very many chunks stays in one task.
     """
     rows = chunks if category is None else chunks.filter(F.col("category") == category)
     sel = cut_lineage(selected.withColumn("_p", T.ascii_lower("selected_path")))
-    paths = cut_lineage(rows.select("heading_path").filter("heading_path is not null").distinct())
+    paths = cut_lineage(rows.select("heading_path").filter("heading_path is not null").groupBy("heading_path").agg(F.count("*").alias("_size")))
     low = T.ascii_lower("heading_path")
-    spelled = paths.select("heading_path", F.explode(F.sequence(F.lit(0), F.length("heading_path"))).alias("_n")).select(
-        "heading_path", F.substring(low, F.lit(1), F.col("_n")).alias("_p"))
+    spelled = paths.select("heading_path", "_size", F.explode(F.sequence(F.lit(0), F.length("heading_path"))).alias("_n")).select(
+        "heading_path", "_size", F.substring(low, F.lit(1), F.col("_n")).alias("_p"))
     below = spelled.join(sel.select("_p").distinct(), "_p", "left_semi")
-    found = sel.join(below, "_p").drop("_p").join(rows, "heading_path")
-    return position_in_group(found, ["query_id"], ["sel_no", "heading_path", "seq"], "rank").withColumn(
-        "rank", (F.col("rank") + 1).cast("int"))
+    blocks = position_in_group(sel.join(below, "_p").drop("_p"), ["query_id"], ["sel_no", "heading_path", "selected_path"], "_before", "_size")
+    used = rows.join(blocks.select("heading_path").distinct(), "heading_path", "left_semi")
+    placed = position_in_group(used, ["heading_path"], ["seq"], "_at")
+    return blocks.drop("_size").join(placed, "heading_path").withColumn(
+        "rank", (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_before", "_at")
 
 
 def resolve_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:

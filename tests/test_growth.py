@@ -37,3 +37,44 @@ def test_bfs_makes_neighbours_once(spark):
     visited, _ = TR.bfs(counted, starts, 4)
     assert sorted((r["id"], r["depth"]) for r in visited.collect()) == [(f"n{i}", i) for i in range(5)]
     assert seen.value == 9
+
+
+def test_heading_hits_place_chunks_once_for_all_questions(spark, monkeypatch):
+    from quillgraph.plans import search as P
+    placed = []
+    inner = P.position_in_group
+
+    def counted(df, *args, **kwargs):
+        placed.append(df.count())
+        return inner(df, *args, **kwargs)
+    monkeypatch.setattr(P, "position_in_group", counted)
+    paths = ["a", "a > x", "a > y", "b"]
+    chunks = [(f"c{i}", paths[i % 4], i) for i in range(40)]
+    sel = [(f"q{k}", n, p) for k in range(9) for n, p in enumerate(["A >", "b"][::1 - 2 * (k % 2)])]
+    got = P.hits_by_headings(spark.createDataFrame(sel, "query_id string, sel_no int, selected_path string"),
+                             spark.createDataFrame(chunks, "id string, heading_path string, seq long"))
+    want = set()
+    for q in {s[0] for s in sel}:
+        rows = [c for s in sel if s[0] == q for c in sorted(
+            (c for c in chunks if c[1].startswith(s[2].lower())), key=lambda c: (c[1], c[2]))]
+        want |= {(q, r, c[0]) for r, c in enumerate(rows, 1)}
+    assert {(r["query_id"], r["rank"], r["id"]) for r in got.collect()} == want and len(want) == 9 * 30
+    assert sum(placed) <= len(chunks) + 3 * 9
+
+
+def test_located_rows_end_where_no_step_reads_them(spark, monkeypatch):
+    from quillgraph.plans import router as RT
+    chunks = spark.createDataFrame(
+        [(f"c{i:02d}", "general" if i in (2, 30) else "process", "a", f"the text {i}", i) for i in range(40)],
+        "id string, category string, heading_path string, content string, seq long")
+    routed = spark.createDataFrame([("q1", "general", "none of it"), ("q2", "process", "none of it")],
+                                   "query_id string, category string, standalone_query string")
+    answers = [(q, n, phase, raw) for q in ("q1", "q2") for n in (1, 2, 3) for phase, raw in (
+        ("locate", '{"indices": [1]}'), ("validate", '{"valid": false, "missing": "the"}'))]
+    decisions = spark.createDataFrame(answers, "query_id string, round int, phase string, raw string")
+    short = [sorted(map(tuple, df.collect())) for df in RT.routed_search(routed, chunks, decisions)]
+    step = RT.locate_step
+    state = RT.start_router(routed)
+    assert step(state, chunks, decisions.filter("round = 1 and phase = 'locate'").select("query_id", "raw"), 5).found.count() == 3 + 5 - 1
+    monkeypatch.setattr(RT, "locate_step", lambda s, c, a, read=None: step(s, c, a))
+    assert short == [sorted(map(tuple, df.collect())) for df in RT.routed_search(routed, chunks, decisions)]
