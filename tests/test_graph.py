@@ -189,6 +189,26 @@ def test_blocks_cover_all_questions_and_texts(spark, monkeypatch):
         assert {r["query_id"]: r["id"] for r in S.find_nodes(q, nodes, 1).collect()} == want
 
 
+def test_best_pairs_need_only_terms_and_are_those_of_the_whole_list(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = ["net", "network", "port", "po", "guide", "api", "参数", "mtu", "x1"]
+    texts = [(0, n, " ".join(rnd.choices(words, k=rnd.randrange(1, 4))), rnd.choice(["", "net", "guide"]), "general",
+              rnd.choice([0.0, 0.25, 1.5]), rnd.choice([0.0, 0.5]), 100 - n) for n in range(40)]
+    asked = [(0, q, rnd.sample(words + ["zz qq", "tw", "epo"], 3)) for q in range(11)]
+    t = spark.createDataFrame(texts, "group_id int, text_id bigint, label string, heading string, category string, bonus_a double, bonus_b double, seq bigint")
+    q = spark.createDataFrame(asked, "group_id int, query_id bigint, terms array<string>")
+    for name, size in (("TEXT_BLOCK", 17), ("QUESTION_BLOCK", 6), ("SLICE", 4), ("PART", 5)):
+        monkeypatch.setattr(M, name, size)
+    for factor, every in ((1.0, False), (2.0, True)):
+        listed = M.score_in_groups(q, t, None, factor, every).collect()
+        assert {(r["query_id"], r["text_id"]): r["relevance"] for r in listed} == {
+            (a[1], b[1]): score for a in asked for b in texts if (score := models.node_score(a[2], b[2], b[3], b[4])) > 0 or every}
+        place = lambda r: (-(r["relevance"] * factor + texts[r["text_id"]][5] + texts[r["text_id"]][6]), texts[r["text_id"]][7])
+        first = lambda rows, n: sorted((r for r in rows if r["query_id"] == n), key=place)[:3]
+        best = M.score_in_groups(q, t, 3, factor, every).collect()
+        assert all([tuple(r) for r in first(best, a[1])] == [tuple(r) for r in first(listed, a[1])] for a in asked)
+
+
 def test_score_counts_add_up_the_list_of_scores(spark, monkeypatch):
     nodes = nodes_of(spark, ["network guide"] * 5 + ["config port", "nothing", "api setup", "mtu 参数"])
     q = spark.createDataFrame([(i, x) for i, x in enumerate(["network guide", "configration", "zz qq", "参数", "", "p", "port port api"])],
