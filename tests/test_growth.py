@@ -78,3 +78,18 @@ def test_located_rows_end_where_no_step_reads_them(spark, monkeypatch):
     assert step(state, chunks, decisions.filter("round = 1 and phase = 'locate'").select("query_id", "raw"), 5).found.count() == 3 + 5 - 1
     monkeypatch.setattr(RT, "locate_step", lambda s, c, a, read=None: step(s, c, a))
     assert short == [sorted(map(tuple, df.collect())) for df in RT.routed_search(routed, chunks, decisions)]
+
+
+def test_node_queries_cut_documents_into_lines_once(spark, monkeypatch):
+    from quillgraph.catalog import adapters as X, search
+    from quillgraph.operators import scoring as S
+    for name in ("find_nodes", "score_nodes", "fuzzy_scores"):
+        made = []
+        whole = X.chunks_t
+        monkeypatch.setattr(X, "chunks_t", lambda s, d: made.append(whole(s, d)) or made[-1])
+        texts = []
+        inner = S.distinct_texts if name == "find_nodes" else S.counted_texts
+        monkeypatch.setattr(S, inner.__name__, lambda nodes: texts.append(nodes) or inner(nodes))
+        search.QUERIES[name](spark, "/root/testdata/sf0.001")
+        monkeypatch.undo()
+        assert len(made) == 1 and not any("documents.parquet" in f for f in texts[0].inputFiles()), name
