@@ -15,9 +15,9 @@ from quillgraph.sources import chunk_json as J, files as FS
 AT = "2024-01-01T00:00:00"
 
 
-def _lines(s, d):
+def _lines(s, d, chunks=None):
     """Document lines as the chunks of one file per document."""
-    c = X.chunks_t(s, d)
+    c = X.chunks_t(s, d) if chunks is None else chunks
     return c.select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_file"), "source_type",
         F.col("id").alias("chunk_id"), "anchor_id", "content", F.col("content").alias("display_content"),
@@ -28,21 +28,26 @@ def _lines(s, d):
 
 def _files(s, d, variant, lines=None):
     """Review documents put together per document."""
-    pieces = R.render_review_markdown(_lines(s, d) if lines is None else lines, AT, variant)
+    pieces = R.render_review_markdown(_lines(s, d, cut_lineage(X.chunks_t(s, d))) if lines is None else lines, AT, variant)
     return pieces.groupBy(F.col("source_file").alias("file")).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("piece", "markdown"))), lambda p: p["markdown"]), "\n").alias("text"))
 
 
-def _careless(s, d):
+def _careless(lines):
     """Lines after edits that a round trip must notice: every second French line altered, the last line of Spanish documents lost."""
-    lines = _lines(s, d)
-    last = lines.groupBy("doc_id").agg(F.max("seq").alias("_last"))
+    lost = cut_lineage(lines.filter("lang = 'es'").groupBy("doc_id").agg(F.max("seq").alias("seq")))
     altered = (F.col("lang") == "fr") & (F.col("page") % 2 == 0)
-    return lines.join(last, "doc_id").filter((F.col("lang") != "es") | (F.col("seq") < F.col("_last"))).drop("_last").withColumn(
+    return lines.join(lost, ["doc_id", "seq"], "left_anti").withColumn(
         "content", F.when(altered, F.concat("content", F.lit(" (edited)"))).otherwise(F.col("content"))).withColumn(
         "display_content", F.col("content"))
 
 
+def _roundtrip(s, d):
+    lines = _lines(s, d, cut_lineage(X.chunks_t(s, d)))
+    return R.roundtrip_check(*(R.parse_review_text(_files(s, d, variant, rows)) for variant, rows in (
+        ("edit", lines), ("export", _careless(lines)))))
+
+
 def _review_rows(s, d):
     """Parsed rows after hand edits: French lines rewritten, German ones without their id."""
     base = CV.position_in_group(_lines(s, d), ["source_file"], ["seq"], "ordinal")
@@ -140,8 +145,7 @@ QUERIES = {
         "source_file", "source_type", "ordinal", "chunk_no", "chunk_id", "page", "stored", "block_type", "content"),
     "merge_review": lambda s, d: R.merge_review_edits(*reversed(_review_rows(s, d))).select(
         "source_file", "ordinal", "chunk_id", "heading_path", "content", "embedding_text", "is_manual", "notes"),
-    "roundtrip_check": lambda s, d: R.roundtrip_check(
-        R.parse_review_text(_files(s, d, "edit")), R.parse_review_text(_files(s, d, "export", _careless(s, d)))),
+    "roundtrip_check": lambda s, d: _roundtrip(s, d),
     "apply_suggestions": lambda s, d: R.apply_suggestions(_lines(s, d), _suggestions(s, d)).select(
         "chunk_id", "content", "is_manual"),
     "number_batches": lambda s, d: CV.number_batches(X.chunks_t(s, d), 10, ("payload_file",)).select(

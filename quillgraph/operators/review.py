@@ -46,7 +46,6 @@ def render_review_markdown(chunks: DataFrame, exported_at: str, variant: str = "
     ``export`` (display and embedding text) or ``edit`` (one content block, notes, manual flag).
     """
     keys = ["source_file", "source_type"]
-    c = position_in_group(chunks, keys, ["seq"], "_pos").withColumn("piece", F.col("_pos") + 1)
     shown = F.coalesce("display_content", "content") if variant == "export" else F.col("content")
     shown = F.coalesce(shown, F.lit(""))
     embed = F.coalesce("embedding_text", "content") if "embedding_text" in chunks.columns else shown
@@ -64,7 +63,7 @@ def render_review_markdown(chunks: DataFrame, exported_at: str, variant: str = "
     meta.append(F.concat(F.lit("- block_type: "), F.coalesce("block_type", F.lit("text"))))
     meta.append(_opt("heading_path", F.col("heading_path")))
     meta.append(_opt("semantic_description", desc) if variant == "export" else _opt("notes", notes))
-    head = F.concat(F.lit("## Chunk "), F.col("piece").cast("string"), F.lit("\n\n"), F.concat_ws("\n", *meta), F.lit("\n\n"))
+    head = F.concat(F.lit("\n\n"), F.concat_ws("\n", *meta), F.lit("\n\n"))
     block = lambda t: F.concat(_fence_of(t), F.lit("text\n"), t, F.lit("\n"), _fence_of(t), F.lit("\n"))
     if variant == "export":
         body = F.concat(head, F.lit("### Display Content\n\n"), block(shown), F.when(
@@ -72,9 +71,11 @@ def render_review_markdown(chunks: DataFrame, exported_at: str, variant: str = "
             F.concat(F.lit("\n### Embedding Text\n\n"), block(embed))).otherwise(F.lit("")))
     else:
         body = F.concat(head, block(shown))
-    pieces = c.select(*keys, "piece", body.alias("markdown"))
+    # a piece travels as its text behind the number, and pieces are counted where they are numbered
+    c = position_in_group(chunks.select(*keys, "seq", body.alias("_body")), keys, ["seq"], "_pos").withColumn("piece", F.col("_pos") + 1)
+    pieces = c.select(*keys, "piece", F.concat(F.lit("## Chunk "), F.col("piece").cast("string"), "_body").alias("markdown"))
     label = F.when(F.lower("source_type") == "pdf", F.lit("PDF")).otherwise(F.initcap("source_type"))
-    headers = chunks.groupBy(*keys).agg(F.count("*").alias("_n")).select(
+    headers = c.groupBy(*keys).agg(F.count("*").alias("_n")).select(
         *keys, F.lit(0).cast("bigint").alias("piece"), F.concat(
             F.lit("# "), label, F.lit(" Chunk Export\n\n- Source file: "), F.col("source_file"),
             F.lit("\n- Source type: "), F.col("source_type"), F.lit("\n- Chunk count: "), F.col("_n").cast("string"),

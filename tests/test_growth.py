@@ -93,3 +93,19 @@ def test_node_queries_cut_documents_into_lines_once(spark, monkeypatch):
         search.QUERIES[name](spark, "/root/testdata/sf0.001")
         monkeypatch.undo()
         assert len(made) == 1 and not any("documents.parquet" in f for f in texts[0].inputFiles()), name
+
+
+def test_review_pieces_and_nodes_travel_without_copies_of_the_content(spark, monkeypatch):
+    from quillgraph.operators import graph as G, review as R
+    seen = []
+    inner = R.position_in_group
+    monkeypatch.setattr(R, "position_in_group", lambda df, *args: seen.append(df.columns) or inner(df, *args))
+    chunks = spark.createDataFrame([("f", "markdown", 1, "a", "x " * 9, "x " * 9, "", "general")], "source_file string, source_type string, seq long, "
+                                   "chunk_id string, content string, display_content string, heading_path string, category string").selectExpr(
+        "*", "1 AS page", "'t' AS block_type", "true AS stored", "'a' AS anchor_id", "false AS is_manual", "chunk_id AS id", "source_file AS payload_file")
+    got = [r["markdown"] for r in R.render_review_markdown(chunks, "now").orderBy("piece").collect()]
+    assert "- Chunk count: 1\n" in got[0] and got[1].startswith("## Chunk 1\n\n- chunk_id: a\n") and seen == [["source_file", "source_type", "seq", "_body"]]
+    for incremental in (False, True):
+        plan = G.build_nodes(chunks, incremental)._jdf.queryExecution().optimizedPlan().toString()
+        assert "content" not in plan[:plan.index("Window")]
+        assert not [line for line in plan.splitlines() if "Window" in line and "content" in line]
