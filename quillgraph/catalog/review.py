@@ -102,6 +102,11 @@ def _ingested(s, d):
     return I.ingest(docs, store, nodes, edges, F.lit(AT), recluster=False)
 
 
+def _rebuilt(s, d):
+    chunks = cut_lineage(X.chunks_t(s, d))
+    return I.rebuild(X.l2_all(s, d, chunks), X.store_all(s, d, chunks), X.bindings_t(s, d), F.lit(AT))
+
+
 def _json_files(s, d):
     path = scratch_path(s, "json")
     J.write_chunk_json(_lines(s, d), path, AT)
@@ -172,8 +177,7 @@ QUERIES = {
     "summary_markdown": lambda s, d: FS.summary_markdown(A.summarize_runs(X.runs_t(s, d))).select("line"),
     "ingest_store": lambda s, d: _ingested(s, d).store.select("id", "content", "category", "heading_path", "payload_file", "version"),
     "ingest_actions": lambda s, d: A.sync_counts(_ingested(s, d).actions),
-    "rebuild_edges": lambda s, d: I.rebuild(X.l2_all(s, d), X.store_all(s, d), X.bindings_t(s, d), F.lit(AT)).edges.groupBy(
-        "relation").agg(F.count("*").alias("n")),
+    "rebuild_edges": lambda s, d: _rebuilt(s, d).edges.groupBy("relation").agg(F.count("*").alias("n")),
 }
 
 

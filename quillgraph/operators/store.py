@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillgraph.functions import text as T
 from quillgraph.functions.text import strip
 from quillgraph.operators.aggregates import sync_counts
+from quillgraph.operators.ordering import cut_lineage
+
+#: Columns of an L2 row that reach the store or its actions.
+SYNC_FIELDS = ["source_file", "source_type", "content", "heading_path", "is_manual", "seq"]
 
 
 def _s(name: str) -> Column:
@@ -65,7 +69,10 @@ def sync_chunks(l2: DataFrame, store: DataFrame, delete_missing: bool = False, n
               .when(chunk_changed(F.col("content"), F.col("heading_path"), edited,
                                   F.col("_o_content"), F.col("_o_heading_path")), "updated")
               .otherwise("skipped"))
-    acted = joined.withColumn("action", action)
+    # rows and store meet once: what follows reads the outcome, without the old wording
+    acted = cut_lineage(joined.withColumn("action", action).select(
+        *[c for c in SYNC_FIELDS if c in l2.columns], "_id", "_ok", "action",
+        *[f"_o_{c}" for c in store.columns if c != "content"]))
     written = last_per_id(acted.filter(F.col("action").isin("inserted", "updated")), "_id")
     name, head = T.basename(F.col("source_file")), strip(_s("heading_path"))
     body = strip(_s("content"))
@@ -84,12 +91,12 @@ def sync_chunks(l2: DataFrame, store: DataFrame, delete_missing: bool = False, n
     }
     changed = written.select(*[fresh[c].cast(store.schema[c].dataType).alias(c) if c in fresh else F.col(f"_o_{c}").alias(c)
                                for c in store.columns])
-    kept = store.join(changed.select("id"), "id", "left_anti")
+    kept = store.join(acted.filter(F.col("action").isin("inserted", "updated")).select(F.col("_id").alias("id")), "id", "left_anti")
     actions = acted.select("source_file", F.col("_id").alias("id"), "action")
     if delete_missing:
-        sources = l2.select(T.basename(F.col("source_file")).alias("payload_file"), "source_file").distinct()
-        accepted = rows.filter("_ok").select(F.col("_id").alias("id"),
-                                             T.basename(F.col("source_file")).alias("payload_file")).distinct()
+        sources = acted.select(T.basename(F.col("source_file")).alias("payload_file"), "source_file").distinct()
+        accepted = acted.filter("_ok").select(F.col("_id").alias("id"),
+                                              T.basename(F.col("source_file")).alias("payload_file")).distinct()
         gone = store.join(sources, "payload_file").join(
             accepted, ["id", "payload_file"], "left_anti")
         kept = kept.join(gone.select("id"), "id", "left_anti")

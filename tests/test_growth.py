@@ -109,3 +109,25 @@ def test_review_pieces_and_nodes_travel_without_copies_of_the_content(spark, mon
         plan = G.build_nodes(chunks, incremental)._jdf.queryExecution().optimizedPlan().toString()
         assert "content" not in plan[:plan.index("Window")]
         assert not [line for line in plan.splitlines() if "Window" in line and "content" in line]
+
+
+def test_sync_makes_rows_and_store_once(spark):
+    from quillgraph.operators import store as U
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    l2 = spark.createDataFrame([("s.md", "a", "a", "new", "", "markdown", False, 1), ("s.md", "b", "b", "same", "", "markdown", False, 2),
+                                ("s.md", "c", "c", "more", "", "markdown", False, 3)],
+                               "source_file string, chunk_id string, anchor_id string, content string, heading_path string, source_type string, is_manual boolean, seq long")
+    store = spark.createDataFrame([("a", "old", "markdown", "a", "", "s.md", "general", False, "then", 1, 1),
+                                   ("b", "same", "markdown", "b", "", "s.md", "general", False, "then", 1, 2)],
+                                  "id string, content string, source_type string, anchor_id string, heading_path string, payload_file string, "
+                                  "category string, is_manual boolean, created_at string, version int, seq long")
+    after, actions = U.sync_chunks(l2.coalesce(1).mapInArrow(count, l2.schema), store, True, F.lit("now"))
+    assert {(r["id"], r["content"], r["version"], r["created_at"]) for r in after.collect()} == {
+        ("a", "new", 2, "then"), ("b", "same", 1, "then"), ("c", "more", 1, "now")}
+    assert {(r["id"], r["action"]) for r in actions.collect()} == {("a", "updated"), ("b", "skipped"), ("c", "inserted")}
+    assert seen.value == 3
