@@ -106,6 +106,23 @@ def test_line_dedup_rewrites_texts(make):
     assert [tuple(r) for r in got.select(*CLASHING).distinct().collect()] == [tuple(f"own {c}" for c in CLASHING)]
 
 
+def test_line_dedup_pairs_few_unlike_long_lines(make, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(150))) for i in range(300)]
+    pairs, write = [], line_dedup.write_table
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "line-pairs":
+            pairs.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "write_table", counted)
+    assert set(rows_of(line_dedup.line_report(make(rows)), "doc_id", "n_removed")) == {(i, 0) for i in range(300)}
+    # most of the 44,850 pairs share a word of their prefixes
+    assert sum(pairs) < 300, pairs
+
+
 def test_line_dedup_has_no_python(make):
     plan = line_dedup.drop_repeated_lines(make([(1, "a b c d"), (2, "a b c d")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
