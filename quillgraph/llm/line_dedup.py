@@ -25,14 +25,12 @@ would count as one.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.llm.common import drop_table, free_shuffles, write_table
-from quillgraph.operators.ordering import scratch_path
 
 SIMILARITY = 80
 #: Hash buckets in which words are counted.
@@ -113,6 +111,12 @@ def _ranked(docs: DataFrame, levels: bytes, similarity: int) -> DataFrame:
                        F.col("_both").bitwiseXOR(F.col("_q")).alias("_p"), "_q", prefix.alias("_prefix"))
 
 
+def _classes(ranked: DataFrame) -> DataFrame:
+    """One class per set, with its first line, numbered (_ord) in the order of that."""
+    one = ranked.groupBy("_i", "_j").agg(F.min(F.struct("_first", "_n", "_p", "_q", "_prefix")).alias("_c")).select("_c.*")
+    return one.repartitionByRange("_first").sortWithinPartitions("_first").withColumn("_ord", F.monotonically_increasing_id())
+
+
 def _prefix_rows(classes: DataFrame, drawn: int | None = None) -> DataFrame:
     """A row per class and prefix word: _rank, _ord, _size and the bitmap.
 
@@ -170,10 +174,10 @@ def _candidates(probes: DataFrame, others: DataFrame, similarity: int) -> DataFr
         F.col("x._ord").alias("_x"), F.col("y._ord").alias("_y"), shared.alias("_shared"), most.alias("_most")).distinct()
 
 
-def _texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """_ord and _text (of its first line) of the classes that are in a pair."""
     ends = pairs.select(F.col("_x").alias("_ord")).union(pairs.select("_y")).distinct()
-    places = ends.join(sets.select("_ord", "_first"), "_ord").select(
+    places = ends.join(classes.select("_ord", "_first"), "_ord").select(
         "_ord", F.col("_first.doc_id").alias("_id"), F.col("_first._row").alias("_of"), F.col("_first._line").alias("_at"))
     here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")) & (F.col("_line") == F.col("_at"))
     # rows that repeat id and text have the line several times
@@ -210,17 +214,15 @@ def _matched(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 WITNESS_WORDS, WITNESS_ROUNDS = 4, 1
 
 
-def _late_classes(classes: DataFrame, sets: DataFrame, docs: DataFrame, similarity: int) -> list[tuple[DataFrame, str]]:
+def _late_classes(classes: DataFrame, docs: DataFrame, similarity: int) -> list[tuple[DataFrame, str]]:
     """Written tables (_ord) of the classes that match an earlier one: a table per witness round and one of the rest."""
     spark = classes.sparkSession
     found: list[tuple[DataFrame, str]] = []
     for step in range(WITNESS_ROUNDS + 1):
-        named = sets.select("_i", "_j", "_ord").withColumn("_settled", F.lit(False))
+        marked = classes.withColumn("_settled", F.lit(False))
         if found:
             settled = reduce(DataFrame.unionByName, [table for table, _ in found]).withColumn("_settled", F.lit(True))
-            named = named.drop("_settled").join(settled, "_ord", "left").withColumn("_settled", F.coalesce("_settled", F.lit(False)))
-        # only names and numbers move to the classes, which lie in buckets
-        marked = classes.join(named, ["_i", "_j"])
+            marked = classes.join(settled, "_ord", "left").withColumn("_settled", F.coalesce("_settled", F.lit(False)))
         if step < WITNESS_ROUNDS:
             met = _witnesses(_prefix_rows(marked.filter("NOT _settled"), WITNESS_WORDS), similarity)
         else:
@@ -229,7 +231,7 @@ def _late_classes(classes: DataFrame, sets: DataFrame, docs: DataFrame, similari
             met = _candidates(rows, rows, similarity)
         pairs, path = write_table(met, "line-pairs")
         free_shuffles(spark)
-        texts, texts_path = write_table(_texts(pairs, sets, docs), "pair-texts")
+        texts, texts_path = write_table(_texts(pairs, classes, docs), "pair-texts")
         free_shuffles(spark)
         close, close_path = _close(pairs, texts)
         found.append(write_table(_matched(close, texts), "late"))
@@ -246,24 +248,13 @@ def removed_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     Empty table: no rows.
     """
     spark = docs.sparkSession
-    name, path = f"classes_{uuid.uuid4().hex}", scratch_path(spark, "classes")
-    try:
-        # one class per set, numbered in the order of its first line
-        ranked = _ranked(docs, _levels(docs), similarity).groupBy("_i", "_j").agg(
-            F.min(F.struct("_first", "_n", "_p", "_q", "_prefix")).alias("_c")).select("_i", "_j", "_c.*")
-        ranked.write.option("compression", "zstd").option("path", path).bucketBy(
-            int(spark.conf.get("spark.sql.shuffle.partitions")), "_i", "_j").saveAsTable(name)
-        free_shuffles(spark)
-        classes = spark.table(name)
-        sets, sets_path = write_table(classes.select("_i", "_j", "_first").repartitionByRange("_first").sortWithinPartitions(
-            "_first").withColumn("_ord", F.monotonically_increasing_id()), "sets")
-        late = _late_classes(classes.drop("_first"), sets, docs, similarity)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    classes, classes_path = write_table(_classes(_ranked(docs, _levels(docs), similarity)), "classes")
+    free_shuffles(spark)
+    late = _late_classes(classes, docs, similarity)
     every = reduce(DataFrame.unionByName, [table for table, _ in late])
     # of a class that matches no earlier one its first line stays; all other lines with words go
-    stay, _ = write_table(sets.join(every, "_ord", "left_anti").select("_first.*"), "stay")
-    drop_table(spark, path, sets_path, *[late_path for _, late_path in late])
+    stay, _ = write_table(classes.join(every, "_ord", "left_anti").select("_first.*"), "stay")
+    drop_table(spark, classes_path, *[path for _, path in late])
     free_shuffles(spark)
     text = F.coalesce("text", F.lit(""))
     worded = F.array_compact(F.transform(F.col("_lines"), lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i)))
