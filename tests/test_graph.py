@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,3 +348,35 @@ def test_added_sources_follow_file_rules(spark):
     for name in ("f1.md", "f2.md", "f3.md"):
         empty_nodes, empty_edges = G.update_graph(empty_nodes, empty_edges, chunks.filter(F.col("payload_file") == name))
     assert {(r["src"], r["dst"], r["weight"]) for r in empty_edges.collect()} == got
+
+
+def test_terms_in_texts_are_those_python_finds():
+    rnd = random.Random(11)
+    letters = "aab é参𝒳 "
+    word = lambda lo, hi: "".join(rnd.choices(letters, k=rnd.randrange(lo, hi)))
+    terms = [[word(1, 5) for _ in range(6)] + [word(11, 16)] for _ in range(12)] + [[""]]
+    long = terms[0][6]
+    texts = [(word(0, 30), word(0, 9), word(0, 4)) for _ in range(50)] + [("", "", ""), ("x" + long, "", ""), ("", long[:-1], "a"), ("", long, long)]
+    vocabulary = M._Vocabulary(terms)
+    held = vocabulary.held(*map(list, zip(*texts)))
+    names = {i: t for t, i in vocabulary.at.items()}
+    for i, (label, heading, category) in enumerate(texts):
+        one = held[i:i + 1]
+        want = {t: 3.0 if t in heading else 2.5 if t in label else 1.5 for t in vocabulary.at if t and t in f"{label} {heading} {category}"}
+        assert {names[t]: w for t, w in zip(one.terms.tolist(), one.weights.tolist())} == want and len(one.terms) == len(want)
+
+
+def test_later_texts_are_not_listed_where_earlier_ones_fill_the_places(monkeypatch):
+    texts = pd.DataFrame({"label": ["net port"] * 400 + ["net"] * 100 + ["net port guide"], "heading": "", "category": "general",
+                          "bonus_a": 0.0, "bonus_b": 0.0, "seq": range(501)})
+    terms = [["net", "port"], ["net", "guide"], ["zz"]] + [["net"]] * 40
+    monkeypatch.setattr(M, "PART", 100)
+    vocabulary, pairs = M._vocabularies(terms)
+    held, held_pairs = M._held_terms(vocabulary, texts), M._held_terms(pairs, texts)
+    seen = []
+    inner = M._first_of
+    monkeypatch.setattr(M, "_first_of", lambda *args: seen.append(len(args[0])) or inner(*args))
+    got = M._best_pairs(M._Questions(terms, vocabulary, held, pairs), held, held_pairs, texts, 3, 1.0, False)
+    best = {q: got[got["question"] == q].sort_values("text")["text"].tolist() for q in range(len(terms))}
+    assert best == {q: [0, 1, 500] if q == 1 else [] if q == 2 else [0, 1, 2] for q in range(len(terms))}
+    assert max(seen[1:]) <= 3 * len(terms) + 1
