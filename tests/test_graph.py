@@ -380,3 +380,34 @@ def test_later_texts_are_not_listed_where_earlier_ones_fill_the_places(monkeypat
     best = {q: got[got["question"] == q].sort_values("text")["text"].tolist() for q in range(len(terms))}
     assert best == {q: [0, 1, 500] if q == 1 else [] if q == 2 else [0, 1, 2] for q in range(len(terms))}
     assert max(seen[1:]) <= 3 * len(terms) + 1
+
+
+def test_phrases_full_of_first_rows_are_not_looked_for_in_later_ones(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(f"c{i}", rnd.choice(["the Er text", "er of the", "word the text er"]) + (" rare er thing" if i % 97 == 0 else "") + (" one" if i == 399 else ""),
+             rnd.choice([None, "", "a", "b > the"]), rnd.choice([i, i, None] if i % 50 == 0 else [i])) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "id string, content string, heading_path string, seq bigint").withColumn("category", F.lit("general"))
+    phrases = {"q1": "er", "q2": "The text", "q3": "rare er thing", "q4": "one", "q5": "none", "q6": "er"}
+    queries = spark.createDataFrame(list(phrases.items()), "query_id string, query string")
+    sure = lambda r: r[3] is not None
+    want = {}
+    for q, p in phrases.items():
+        held = sorted((r for r in rows if p.lower() in r[1].lower() or p.lower() in (r[2] or "")), key=lambda r: (r[2] or "", sure(r), r[3] or 0))
+        want[q] = [r[0] for r in held[:3]]
+    rows_of = lambda got: {q: [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in phrases}
+    assert rows_of(S.search_text(chunks, queries, None, 3).collect()) == want
+    monkeypatch.setattr(S, "FIRST_ROWS", 40)
+    asked = []
+    inner = S.phrase_matches
+    monkeypatch.setattr(S, "phrase_matches", lambda p, t, c: asked.append(({r["phrase"] for r in p.collect()}, t.count())) or inner(p, t, c))
+    assert rows_of(S.search_text(chunks, queries, None, 3).collect()) == want
+    (every, few), (rest, others) = asked
+    assert few + others == 400 and few < 80 and "er" in every and "er" not in rest and {"one", "none"} <= rest
+
+
+def test_phrases_are_compared_without_moving_texts(spark):
+    texts = spark.createDataFrame([(i, f"some text {i} of many words") for i in range(50)], "id bigint, t string")
+    found = M.phrase_matches(spark.createDataFrame([("text 7 of",), ("many",)], "phrase string"), texts, ["t"])
+    assert {(r["phrase"], r["id"]) for r in found.collect()} == {("text 7 of", 7), *(("many", i) for i in range(50))}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
