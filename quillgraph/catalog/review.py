@@ -115,7 +115,7 @@ def _json_files(s, d):
 
 def _review_files(s, d):
     path = scratch_path(s, "review")
-    FS.write_review_markdown(R.render_review_markdown(_lines(s, d), AT, "export"), path)
+    FS.write_review_chunks(_lines(s, d), path, AT)
     return FS.read_review_markdown(s, path)
 
 

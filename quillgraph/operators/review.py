@@ -38,14 +38,8 @@ def _text(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit("None"))
 
 
-def render_review_markdown(chunks: DataFrame, exported_at: str, variant: str = "export") -> DataFrame:
-    """Review document as ordered pieces: piece 0 is the header, piece n is chunk n.
-
-    Joined with newlines in order, the pieces of a source are its review document.  They are
-    kept as rows so that a source of any size is never gathered in one cell.  ``variant`` is
-    ``export`` (display and embedding text) or ``edit`` (one content block, notes, manual flag).
-    """
-    keys = ["source_file", "source_type"]
+def review_bodies(chunks: DataFrame, variant: str = "export") -> DataFrame:
+    """(source_file, source_type, seq, _body): chunks as they stand in a review document, behind their heading with the number."""
     shown = F.coalesce("display_content", "content") if variant == "export" else F.col("content")
     shown = F.coalesce(shown, F.lit(""))
     embed = F.coalesce("embedding_text", "content") if "embedding_text" in chunks.columns else shown
@@ -71,15 +65,34 @@ def render_review_markdown(chunks: DataFrame, exported_at: str, variant: str = "
             F.concat(F.lit("\n### Embedding Text\n\n"), block(embed))).otherwise(F.lit("")))
     else:
         body = F.concat(head, block(shown))
-    # a piece travels as its text behind the number, and pieces are counted where they are numbered
-    c = position_in_group(chunks.select(*keys, "seq", body.alias("_body")), keys, ["seq"], "_pos").withColumn("piece", F.col("_pos") + 1)
-    pieces = c.select(*keys, "piece", F.concat(F.lit("## Chunk "), F.col("piece").cast("string"), "_body").alias("markdown"))
+    return chunks.select("source_file", "source_type", "seq", body.alias("_body"))
+
+
+def review_piece(number: Column, body: Column) -> Column:
+    return F.concat(F.lit("## Chunk "), number.cast("string"), body)
+
+
+def review_header(count: Column, exported_at: str) -> Column:
     label = F.when(F.lower("source_type") == "pdf", F.lit("PDF")).otherwise(F.initcap("source_type"))
+    return F.concat(
+        F.lit("# "), label, F.lit(" Chunk Export\n\n- Source file: "), F.col("source_file"),
+        F.lit("\n- Source type: "), F.col("source_type"), F.lit("\n- Chunk count: "), count.cast("string"),
+        F.lit(f"\n- Exported at: {exported_at}\n"))
+
+
+def render_review_markdown(chunks: DataFrame, exported_at: str, variant: str = "export") -> DataFrame:
+    """Review document as ordered pieces: piece 0 is the header, piece n is chunk n.
+
+    Joined with newlines in order, the pieces of a source are its review document.  They are
+    kept as rows so that a source of any size is never gathered in one cell.  ``variant`` is
+    ``export`` (display and embedding text) or ``edit`` (one content block, notes, manual flag).
+    """
+    keys = ["source_file", "source_type"]
+    # a piece travels as its text behind the number, and pieces are counted where they are numbered
+    c = position_in_group(review_bodies(chunks, variant), keys, ["seq"], "_pos").withColumn("piece", F.col("_pos") + 1)
+    pieces = c.select(*keys, "piece", review_piece(F.col("piece"), F.col("_body")).alias("markdown"))
     headers = c.groupBy(*keys).agg(F.count("*").alias("_n")).select(
-        *keys, F.lit(0).cast("bigint").alias("piece"), F.concat(
-            F.lit("# "), label, F.lit(" Chunk Export\n\n- Source file: "), F.col("source_file"),
-            F.lit("\n- Source type: "), F.col("source_type"), F.lit("\n- Chunk count: "), F.col("_n").cast("string"),
-            F.lit(f"\n- Exported at: {exported_at}\n")).alias("markdown"))
+        *keys, F.lit(0).cast("bigint").alias("piece"), review_header(F.col("_n"), exported_at).alias("markdown"))
     return headers.unionByName(pieces)
 
 
