@@ -131,3 +131,20 @@ def test_sync_makes_rows_and_store_once(spark):
         ("a", "new", 2, "then"), ("b", "same", 1, "then"), ("c", "more", 1, "now")}
     assert {(r["id"], r["action"]) for r in actions.collect()} == {("a", "updated"), ("b", "skipped"), ("c", "inserted")}
     assert seen.value == 3
+
+
+def test_communities_are_searched_by_numbers(spark, monkeypatch):
+    seen = []
+    inner = TR._move_half
+    monkeypatch.setattr(TR, "_move_half", lambda near, state, *args: seen.append((near.dtypes, state.dtypes)) or inner(near, state, *args))
+    # two rings of text ids joined by one edge, a node without edges, and an edge to a node that is not listed
+    rings = [(f"{r}{i}", f"{r}{(i + 1) % 5}") for r in "ab" for i in range(5)] + [("a0", "b0"), ("b1", "zz")]
+    edges = spark.createDataFrame([(*p, 1.0) for p in rings], "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(f"{r}{i}",) for r in "ab" for i in range(5)] + [("c",)], "id string")
+    got = {r["id"]: r["community_id"] for r in TR.modularity_communities(nodes, edges).collect()}
+    assert got.keys() == {r[0] for r in nodes.collect()} and got["c"] == "c"
+    assert all(min(i for i in got if got[i] == c) == c for c in got.values()) and got["a2"] != got["b2"]
+    assert seen and all(dict(near) == {"node": "bigint", "neighbor": "bigint", "weight": "double"} for near, _ in seen)
+    assert all(dict(state)["id"] == dict(state)["community_id"] == "bigint" for _, state in seen)
+    alone = edges.selectExpr("explode(array(src, dst)) AS id").distinct().selectExpr("id", "id AS community_id")
+    assert abs(TR._alone(edges, 24.0) - TR.modularity(edges, alone).first()[0]) < 1e-12
